@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from stratum.llm import warc
+from stratum.llm import packing, warc, wavelet
 
-QUERIES = {"op1_warc": warc.op1_warc}
+QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op7_wavelet": wavelet.op7_wavelet,
+    "op8_packing": packing.op8_packing,
+}
 SQL = {**warc.SQL}
