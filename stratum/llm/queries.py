@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stratum.llm import packing, warc, wavelet
+from stratum.llm import fingerprint, packing, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op7_wavelet": wavelet.op7_wavelet,
     "op8_packing": packing.op8_packing,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
 }
 SQL = {**warc.SQL}
