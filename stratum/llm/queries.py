@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stratum.llm import fingerprint, packing, substring, warc, wavelet
+from stratum.llm import fingerprint, jaccard, packing, substring, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op6_substring": substring.op6_substring,
     "op7_wavelet": wavelet.op7_wavelet,
     "op8_packing": packing.op8_packing,
     "op9_fingerprint": fingerprint.op9_fingerprint,
 }
-SQL = {**warc.SQL, **substring.SQL}
+SQL = {**warc.SQL, **jaccard.SQL, **substring.SQL}
