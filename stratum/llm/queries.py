@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stratum.llm import fingerprint, jaccard, packing, substring, warc, wavelet
+from stratum.llm import fingerprint, jaccard, packing, substring, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_substring": substring.op6_substring,
     "op7_wavelet": wavelet.op7_wavelet,
     "op8_packing": packing.op8_packing,
