@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from stratum.llm import decontaminate, fingerprint, jaccard, packing, substring, toxicity, warc, wavelet
+from stratum.llm import decontaminate, fingerprint, jaccard, licenses, packing, substring, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op2_jaccard": jaccard.op2_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_licenses": licenses.op5_licenses,
     "op6_substring": substring.op6_substring,
     "op7_wavelet": wavelet.op7_wavelet,
     "op8_packing": packing.op8_packing,
     "op9_fingerprint": fingerprint.op9_fingerprint,
 }
-SQL = {**warc.SQL, **decontaminate.SQL, **jaccard.SQL, **substring.SQL}
+SQL = {**warc.SQL, **licenses.SQL, **decontaminate.SQL, **jaccard.SQL, **substring.SQL}
