@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stratum.llm import decontaminate, fingerprint, jaccard, licenses, packing, substring, toxicity, warc, wavelet
+from stratum.llm import decontaminate, fingerprint, jaccard, licenses, packing, quality, substring, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_licenses": licenses.op5_licenses,
     "op6_substring": substring.op6_substring,
