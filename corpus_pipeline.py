@@ -1,12 +1,63 @@
-"""Corpus cleaning in stages, each written as Parquet and read again as the next one's documents."""
+"""Corpus cleaning in stages, each written as Parquet and read again as the next one's documents.
+
+Toxic documents go; of each group of near duplicates the document with the least id stays; words of passages that
+also start earlier go; documents with a benchmark item go; what is left is packed. A stage judges all that the one
+before it kept. Rows of one id are one document to the second and fourth stage; null ids are near to nothing and
+stay there. Other columns than those of documents are dropped by the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratum.llm import common, decontaminate, jaccard, packing, substring, toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids to leave out that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a toxicity score under 0.5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(spark, docs.select(COLUMNS), labels).where("score < 0.5").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join."""
+    rows = jaccard.near_duplicates(spark, docs, "doc_id", "text")
+    gone = rows.where("component <> id").select(F.col("id").alias("doc_id")).distinct()
+    return _without(docs, common.stored(spark, gone, "near-duplicates")).select(COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that also start earlier."""
+    rows = substring.remove_repeats(spark, docs, "doc_id", "text")
+    changed = F.col("n_removed") > 0
+    rows = rows.withColumn("n_chars", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", F.col("kept_text")).select(COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    gone = decontaminate.of_tables(spark, docs, sf_dir).select(F.col("id").alias("doc_id")).distinct()
+    return _without(docs, common.stored(spark, gone, "contaminated")).select(COLUMNS)
+
+
+def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return packing.packed(spark, docs)
+
 
-from stratum.llm import common
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("substring_dedup", passages), ("decontamination", benchmark), ("packing", packs)]
 
-STAGES = []
+#: Learned weights and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
