@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from stratum.plans import relational, systems  # noqa: F401: importing systems registers its queries
+
+QUERIES = dict(relational.QUERIES)
+SQL = dict(relational.SQL)
