@@ -75,6 +75,25 @@ def minimum_of_key(rows: DataFrame, keys: list[str], value: str, out: str, salts
     return salted.join(back, [*keys, "_salt"], "left").drop("_salt")
 
 
+def range_bounds(rows: DataFrame, id_col: str, parts: int) -> list[float]:
+    """At most ``parts`` - 1 ascending bounds that cut the ids into ranges of about equal counts."""
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    found = rows.select(F.percentile_approx(F.col(id_col).cast("double"), shares, 20 * parts).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
+def with_part(rows: DataFrame, id_col: str, bounds: list[float], out: str) -> DataFrame:
+    """``rows`` with the number of the range that the id lies in; null ids lie in the first."""
+    from pyspark.ml.feature import Bucketizer
+
+    if not bounds:
+        return rows.withColumn(out, F.lit(0))
+    splits = [-float("inf"), *bounds, float("inf")]
+    rows = rows.withColumn("_key", F.coalesce(F.col(id_col).cast("double"), F.lit(-float("inf"))))
+    rows = Bucketizer(splits=splits, inputCol="_key", outputCol=out, handleInvalid="keep").transform(rows).drop("_key")
+    return rows.withColumn(out, F.least(F.col(out), F.lit(float(len(bounds)))).cast("int"))
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (id, component) per id, component the least id.
 

@@ -42,17 +42,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     Rows are dealt by ranges of the id and sorted there, so each text is shuffled once. The last row of a range
     is also sent to the range after it. Bounds and last rows are one for each range.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    key = F.col("id").cast("double")
-    found = docs.select(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], 20 * parts).alias("q")).first()["q"] or []
-    splits = [-float("inf"), *sorted(set(found)), float("inf")]
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_key", F.coalesce(key, F.lit(-float("inf"))))
-        rows = Bucketizer(splits=splits, inputCol="_key", outputCol="part", handleInvalid="keep").transform(rows).drop("_key")
-        return rows.withColumn("part", F.least(F.col("part"), F.lit(len(splits) - 2.0)).cast("int"))
-
+    bounds = common.range_bounds(docs, "id", parts)
+    dealt = lambda rows: common.with_part(rows, "id", bounds, "part")
     lasts = dealt(docs.select("id")).groupBy("part").agg(F.max("id").alias("id"), F.count("*").alias("n")).orderBy("part").collect()
     after = [(lasts[k]["id"], lasts[(k + 1) % len(lasts)]["part"]) for k in range(len(lasts))]
     ends = docs.sparkSession.createDataFrame(after, "last long, onward int")

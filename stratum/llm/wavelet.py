@@ -144,16 +144,9 @@ def in_order(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
 
     The bounds come from the ids alone, so the other columns are read once. At most ``parts`` bounds reach the driver.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    key = F.col(id_col).cast("double")
-    shares = [k / parts for k in range(1, parts)]
-    found = docs.select(F.percentile_approx(key, shares or [0.5], 20 * parts).alias("q")).first()["q"] or []
-    splits = [-float("inf"), *sorted(set(found)), float("inf")]
-    rows = docs.withColumn("_key", F.coalesce(key, F.lit(-float("inf"))))
-    rows = Bucketizer(splits=splits, inputCol="_key", outputCol="_part", handleInvalid="keep").transform(rows).drop("_key")
-    rows = rows.withColumn("_part", F.least(F.col("_part"), F.lit(len(splits) - 2.0)).cast("int"))
-    return rows.repartitionById(len(splits) - 1, F.col("_part")).sortWithinPartitions("_part", id_col)
+    bounds = common.range_bounds(docs, id_col, parts)
+    rows = common.with_part(docs, id_col, bounds, "_part")
+    return rows.repartitionById(len(bounds) + 1, F.col("_part")).sortWithinPartitions("_part", id_col)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, tokenizer: str, folder: str, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
