@@ -1,0 +1,34 @@
+"""Registered queries against their SQL, and the pipeline stage by stage."""
+
+import pytest
+
+from stratum.llm import queries
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query(name, agrees):
+    agrees(queries.QUERIES[name], queries.SQL[name])
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from stratum.llm import common, decontaminate, jaccard, substring
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, common.stored(spark, stage(spark, docs, SMALL), name)
+        counts.append(docs.count())
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+        if name == "near_duplicates":
+            kept = {r["doc_id"] for r in docs.collect()}
+            assert kept == {r["component"] for r in jaccard.near_duplicates(spark, before, "doc_id", "text").collect()}
+        if name == "substring_dedup":
+            assert substring.remove_repeats(spark, docs, "doc_id", "text").where("n_removed > 0").count() <= 5
+        if name == "decontamination":
+            assert decontaminate.of_tables(spark, docs, SMALL).count() == 0
+    assert counts[0] > counts[1] > counts[2] == counts[3] > counts[4]
+    assert docs.select("doc_id").distinct().count() == counts[4]
