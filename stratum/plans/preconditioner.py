@@ -194,6 +194,27 @@ class Preconditioner:
             return self.refine(b, steps, bounds, trans, rank)
         return self.solve(b, trans, rank)
 
+    def export(self) -> DataFrame:
+        """(mid, level, part, i, j, re, im): all blocks, scalings and permutations of the factors as entries."""
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for mid, level, blob in zip(frame["mid"], frame["level"], frame["blob"]):
+                f = pickle.loads(blob)  # noqa: S301: written by factor_frame
+                for part in ("L", "U", "E", "F"):
+                    i, j, v, _ = apply._arrays(f, part)
+                    out.append(pd.DataFrame({"part": part, "i": i, "j": j, "re": v.real, "im": v.imag}).assign(mid=mid, level=level))
+                for part in ("s", "t", "p", "q", "d"):
+                    v = np.asarray(getattr(f, part))
+                    out.append(pd.DataFrame({"part": part, "i": np.arange(len(v)), "j": 0, "re": v.real.astype(float), "im": v.imag.astype(float)}).assign(mid=mid, level=level))
+                if f.dense is not None:
+                    i, j = np.indices(f.dense.shape).reshape(2, -1)
+                    v = f.dense.reshape(-1)
+                    out.append(pd.DataFrame({"part": "dense", "i": i, "j": j, "re": v.real, "im": v.imag}).assign(mid=mid, level=level))
+            return pd.concat(out)[["mid", "level", "part", "i", "j", "re", "im"]]
+
+        return self.factors.groupBy("mid").applyInPandas(run, "mid string, level int, part string, i long, j long, re double, im double")
+
     def stats(self) -> DataFrame:
         """Per matrix: levels (a dense block counts as one), entries, sizes and rank of the last Schur complement, counts."""
         last = F.max(F.struct("level", "n", "m", "rank", "stats"))

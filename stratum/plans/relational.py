@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratum.functions import scalars
 from stratum.operators import dropping, product, scaling, structure, triangular
 from stratum.sources import matrix_market, tables
 
@@ -432,3 +433,34 @@ def native_round_trip(spark, d):
     path = _folder(spark)
     matrix_market.write_native(*tables.part_supplier(spark, d), path)
     return matrix_market.read_native(spark, path)[0]
+
+
+@query("complex_scalars", _FD, "SELECT i, (i + 1)::DOUBLE AS re, (-2)::DOUBLE AS conj_im, sqrt((i + 1) * (i + 1) + 4) AS mag, ((i + 1) * 3 - 2)::DOUBLE AS prod_re, ((i + 1) + 6)::DOUBLE AS prod_im, round(((i + 1) * 3 + 2) / 10.0::DOUBLE, 9) AS quot_re FROM R")
+def complex_scalars(spark, d):
+    rows = structure.indices(tables.stencil(spark, 8)[1]).withColumn("z", scalars.complex_of(F.col("i") + 1, F.lit(2.0))).withColumn("w", scalars.complex_of(F.lit(3.0), F.lit(1.0)))
+    z, w = F.col("z"), F.col("w")
+    product_ = scalars.times(z, w)
+    return rows.select(
+        "i", scalars.real(z).alias("re"), scalars.imag(scalars.conjugate(z)).alias("conj_im"), scalars.magnitude(z).alias("mag"),
+        scalars.real(product_).alias("prod_re"), scalars.imag(product_).alias("prod_im"), F.round(scalars.real(scalars.over(z, w)), 9).alias("quot_re"),
+    )
+
+
+@query("inner_complex", _FD, "SELECT 'FD8' AS mid, CAST(sum((i % 5) * (i % 3) + (i % 2) * 2) AS DOUBLE) AS re, CAST(sum((i % 5) * 2 - (i % 2) * (i % 3)) AS DOUBLE) AS im FROM R")
+def inner_complex(spark, d):
+    i = structure.indices(tables.stencil(spark, 8)[1])
+    x = i.select("mid", "i", (F.col("i") % 5).cast("double").alias("re"), (F.col("i") % 2).cast("double").alias("im"))
+    y = i.select("mid", "i", (F.col("i") % 3).cast("double").alias("re"), F.lit(2.0).alias("im"))
+    return scalars.inner_complex(x, y)
+
+
+@query("uniform_partition", "", "SELECT 'FD8' AS mid, p AS part, CAST(p * 12 + least(p, 4) AS BIGINT) AS first, CAST(p * 12 + least(p, 4) + 12 + CASE WHEN p < 4 THEN 1 ELSE 0 END AS BIGINT) AS end FROM (VALUES (0), (1), (2), (3), (4)) v(p)")
+def uniform_partition(spark, d):
+    return scalars.uniform_partition(tables.stencil(spark, 8)[1], 5)
+
+
+@query("sparse_vector", _FD, "SELECT 'FD8' AS mid, i, (i % 4)::DOUBLE AS x, row_number() OVER (ORDER BY i) - 1 AS at FROM R WHERE i % 4 <> 0")
+def sparse_vector(spark, d):
+    """Zeros and repeated indices go; the rest is numbered in order."""
+    x = tables.vector(tables.stencil(spark, 8)[1], F.col("i") % 4)
+    return scalars.ranked(x.union(x))

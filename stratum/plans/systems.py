@@ -243,3 +243,22 @@ def qrcp_rank(spark, d):
     r = product.norms(product.residual(a, x.select("mid", "i", F.col("re").alias("x")), b, meta)).select("mid", F.col("norm2").alias("rest"))
     fits = r.join(product.norms(b).select("mid", F.col("norm2").alias("all")), "mid").select("mid", (F.col("rest") < 1e-8 * F.col("all")).alias("least_squares"))
     return x.select("mid", "rank").distinct().join(fits, "mid")
+
+
+@query("export_factors", "", "SELECT 'FD12' AS mid, part, CAST(144 AS BIGINT) AS n FROM (VALUES ('s'), ('t'), ('p'), ('q')) v(part)")
+def export_factors(spark, d):
+    """The first level's scalings and permutations, as tables."""
+    parts = pre.Preconditioner(spark, _system(spark)[0], SMALL).export()
+    return parts.where("level = 1 and part in ('s', 't', 'p', 'q')").groupBy("mid", "part").agg(F.countDistinct("i").alias("n"))
+
+
+@query("solve_rank", "", "SELECT 'NN' AS mid, CAST(25 AS BIGINT) AS n, TRUE AS differs")
+def solve_rank(spark, d):
+    """An explicit rank truncates the dense block's solve."""
+    a, meta = tables.nations(spark, d)
+    extra = structure.indices(meta).select("mid", "i", F.col("i").alias("j"), (F.col("i") * 1000 + 50000).cast("double").alias("v"))
+    m = pre.Preconditioner(spark, structure.assemble(a.union(extra)), Params(no_pre=1, tau_L=0.0, kappa=1.0001, kappa_d=1.0, rf_par=0))
+    b = tables.vector(meta, F.col("i") % 7 + 1)
+    whole, part = m.solve(b), m.solve(b, rank=3).select(F.col("i").alias("place"), F.col("re").alias("other"))
+    both = whole.join(part, F.col("i") == F.col("place"))
+    return both.groupBy("mid").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("re") - F.col("other"))) > 0).alias("differs"))
