@@ -114,7 +114,7 @@ def _later(h1, h2, doc, tie, start) -> tuple[np.ndarray, np.ndarray]:
     return order, same & ~place  # equal rows of one id share their places
 
 
-def _runs(doc, tie, start) -> list[pa.Array]:
+def _runs(doc, tie, start) -> list[np.ndarray]:
     """Places as (id, tie, first, last): runs of consecutive starts."""
     order = np.lexsort((start, tie, doc))
     doc, tie, start = doc[order], tie[order], start[order]
@@ -122,18 +122,19 @@ def _runs(doc, tie, start) -> list[pa.Array]:
     new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first, len(order))[1:] - 1
-    return [pa.array(x, t) for x, t in ((doc[first], pa.int64()), (tie[first], pa.int64()), (start[first], pa.int32()), (start[last], pa.int32()))]
+    return [doc[first], tie[first], start[first].astype(np.int32), start[last].astype(np.int32)]
 
 
 _MARKS = "id long, tie long, first int, last int"
-_SENT = f"bucket int, n int, blob binary, {_MARKS}"
+#: Runs of marks in a blob.
+_BLOCK = 1 << 16
 
 
 def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
     """(id, tie, first, last): runs of windows of ``docs`` (id, tie, text) that also start earlier."""
     sent_bits = spark.sparkContext.broadcast(sketch(spark, docs, size))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = ("<u8", "<u8", "<i8", "<i8", "<u4")
+    window_kinds, mark_kinds = ("<u8", "<u8", "<i8", "<i8", "<u4"), ("<i8", "<i8", "<i4", "<i4")
 
     def send(batches):
         windows, bits, held, n = Windows(size), sent_bits.value, [], 0
@@ -143,16 +144,18 @@ def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
             order, same = _later(h1, h2, doc, tie, start)
             gone, kept = order[same], order[~same]
             runs = _runs(doc[gone], tie[gone], start[gone])
-            none = [pa.nulls(len(runs[0]), t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, *runs], names=names)
+            rows = []
+            for k in range(0, len(runs[0]), _BLOCK):
+                block = [r[k : k + _BLOCK] for r in runs]
+                rows.append((int(block[0][0]) % buckets, 1, len(block[0]), squeeze(*block)))
             bucket = (h1[kept] % np.uint64(buckets)).astype(np.int32)
             kept = kept[np.argsort(bucket, kind="stable")]
             cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-            rows = [(k, int(b - a), squeeze(*(c[kept[a:b]] for c in (h1, h2, doc, tie, start)))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
-            blobs = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*blobs, *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=names)
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if a < b:
+                    rows.append((k, 0, int(b - a), squeeze(*(c[kept[a:b]] for c in (h1, h2, doc, tie, start)))))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "n", "blob"])
 
-        names = ["bucket", "n", "blob", "id", "tie", "first", "last"]
         for batch in batches:
             for doc, tie, text in zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
                 h1, h2 = windows.of(words_of(text.as_py()))
@@ -161,21 +164,27 @@ def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
                     held.append((h1[at], h2[at], np.full(len(at), doc, np.int64), np.full(len(at), tie, np.int64), at.astype(np.uint32)))
                     n += len(at)
                 if n >= HELD:
-                    yield from flush()
+                    yield flush()
                     held, n = [], 0
         if n:
-            yield from flush()
+            yield flush()
 
     def group(table: pa.Table) -> pa.Table:
-        found = [expand(b, n, *kinds) for n, b in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())]
-        h1, h2, doc, tie, start = (np.concatenate(x) for x in zip(*found))
-        order, same = _later(h1, h2, doc, tie, start)
-        gone = order[same]
-        return pa.table(_runs(doc[gone], tie[gone], start[gone]), names=["id", "tie", "first", "last"])
-
-    sent = common.stored(spark, docs.mapInArrow(send, _SENT), "windows")
-    met = sent.where("blob is not null").select("bucket", "n", "blob").groupBy("bucket").applyInArrow(group, _MARKS)
-    return sent.where("blob is null").select("id", "tie", "first", "last").union(met)
+        out, found = [], []
+        for kind, n, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "blob"))):
+            if kind:
+                out.append(expand(blob, n, *mark_kinds))
+            else:
+                found.append(expand(blob, n, *window_kinds))
+        if found:
+            h1, h2, doc, tie, start = (np.concatenate(x) for x in zip(*found))
+            order, same = _later(h1, h2, doc, tie, start)
+            gone = order[same]
+            out.append(_runs(doc[gone], tie[gone], start[gone]))
+        columns = [np.concatenate(x) for x in zip(*out)]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "tie", "first", "last"])
+
+    return docs.mapInArrow(send, "bucket int, kind int, n int, blob binary").groupBy("bucket").applyInArrow(group, _MARKS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
