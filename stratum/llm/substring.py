@@ -46,8 +46,8 @@ def _cells(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h1 >> shift).astype(np.uint32), (h2 >> shift).astype(np.uint32)
 
 
-def sketch(spark: SparkSession, docs: DataFrame, size: int) -> list[np.ndarray]:
-    """The merged sketch: per row one bit per cell, set where the count is two or more."""
+def sketch(spark: SparkSession, docs: DataFrame, size: int) -> list[tuple[int, bytes]]:
+    """The merged sketch in compressed chunks: per cell a bit that is set where the count is two or more."""
 
     def count(batches):
         windows, held, n = Windows(size), [[] for _ in range(ROWS)], 0
@@ -83,15 +83,19 @@ def sketch(spark: SparkSession, docs: DataFrame, size: int) -> list[np.ndarray]:
                 steps, more = expand(blob, n, "<u4", "u1")
                 at = np.cumsum(steps, dtype=np.int64)
                 counts[at] = np.minimum(counts[at] + 1 + more, 2)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], names=["chunk", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([squeeze(np.packbits(counts > 1))], pa.binary())], names=["chunk", "bits"])
 
     parts = docs.select("text").mapInArrow(count, "chunk int, n int, cells binary")
     merged = parts.groupBy("chunk").applyInArrow(merge, "chunk int, bits binary")
-    out = [np.zeros(1 << (BITS - 3), np.uint8) for _ in range(ROWS)]
-    step = 1 << (CHUNK_BITS - 3)
-    for chunk, bits in merged.toLocalIterator():  # ROWS * 2**BITS bits at most
+    return [(r["chunk"], bytes(r["bits"])) for r in merged.collect()]  # ROWS * 2**BITS bits at most
+
+
+def unpacked(chunks: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """The rows of a sketch as packed bits."""
+    out, step = [np.zeros(1 << (BITS - 3), np.uint8) for _ in range(ROWS)], 1 << (CHUNK_BITS - 3)
+    for chunk, blob in chunks:
         k = chunk & 0xFFFF
-        out[chunk >> 16][k * step : (k + 1) * step] = np.frombuffer(bits, np.uint8)
+        out[chunk >> 16][k * step : (k + 1) * step] = expand(blob, step, "u1")[0]
     return out
 
 
@@ -137,7 +141,7 @@ def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
     window_kinds, mark_kinds = ("<u8", "<u8", "<i8", "<i8", "<u4"), ("<i8", "<i8", "<i4", "<i4")
 
     def send(batches):
-        windows, bits, held, n = Windows(size), sent_bits.value, [], 0
+        windows, bits, held, n = Windows(size), unpacked(sent_bits.value), [], 0
 
         def flush():
             h1, h2, doc, tie, start = (np.concatenate(x) for x in zip(*held))
