@@ -9,8 +9,9 @@ one. Partitions are enumerated in order and only until enough of them are filled
 empty), so a shared signature is never one of empty partitions. A set that has too few filled partitions also gives
 its k + 1 least shingles, which linked sets of that kind share.
 
-Equal sets are one class, of which the least id stands for all. Candidates are verified on their whole sets. They
-come in two rounds: each signature's least member against the others; then, of the members of a signature, only
+Equal sets are one class, of which the least id stands for all. Candidates whose sizes, or whose counts of shingles
+in cells of the domain, already differ by more than linked sets can are left out; the others are verified on
+their whole sets. They come in two rounds: each signature's least member against the others; then, of the members of a signature, only
 pairs that the first round's links leave in different components. No bucket is capped. Pairs whose sizes or whose
 distances to the signature's least member (Jaccard distance is a metric) rule out a link are not formed.
 
@@ -32,6 +33,8 @@ from stratum.llm.hashing import Windows, expand, mixed, squeeze
 WORDS = 5
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: A shingle is frequent if so many of the sampled documents (one in SAMPLE) have it; at most so many are frequent.
+SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 500_000
 #: Signatures that a task holds before it sends them on.
 HELD = 4 << 20
 #: Ids of documents to fetch that are broadcast; more are joined by a shuffle.
@@ -56,45 +59,89 @@ def partitions(band: int) -> int:
     return max(1, -(-(2 << band) // 5))
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
-    """The PartEnum signatures of a set of sorted hashes."""
+def signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The signatures of a set of sorted hashes; ``frequent`` is sorted."""
     n = len(elements)
     if not n:
         return np.empty(0, np.uint64)
     far, band = n * (100 - PERCENT) // PERCENT, n.bit_length() - 1
-    out, mass = [], mixed(elements ^ _A)
+    often = np.zeros(n, bool)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
+        often = frequent[at] == elements
+    rare = elements[~often]
+    out, mass = [], mixed(rare ^ _A)
     for b in (band, band + 1):
         if b > band and 100 * n < PERCENT << b:
             break
-        cells = 3 * partitions(b)
-        cell = ((elements >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        content, full = np.zeros(cells, np.uint64), np.zeros(cells, bool)
-        content[cell[first]] = np.add.reduceat(mass, first)
-        full[cell[first]] = True
-        content, full = content.reshape(-1, 3), full.reshape(-1, 3)
-        filled = np.cumsum(full.sum(axis=1) > 1)
-        need = far // 2 + 1
-        enough = filled[-1] >= need
-        stop = int(np.searchsorted(filled, need)) + 1 if enough else len(filled)
-        with np.errstate(over="ignore"):
-            place = (np.arange(stop, dtype=np.uint64) << np.uint64(8)) + np.uint64(b)
-            for k, (i, j) in enumerate(_PAIRS):
-                some = full[:stop, i] | full[:stop, j]
-                sign = content[:stop, i] * _A + content[:stop, j] * _B + mixed(place * np.uint64(3) + np.uint64(k))
-                out.append(mixed(sign[some]))
-            if not enough:
-                out.append(mixed(elements[: far + 1] + np.uint64(b + 1) * _B))
+        need, enough = far // 2 + 1, False
+        if len(rare):
+            cells = 3 * partitions(b)
+            cell = ((rare >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            content, full = np.zeros(cells, np.uint64), np.zeros(cells, bool)
+            content[cell[first]] = np.add.reduceat(mass, first)
+            full[cell[first]] = True
+            content, full = content.reshape(-1, 3), full.reshape(-1, 3)
+            filled = np.cumsum(full.sum(axis=1) > 1)
+            enough = bool(filled[-1] >= need)
+            stop = int(np.searchsorted(filled, need)) + 1 if enough else len(filled)
+            with np.errstate(over="ignore"):
+                place = (np.arange(stop, dtype=np.uint64) << np.uint64(8)) + np.uint64(b)
+                for k, (i, j) in enumerate(_PAIRS):
+                    some = full[:stop, i] | full[:stop, j]
+                    sign = content[:stop, i] * _A + content[:stop, j] * _B + mixed(place * np.uint64(3) + np.uint64(k))
+                    out.append(mixed(sign[some]))
+        if not enough:
+            with np.errstate(over="ignore"):
+                out.append(mixed(np.concatenate([rare, elements[often]])[: far + 1] + np.uint64(b + 1) * _B))
     return np.unique(np.concatenate(out))
 
 
-_FOUND = "kind int, a long, b long, x long, y long"
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of many documents, by a sample; MOST_FREQUENT at most."""
+
+    def each(batches):
+        windows = Windows(words)
+        for batch in batches:
+            found = [shingles(t.as_py(), windows) for t in batch.column("text")]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
+
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "s long")
+    often = some.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(MOST_FREQUENT)
+    return np.sort(np.array([r["s"] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def cells_of(sizes: np.ndarray) -> np.ndarray:
+    """Cells of the sketch of a set: a power of two, about a quarter of its size."""
+    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 2, 4, 16))
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """Shingles in each cell of the domain, as bytes."""
+    cells = int(cells_of(np.array(len(elements))))
+    at = (elements >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def apart(u: bytes, v: bytes) -> int:
+    """The sum of the differences of two sketches, the finer one folded: at most the sets' distance."""
+    x, y = (np.frombuffer(z, np.uint8).astype(np.int32) for z in (u, v))
+    few = min(len(x), len(y))
+    if (x.max(initial=0) == 255) or (y.max(initial=0) == 255):
+        return 0  # a full cell counts no further
+    return int(np.abs(x.reshape(few, -1).sum(axis=1) - y.reshape(few, -1).sum(axis=1)).sum())
+
+
+_FOUND = "kind int, a long, b long, x long, y long, sketch binary"
 
 
 def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: (0, id, size, digest, digest) per document, and (1, signature, least member, member, 0)."""
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sign_kinds, doc_kinds = ("<u8", "<u4"), ("<i8", "<i8", "<u8", "<u8")
+    """Rows of two kinds: (0, id, size, digest, digest, sketch) per document, and (1, signature, least member, member, 0, none)."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    often = spark.sparkContext.broadcast(frequent_shingles(docs, words))  # MOST_FREQUENT numbers at most
+    sign_kinds, doc_kinds, who_kinds = ("<u4", "<u2", "<u4"), ("<i8", "<i8", "<u8", "<u8"), ("<i8", "<u4", "<u2")
 
     def send(batches):
         windows = Windows(words)
@@ -103,15 +150,17 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
         def flush():
             nonlocal members, classes, signs, n
             out = []
-            ids, sizes, highs, lows = (np.array(x, t) for x, t in zip(zip(*members), (np.int64, np.int64, np.uint64, np.uint64)))
+            ids, sizes, highs, lows = (np.array(x, t) for x, t in zip(zip(*(m[:4] for m in members)), (np.int64, np.int64, np.uint64, np.uint64)))
+            cells = [m[4] for m in members]
             least = np.array([x[0] for x in classes.values()], np.int64)
             high = np.array([x[1] for x in classes.values()], np.uint64)
             low = np.array([x[2] for x in classes.values()], np.uint64)
             bucket = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             for k in np.unique(bucket):
-                own = bucket == k
-                out.append((int(k), 0, int(own.sum()), squeeze(ids[own], sizes[own], highs[own], lows[own]), 0, b""))
+                own = np.flatnonzero(bucket == k)
+                out.append((int(k), 0, len(own), squeeze(ids[own], sizes[own], highs[own], lows[own]), 0, b"".join([cells[o] for o in own])))
             if signs:
+                # 48 bits of a signature are sent, and 48 of a set's digest: chance meetings are only candidates.
                 sign, owner = np.concatenate([s for _, s in signs]), np.repeat(np.array([o for o, _ in signs], np.uint32), [len(s) for _, s in signs])
                 order = np.argsort(sign)
                 sign, owner = sign[order], owner[order]
@@ -120,8 +169,9 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if a < b:
                         here, local = np.unique(owner[a:b], return_inverse=True)
-                        who = squeeze(least[here], least[here], high[here], low[here])
-                        out.append((k, 1, int(b - a), squeeze(sign[a:b], local.astype(np.uint32)), len(here), who))
+                        who = squeeze(least[here], (high[here] >> np.uint64(32)).astype(np.uint32), (high[here] >> np.uint64(16)).astype(np.uint16))
+                        cut = squeeze((sign[a:b] >> np.uint64(32)).astype(np.uint32), (sign[a:b] >> np.uint64(16)).astype(np.uint16), local.astype(np.uint32))
+                        out.append((k, 1, int(b - a), cut, len(here), who))
             members, classes, signs, n = [], {}, [], 0
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["bucket", "kind", "n", "blob", "m", "who"])
@@ -131,7 +181,7 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
                 found = shingles(text.as_py(), windows)
                 digest = xxhash.xxh3_128_intdigest(found.tobytes()) if len(found) else 0
                 high, low = digest >> 64, digest & (1 << 64) - 1
-                members.append((_NULL if doc is None else doc, len(found), high, low))
+                members.append((_NULL if doc is None else doc, len(found), high, low, sketch(found)))
                 n += 1
                 if len(found) and doc is not None:
                     if digest in classes:
@@ -139,7 +189,7 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
                         known[0] = min(known[0], doc)
                     else:
                         classes[digest] = [doc, high, low]
-                        signs.append((len(classes) - 1, signatures(found)))
+                        signs.append((len(classes) - 1, signatures(found, often.value)))
                         n += len(signs[-1][1])
                 if n >= HELD:
                     yield flush()
@@ -151,11 +201,14 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
         for kind, n, blob, m, who in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "blob", "m", "who"))):
             if kind == 0:
                 doc, size, high, low = expand(blob, n, *doc_kinds)
-                out.append((np.zeros(n, np.int32), doc, size, high.view(np.int64), low.view(np.int64)))
+                ends = np.concatenate([[0], np.cumsum(cells_of(size))]).astype(np.int32)
+                cells = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(who)])
+                out.append([pa.array(np.zeros(n, np.int32)), *(pa.array(c, pa.int64()) for c in (doc, size, high.view(np.int64), low.view(np.int64))), cells])
             else:
-                sign, local = expand(blob, n, *sign_kinds)
-                least, _, high, _ = expand(who, m, *doc_kinds)
-                signs.append(sign)
+                sign, rest, local = expand(blob, n, *sign_kinds)
+                least, high, low = expand(who, m, *who_kinds)
+                high = high.astype(np.uint64) << np.uint64(16) | low
+                signs.append(sign.astype(np.uint64) << np.uint64(16) | rest)
                 ids.append(least[local])
                 highs.append(high[local])
         if signs:
@@ -177,9 +230,9 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
             head[1:] = sign[1:] != sign[:-1]
             hub = doc[np.maximum.accumulate(np.where(head, np.arange(len(sign)), 0))] if len(sign) else doc
             other = hub != doc
-            out.append((np.ones(int(other.sum()), np.int32), sign[other].view(np.int64), hub[other], doc[other], np.zeros(int(other.sum()), np.int64)))
-        columns = [np.concatenate(x) for x in zip(*out)]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), *[pa.int64()] * 4))], names=["kind", "a", "b", "x", "y"])
+            n = int(other.sum())
+            out.append([pa.array(np.ones(n, np.int32)), *(pa.array(c, pa.int64()) for c in (sign[other].view(np.int64), hub[other], doc[other], np.zeros(n, np.int64))), pa.nulls(n, pa.binary())])
+        return pa.table([pa.chunked_array(x) for x in zip(*out)], names=["kind", "a", "b", "x", "y", "sketch"])
 
     sent = docs.select("id", "text").mapInArrow(send, "bucket int, kind int, n int, blob binary, m int, who binary")
     return common.stored(spark, sent.groupBy("bucket").applyInArrow(meet, _FOUND), "candidates")
@@ -199,8 +252,25 @@ def shingle_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, words: in
     return common.stored(spark, wanted.mapInArrow(make, "id long, elements binary"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both, either): sizes of intersection and union of each pair's sets."""
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches do not rule out a link; ``known`` is (id, n, sketch)."""
+
+    def near(batches):
+        for batch in batches:
+            sizes = np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
+            far = np.array([apart(u, v) for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist())], np.int64)
+            keep = pa.array(far * (100 + PERCENT) <= sizes * (100 - PERCENT))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    left = known.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("u"))
+    right = known.select(F.col("id").alias("b"), "n", F.col("sketch").alias("v"))
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.where((F.col("m") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("m") * PERCENT))
+    return both.select("a", "b", "m", "n", "u", "v").mapInArrow(near, "a long, b long").distinct()
+
+
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, known: DataFrame, words: int) -> DataFrame:
+    """(a, b, like, linked) of the pairs that are possible; those of several texts of an id at their best."""
 
     def count(batches):
         for batch in batches:
@@ -215,9 +285,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             both, either = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
 
+    pairs = common.stored(spark, possible(pairs, known), "possible")
+    sets = shingle_sets(spark, docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), words)
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("u"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("v"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v").mapInArrow(count, "a long, b long, both long, either long")
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v").mapInArrow(count, "a long, b long, both long, either long")
+    counted = counted.groupBy("a", "b").agg(F.max(F.col("both") / F.col("either")).alias("like"), F.max(_linked()).alias("linked"))
+    return common.stored(spark, counted, "verified")
 
 
 def _linked() -> F.Column:
@@ -230,24 +304,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     found = candidates(spark, docs, words)
     members = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "x", "y")
     stars = found.where("kind = 1").select(F.col("a").alias("sign"), F.col("b").alias("hub"), F.col("x").alias("doc"))
-    ids = stars.select(F.col("hub").alias("id")).union(stars.select("doc")).distinct()
-    sets = shingle_sets(spark, docs, ids, words)
-    near = stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    near = common.stored(spark, verified(near, sets).groupBy("a", "b").agg(F.max(F.col("both") / F.col("either")).alias("like"), F.max(_linked()).alias("linked")), "verified")
+    known = found.where("kind = 0 and b > 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
+    near = verified(spark, docs, stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), known, words)
     groups = common.components(spark, near.where("linked").select("a", "b"))
 
     # Second round: members of a signature that are still in different components.
     sizes = members.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    seat = stars.join(near, (F.col("hub") == F.col("a")) & (F.col("doc") == F.col("b"))).select("sign", "doc", "like")
-    seat = seat.join(groups, F.col("doc") == F.col("id"), "left").select("sign", "doc", "like", F.coalesce("component", "doc").alias("group"))
-    apart = seat.groupBy("sign").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("sign")
-    seat = seat.join(apart, "sign", "left_semi").join(sizes, F.col("doc") == F.col("id")).drop("id")
+    seat = stars.select("sign", "hub", "doc").union(stars.select("sign", "hub", F.col("hub")).distinct())
+    seat = seat.join(near.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "like"), ["hub", "doc"], "left")
+    seat = seat.select("sign", "doc", F.when(F.col("hub") == F.col("doc"), 1.0).otherwise(F.col("like")).alias("like"))
+    seat = seat.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select("sign", "doc", "like", F.coalesce("component", "doc").alias("group"))
+    apart = seat.groupBy("sign").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("n")).where("g <> h and n > 2").select("sign")
+    seat = seat.where("like is null or like < 1").join(apart, "sign", "left_semi").join(sizes.withColumnRenamed("id", "doc"), "doc")
     one, two = seat.alias("one"), seat.alias("two")
     slack = (100 - PERCENT) / 100 + 1e-9
-    may = (F.col("one.doc") < F.col("two.doc")) & (F.col("one.group") != F.col("two.group")) & (F.abs(F.col("one.like") - F.col("two.like")) <= slack)
+    may = (F.col("one.doc") < F.col("two.doc")) & (F.col("one.group") != F.col("two.group")) & F.coalesce(F.abs(F.col("one.like") - F.col("two.like")) <= slack, F.lit(True))
     may &= (F.col("one.most") * 100 >= F.col("two.least") * PERCENT) & (F.col("two.most") * 100 >= F.col("one.least") * PERCENT)
     more = one.join(two, (F.col("one.sign") == F.col("two.sign")) & may).select(F.col("one.doc").alias("a"), F.col("two.doc").alias("b")).distinct()
-    more = common.stored(spark, verified(more, sets).where(_linked()).select("a", "b"), "links")
+    more = verified(spark, docs, more, known, words).where("linked").select("a", "b")
     if more.limit(1).count():
         groups = common.components(spark, groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
