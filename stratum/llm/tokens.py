@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 #: Chunks kept in each of the two generations of a worker's memory.
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 #: An array type of four bytes; ids are written little-endian.
 _WORD = "I"
@@ -35,6 +35,16 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Memory(dict):
+    """Chunks' ids; a chunk that is not there is encoded and kept."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.make(chunk)
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -48,7 +58,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.words = self.model.end_of_word_suffix is not None
         self.signs = _byte_signs()
-        self.young: dict[str, bytes] = {}
+        self.young = _Memory(self._chunk)
         self.old: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -64,7 +74,8 @@ class Encoder:
 
     def _keep(self, chunk: str, ids: bytes) -> None:
         if len(self.young) >= MEMORY:
-            self.old, self.young = self.young, {}
+            self.old = dict(self.young)
+            self.young.clear()
         self.young[chunk] = ids
 
     def _chunk(self, chunk: str) -> bytes:
@@ -87,14 +98,8 @@ class Encoder:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         # A space belongs to the chunk after it; a line end closes a chunk.
         chunks = text.split() if self.words else text.replace(" ", "\x00 ").replace("\n", "\n\x00").split("\x00")
-        get, out = self.young.get, []
-        for c in chunks:
-            ids = get(c)
-            if ids is None:
-                ids = self._chunk(c)
-                get = self.young.get
-            out.append(ids)
-        return b"".join(out)
+        memory = self.young
+        return b"".join([memory[c] for c in chunks])
 
 
 _ENCODERS: dict[str, Encoder] = {}

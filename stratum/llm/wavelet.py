@@ -39,7 +39,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
     values = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     out = [_HEAD.pack(_MAGIC, len(ids), len(doc_ids), bits), doc_ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes()]
     for bit in range(bits - 1, -1, -1):
-        one = (values >> bit & 1).astype(bool)
+        one = (values & values.dtype.type(1 << bit)) != 0
         plane = np.packbits(one, bitorder="little")
         plane = np.concatenate([plane, np.zeros(-len(plane) % (_BLOCK // 8), np.uint8)])
         ones = _ONES[plane].reshape(-1, _BLOCK // 8).sum(axis=1, dtype=np.uint32)
@@ -131,7 +131,7 @@ class WaveletMatrix:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             upper, zeros = np.empty(self.n, kind), self.zeros[level]
             upper[~one] = values[:zeros]
             upper[one] = values[zeros:] | kind(1 << (self.bits - 1 - level))
