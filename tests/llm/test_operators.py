@@ -265,6 +265,42 @@ def test_decontamination(spark, none):
     assert run(table, items.limit(0)) == set() and run(none, items) == set()
 
 
+def test_decontamination_masks():
+    for length in range(1, decontaminate.WINDOW + 1):
+        assert decontaminate.missed(length, decontaminate.masks_for(length)) == 0
+    assert decontaminate.missed(20, decontaminate.SQL_MASKS) == 368 and decontaminate.missed(15, decontaminate.SQL_MASKS) == 146
+
+
+def test_decontamination_against_all_diagonals(spark):
+    """Substitutions at the tolerance and one beyond it, in items of 1 to 24 words, against all diagonals without seeds."""
+    rng = np.random.default_rng(5)
+    items = [(n, passage(n, 300 + n)) for n in range(1, 25)]
+    docs = []
+    for n, item in items:
+        size = min(decontaminate.WINDOW, n)
+        for k in range(12):
+            start, copy = int(rng.integers(0, n - size + 1)), [f"o{j}" for j in range(n)]
+            wrong = rng.choice(size, size // 5 + (k % 4 == 3), replace=False)
+            copy[start : start + size] = [("other" if j in wrong else w) for j, w in enumerate(item[start : start + size])]
+            docs.append((1000 * n + k, passage(k % 3, n + k) + copy + passage(k % 2, n * k)))
+    # The substitutions that seeds of spread words miss: 15 words in runs of three.
+    docs.append((1, ["other" if j in (3, 7, 11) else w for j, w in enumerate(items[14][1])]))
+    expected = set()
+    for i, d in docs:
+        for item, q in items:
+            size, best = min(decontaminate.WINDOW, len(q)), None
+            for shift in range(-len(q), len(d)):
+                for at in range(max(0, -shift), min(len(q), len(d) - shift) - size + 1):
+                    matched = sum(q[j] == d[j + shift] for j in range(at, at + size))
+                    if 5 * matched >= 4 * size and (best is None or (-matched, at + shift) < best):
+                        best = (-matched, at + shift)
+            if best:
+                expected.add((i, item, best[1], -best[0], size))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.contaminated(spark, table, asked, "doc_id", "text", "item_id", "text").collect()} == expected
+
+
 def test_licenses(spark, none):
     mit = licenses.TEMPLATES["MIT"]
     texts = [(1, " ".join(passage(40, 1)) + " " + mit + " " + " ".join(passage(77, 2))), (2, "Released under the MIT License."), (3, "released under the mit"), (4, None), (5, ""), (6, " ".join(passage(300, 3))), (None, "x LICENSED UNDER the apache license version 2.0 y")]
