@@ -1,12 +1,12 @@
 """Quality by co-training of a text view and a metadata view (Blum and Mitchell, 1998).
 
 The text view sees signs and words: shares of kinds of signs, repetition, and hashed triples of bytes. The metadata
-view sees source, language, length and layout (lines). Each is a logistic regression. Over ROUNDS rounds each labels
-the rows of an unlabelled pool it is surest of, for the other to learn from. Each view is then calibrated, and the
-two are combined, on labelled rows kept apart for that. Every document is scored on its whole text.
+view sees source, language, length and layout (lines). Each is a logistic regression. Over ROUNDS rounds each scores all
+unlabelled rows and labels the PER_ROUND it is surest of, for the other to learn from. Each view is then calibrated, and
+the two are combined, on labelled rows kept apart for that. Every document is scored on its whole text.
 
-Fitting reads at most FIT_ROWS labelled rows and POOL_ROWS unlabelled ones, those of the least hashes of their id;
-rows whose crc32(id as text) mod 5 is 0 are not learned from.
+Both views of every document are computed once and stored. Fitting reads at most FIT_ROWS labelled rows, those of the
+least hashes of their id; rows whose crc32(id as text) mod 5 is 0 are not learned from.
 
 Defined results: null and empty texts and null metadata are values of their own; without labels of both kinds every
 score is 0.5; null ids are scored and count as not held out; repeated rows are scored each; an empty table gives no
@@ -15,16 +15,18 @@ row. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.llm import common
 from stratum.llm.toxicity import held_out
 
 FIT_ROWS = 6_000
-POOL_ROWS = 6_000
 ROUNDS, PER_ROUND, SURE = 5, 200, 0.95
 TEXT_BINS, META_BINS = 256, 96
 
@@ -82,26 +84,22 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Weights of both views, their calibrations (slope, shift) and the combination (two slopes, shift)."""
+def co_train(views: list[np.ndarray], y: np.ndarray, surest: Callable) -> dict[str, np.ndarray]:
+    """Weights of both views, their calibrations (slope, shift) and the combination (two slopes, shift).
+
+    ``surest(weights, many)``: (view, label, rows) of unlabelled rows that the view labels, as the other view sees them.
+    """
     order = np.random.default_rng(0).permutation(len(y))
     apart, own = order[: len(y) // 4], order[len(y) // 4 :]
     if len(np.unique(y[apart])) < 2 or len(np.unique(y[own])) < 2:
         apart = own = order
     given = [[(v[own], y[own])] for v in views]
-    free = np.ones(len(pools[0]), bool)
+    share = y[own].mean()
+    many = {1.0: max(1, round(PER_ROUND * share)), 0.0: max(1, round(PER_ROUND * (1 - share)))}
     for _ in range(ROUNDS):
         weights = [fit(np.concatenate([x for x, _ in g]), np.concatenate([t for _, t in g])) for g in given]
-        share = y[own].mean()
-        for k in (0, 1):
-            left = np.flatnonzero(free)
-            p = proba(pools[k][left], weights[k])
-            for label, sure, many in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                best = np.argsort(-sure, kind="stable")[: max(1, round(PER_ROUND * many))]
-                best = left[best[sure[best] >= SURE]]
-                best = best[free[best]]
-                free[best] = False
-                given[1 - k].append((pools[1 - k][best], np.full(len(best), label)))
+        for k, label, rows in surest(weights, many):
+            given[1 - k].append((rows, np.full(len(rows), label)))
     weights = [fit(np.concatenate([x for x, _ in g]), np.concatenate([t for _, t in g])) for g in given]
     scales, calibrated = [], []
     for v, w in zip(views, weights):
@@ -120,35 +118,69 @@ def _views(batch) -> tuple[np.ndarray, np.ndarray]:
     return text, meta
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
-    """The model, from the bounded sample."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    taught = known.where(~held_out("doc_id")).orderBy(*order, "y").limit(FIT_ROWS)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).join(known, "doc_id", "left_anti").orderBy(*order).limit(POOL_ROWS)
-    chosen = taught.union(others.withColumn("y", F.lit(None).cast("double")))  # FIT_ROWS + POOL_ROWS at most
+def viewed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, doc_id, t, m): both views of every row, stored."""
 
     def make(batches):
         for batch in batches:
-            text, meta = _views(batch)
-            packed = [pa.array([r.astype("<f4").tobytes() for r in v], pa.binary()) for v in (text, meta)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *packed], names=["doc_id", "y", "t", "m"])
-
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
-    rows = rows.mapInArrow(make, "doc_id long, y double, t binary, m binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], -1.0 if r["y"] is None else r["y"]))
-    labelled, pool = [r for r in rows if r["y"] is not None], [r for r in rows if r["y"] is None]
+            packed = [pa.array([r.astype("<f4").tobytes() for r in v], pa.binary()) for v in _views(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *packed], names=["doc_id", "t", "m"])
+
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", "n_chars")
+    rows = docs.mapInArrow(make, "doc_id long, t binary, m binary")
+    return common.stored(spark, rows.withColumn("row", F.monotonically_increasing_id()), "views")
+
+
+def _matrices(t: list[bytes], m: list[bytes]) -> list[np.ndarray]:
+    wide = len(text_view("")), len(meta_view(None, None, None, None))
+    return [np.frombuffer(b"".join(v), "<f4").reshape(-1, n).astype(float) for v, n in zip((t, m), wide)]
+
+
+def learn(spark: SparkSession, rows: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
+    """The model, from a bounded sample of the labelled ``rows`` and all that have no label."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    taught = known.where(~held_out("doc_id")).orderBy(*order, "y").limit(FIT_ROWS)
+    labelled = rows.join(F.broadcast(taught), "doc_id").select("doc_id", "y", "t", "m").collect()
+    labelled.sort(key=lambda r: (r["doc_id"], r["y"]))
     y = np.array([r["y"] for r in labelled])
     if len(np.unique(y)) < 2:
         return None
-    wide = {"t": len(text_view("")), "m": len(meta_view(None, None, None, None))}
-    matrix = lambda some, c: np.frombuffer(b"".join(r[c] for r in some), "<f4").reshape(-1, wide[c]).astype(float)
-    return co_train([matrix(labelled, c) for c in "tm"], y, [matrix(pool, c) for c in "tm"])
+    pool = rows.where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    taken: list[int] = []  # 4 * ROUNDS * PER_ROUND at most
+
+    def surest(weights, many):
+        def sure(batches):
+            for batch in batches:
+                p = [proba(x, w) for x, w in zip(_matrices(batch.column("t").to_pylist(), batch.column("m").to_pylist()), weights)]
+                far = np.maximum(*(np.maximum(q, 1 - q) for q in p)) >= SURE
+                columns = [batch.column("doc_id").filter(pa.array(far)), batch.column("row").filter(pa.array(far)), *(pa.array(q[far]) for q in p)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "p0", "p1"])
+
+        scored = pool.select("doc_id", "row", "t", "m").mapInArrow(sure, "doc_id long, row long, p0 double, p1 double")
+        scored = common.stored(spark, scored.join(known.select("doc_id"), "doc_id", "left_anti").where(~F.col("row").isin(taken)), "scored")
+        best = []
+        for k in (0, 1):
+            for label in many:
+                p = F.col(f"p{k}") if label else 1 - F.col(f"p{k}")
+                # The second view may find all that the first one takes at its top.
+                top = scored.select("row", "doc_id", p.alias("p")).where(F.col("p") >= SURE).orderBy(F.desc("p"), *order, "row").limit(many[label] + k * sum(many.values()))
+                best.append((k, label, [r["row"] for r in top.collect()]))
+        chosen = []
+        for k, label, found in best:
+            chosen.append((k, label, [r for r in found if r not in taken][: many[label]]))
+            taken.extend(chosen[-1][2])
+        new = [r for _, _, some in chosen for r in some]
+        seen = {r["row"]: (r["t"], r["m"]) for r in rows.where(F.col("row").isin(new)).select("row", "t", "m").collect()} if new else {}
+        return [(k, label, _matrices([seen[r][0] for r in some], [seen[r][1] for r in some])[1 - k]) for k, label, some in chosen]
+
+    return co_train(_matrices([r["t"] for r in labelled], [r["m"] for r in labelled]), y, surest)
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, p_text, p_meta, score) for every row of ``docs`` (doc_id, text, source, lang, n_chars)."""
-    model = spark.sparkContext.broadcast(learn(spark, docs, labels))  # some hundred numbers
+    rows = viewed(spark, docs)
+    model = spark.sparkContext.broadcast(learn(spark, rows, labels))  # some hundred numbers
 
     def score(batches):
         m = model.value
@@ -156,13 +188,13 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFram
             if m is None or not batch.num_rows:
                 p = q = s = np.full(batch.num_rows, 0.5)
             else:
-                text, meta = _views(batch)
+                text, meta = _matrices(batch.column("t").to_pylist(), batch.column("m").to_pylist())
                 p = proba(np.stack([_logit(proba(text, m["text"])), np.ones(len(text))], axis=1), m["text_scale"])
                 q = proba(np.stack([_logit(proba(meta, m["meta"])), np.ones(len(meta))], axis=1), m["meta_scale"])
                 s = proba(np.stack([_logit(p), _logit(q), np.ones(len(p))], axis=1), m["both"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (p, q, s))], names=["doc_id", "p_text", "p_meta", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", "n_chars").mapInArrow(score, "doc_id long, p_text double, p_meta double, score double")
+    return rows.select("doc_id", "t", "m").mapInArrow(score, "doc_id long, p_text double, p_meta double, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

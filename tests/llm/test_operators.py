@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm import common, decontaminate, fingerprint, jaccard, licenses, packing, quality, substring, tokens, toxicity, warc, wavelet
 
@@ -349,6 +350,39 @@ def test_quality_held_out(spark, none):
     assert quality.quality(spark, none, labels).count() == 0
 
 
+def test_quality_learns_from_all_unlabelled(spark):
+    """Scores as by co-training in memory on 8,000 unlabelled rows, more than any sample of 6,000 holds."""
+    rng = np.random.default_rng(3)
+    kinds = rng.random(9000) < 0.5
+    texts = [" ".join(passage(int(rng.integers(3, 9)), k)) + ("." if good else " !!! $$ 77") for k, good in enumerate(kinds)]
+    data = [(k, t, "en", f"src{int(good)}{k % 3}", len(t)) for k, (t, good) in enumerate(zip(texts, kinds))]
+    flips = rng.random(9000) < 0.1
+    labels = spark.createDataFrame([(k, int(kinds[k] ^ flips[k])) for k in range(1000)], "doc_id long, quality int")
+    apart = {r["id"] for r in spark.range(9000).where(toxicity.held_out("id")).collect()}
+    order = {r["id"]: r["h"] for r in spark.range(9000).select("id", F.xxhash64("id").alias("h")).collect()}
+    seen = [np.float32([quality.text_view(r[1]) for r in data]).astype(float), np.float32([quality.meta_view(r[3], r[2], r[4], r[1]) for r in data]).astype(float)]
+    learned = [k for k in range(1000) if k not in apart]
+    free = {k for k in range(1000, 9000) if k not in apart}
+    assert len(free) > 6000
+
+    def surest(weights, many):
+        out = []
+        for k in (0, 1):
+            for label, n in many.items():
+                p = quality.proba(seen[k], weights[k])
+                p = p if label else 1 - p
+                best = sorted((j for j in free if p[j] >= quality.SURE), key=lambda j: (-round(p[j], 12), order[j]))[:n]
+                free.difference_update(best)
+                out.append((k, label, seen[1 - k][best]))
+        return out
+
+    model = quality.co_train([v[learned] for v in seen], np.array([float(kinds[k] ^ flips[k]) for k in learned]), surest)
+    z = [quality._logit(quality.proba(np.stack([quality._logit(quality.proba(v, model[n])), np.ones(9000)], axis=1), model[f"{n}_scale"])) for v, n in zip(seen, ("text", "meta"))]
+    expected = quality.proba(np.stack([*z, np.ones(9000)], axis=1), model["both"])
+    found = {r["doc_id"]: r["score"] for r in quality.quality(spark, spark.createDataFrame(data, DOCS).repartition(5), labels).collect()}
+    assert len(found) == 9000 and np.abs(np.array([found[k] for k in range(9000)]) - expected).max() < 1e-5
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     found = {r["id"]: r["component"] for r in common.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
