@@ -16,7 +16,7 @@ pairs that the first round's links leave in different components. No bucket is c
 distances to the signature's least member (Jaccard distance is a metric) rule out a link are not formed.
 
 Defined results: null and empty texts have no shingles and no links; rows of one id are one document with several
-texts; a null id has a null component and no links; an empty table gives no row. Other columns are ignored.
+texts, linked where any of them are, and have one component (the SQL takes the union of their shingles); a null id has a null component and no links; an empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -306,7 +306,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     stars = found.where("kind = 1").select(F.col("a").alias("sign"), F.col("b").alias("hub"), F.col("x").alias("doc"))
     known = found.where("kind = 0 and b > 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
     near = verified(spark, docs, stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), known, words)
-    groups = common.components(spark, near.where("linked").select("a", "b"))
+
+    # By class and salt, so that a class of very many rows is spread.
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(common.SALTS)).cast("int"))
+    parts = salted.where(F.col("id") != _NULL).where("n > 0").groupBy("x", "y", "salt").agg(F.min("id").alias("least"))
+    classes = parts.groupBy("x", "y").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts"))
+
+    # An id of several texts is linked with the least ids of their classes, which stand for it. No distance holds for it.
+    texts = members.where(F.col("id") != _NULL).groupBy("id").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in "xy"))
+    several = common.stored(spark, texts.where("least_x <> most_x or least_y <> most_y").select("id"), "several")
+    links = near.where("linked").select("a", "b")
+    any_several = several.limit(1).count() > 0
+    if any_several:
+        standing = classes.select("x", "y", "least", F.explode("salts").alias("salt"))
+        links = links.union(salted.join(several, "id", "left_semi").join(standing, ["x", "y", "salt"]).select("id", "least").distinct())
+        for end in ("a", "b"):
+            near = near.join(several.select(F.col("id").alias(end), F.lit(True).alias("_of_several")), end, "left")
+            near = near.withColumn("like", F.when(F.col("_of_several").isNull(), F.col("like"))).drop("_of_several")
+    groups = common.components(spark, links)
 
     # Second round: members of a signature that are still in different components.
     sizes = members.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -325,12 +342,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     if more.limit(1).count():
         groups = common.components(spark, groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
-    # Back to all rows: by class and salt, so that a class of very many rows is spread.
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(common.SALTS)).cast("int"))
-    parts = salted.where(F.col("id") != _NULL).where("n > 0").groupBy("x", "y", "salt").agg(F.min("id").alias("least"))
-    classes = parts.groupBy("x", "y").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts"))
+    # Back to all rows; those without shingles have no class, and of an id of several texts its component.
     classes = classes.join(groups, F.col("least") == F.col("id"), "left").select("x", "y", F.coalesce("component", "least").alias("component"), F.explode("salts").alias("salt"))
     rows = salted.join(classes, ["x", "y", "salt"], "left")
+    if any_several:
+        own = several.join(groups, "id").select("id", F.col("component").alias("own"))
+        rows = rows.join(own, "id", "left").withColumn("component", F.coalesce("component", "own"))
     component = F.when(F.col("id") != _NULL, F.coalesce("component", "id"))
     return rows.select(F.when(F.col("id") != _NULL, F.col("id")).alias("id"), F.col("n").alias("n_shingles"), component.alias("component"))
 

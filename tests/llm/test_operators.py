@@ -255,6 +255,37 @@ def test_fingerprint_bucket_of_different_texts(spark, monkeypatch):
     assert found[1] == found[3] != found[2] and len(set(found.values())) == 3
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    one, two, three, four = (passage(60, 700 + k) for k in range(4))
+    near = lambda words, at: [("swapped" if k == at else w) for k, w in enumerate(words)]
+    # 10 joins 5 and 7; 21 and 20 share a text, and 21 is near 22 by another; 31 has an empty text beside that of 30.
+    rows = [(10, one), (5, one), (10, two), (7, two), (20, three), (21, three), (21, four), (22, near(four, 30)), (31, near(one[:40], 0)), (30, near(one[:40], 0)), (31, []), (40, []), (40, passage(9, 3))]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    found = {(r["id"], r["component"]) for r in jaccard.near_duplicates(spark, table, "doc_id", "text").collect()}
+    assert found == {(5, 5), (7, 5), (10, 5), (20, 20), (21, 20), (22, 20), (30, 30), (31, 30), (40, 40)}
+
+
+def test_jaccard_of_random_ids(spark):
+    """Ids drawn anew for texts with near copies, against components over all pairs of rows."""
+    rng = np.random.default_rng(11)
+    bases = [passage(50, 800 + k) for k in range(6)]
+    rows = []
+    for k in range(60):
+        words = list(bases[int(rng.integers(0, 6))])
+        for at in rng.choice(50, int(rng.integers(0, 4)), replace=False):
+            words[at] = f"w{k}x{at}"
+        rows.append((int(rng.integers(0, 45)), words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in rows]
+    least = {i: i for i, _ in rows}
+    for _ in rows:
+        for (i, _), x in zip(rows, sets):
+            for (j, _), y in zip(rows, sets):
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    least[i] = least[j] = min(least[i], least[j])
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    assert {(r["id"], r["component"]) for r in jaccard.near_duplicates(spark, table, "doc_id", "text").collect()} == set(least.items())
+
+
 def test_decontamination(spark, none):
     item = passage(40, 200)
     swapped = [("other" if k % 6 == 5 else w) for k, w in enumerate(item)]
