@@ -2,8 +2,9 @@
 
 Toxic documents go; of each group of near duplicates the document with the least id stays; words of passages that
 also start earlier go; documents with a benchmark item go; what is left is packed. A stage judges all that the one
-before it kept. Rows of one id are one document to the second and fourth stage; null ids are near to nothing and
-stay there. Other columns than those of documents are dropped by the first stage.
+before it kept. Rows of one id are one document to the second and fourth stage, and of those of one text too the second
+keeps one, with the least other columns; a row without an id is a document of its own there. Other columns than those of
+documents are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -18,9 +19,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``: the id, or for a row without one a number beyond all ids."""
+    ids = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("without")).first()
+    if not ids["without"]:
+        return docs.withColumn("key", F.col("doc_id"))
+    least, most = (0, 0) if ids["most"] is None else (ids["least"], ids["most"])
+    row = F.monotonically_increasing_id()
+    key = F.lit(most + 1) + row if most < 1 << 62 else F.lit(least - 1) - row
+    without = common.stored(spark, docs.where(F.col("doc_id").isNull()).withColumn("key", key), "without-ids")
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("key", F.col("doc_id").cast("long")).unionByName(without)
+
+
+def _among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys, "key", how)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +43,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join."""
-    rows = jaccard.near_duplicates(spark, docs, "doc_id", "text")
-    gone = rows.where("component <> id").select(F.col("id").alias("doc_id")).distinct()
-    return _without(docs, common.stored(spark, gone, "near-duplicates")).select(COLUMNS)
+    """One document of each component of the n-gram Jaccard join, without repeated rows."""
+    docs = _keyed(spark, docs)
+    rows = jaccard.near_duplicates(spark, docs, "key", "text")
+    gone = rows.where("component <> id").select(F.col("id").alias("key")).distinct()
+    kept = _among(docs, common.stored(spark, gone, "near-duplicates"), "left_anti")
+    repeated = common.stored(spark, docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    if not repeated.limit(1).count():
+        return kept.select(COLUMNS)
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = _among(kept, repeated, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("least"))
+    return _among(kept, repeated, "left_anti").select(COLUMNS).unionByName(one.select("doc_id", "text", "least.*"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +66,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    gone = decontaminate.of_tables(spark, docs, sf_dir).select(F.col("id").alias("doc_id")).distinct()
-    return _without(docs, common.stored(spark, gone, "contaminated")).select(COLUMNS)
+    docs = _keyed(spark, docs)
+    gone = decontaminate.of_tables(spark, docs.select(F.col("key").alias("doc_id"), "text"), sf_dir).select(F.col("id").alias("key")).distinct()
+    return _among(docs, common.stored(spark, gone, "contaminated"), "left_anti").select(COLUMNS)
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,19 @@ def test_pipeline(spark):
             assert decontaminate.of_tables(spark, docs, SMALL).count() == 0
     assert counts[0] > counts[1] > counts[2] == counts[3] > counts[4]
     assert docs.select("doc_id").distinct().count() == counts[4]
+
+
+def test_pipeline_of_repeated_rows_and_null_ids(spark):
+    """Repeated rows go; rows without an id are judged each, not all alike."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, text(1), "en", "b", 9), (1, text(1), "en", "a", 9), (1, text(2), "en", "a", 9), (2, text(3), "en", "a", 9), (None, text(3), "en", "a", 9)]
+    rows += [(None, text(4), "en", "a", 9), (None, text(4), "en", "a", 9), (None, text(5), "en", "a", 9), (None, None, "en", "a", 9), (None, item, "en", "a", 9), (3, item + " of 3", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    expected = [rows[k] for k in (1, 2, 3, 5, 7, 8)]
+    assert [r for r in plain(kept) if item not in r] == sorted(map(repr, expected))
+    assert plain(corpus_pipeline.benchmark(spark, docs, SMALL)) == sorted(map(repr, rows[:9]))
