@@ -9,8 +9,8 @@ Both views of every document are computed once and stored. Fitting reads at most
 least hashes of their id; rows whose crc32(id as text) mod 5 is 0 are not learned from.
 
 Defined results: null and empty texts and null metadata are values of their own; without labels of both kinds every
-score is 0.5; null ids are scored and count as not held out; repeated rows are scored each; an empty table gives no
-row. Other columns are ignored.
+score is 0.5; null ids are scored and count as not held out; repeated rows are scored each, and of several rows of a
+labelled id one is learned from, that of the least hash; an empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,8 +140,9 @@ def learn(spark: SparkSession, rows: DataFrame, labels: DataFrame) -> dict[str,
     """The model, from a bounded sample of the labelled ``rows`` and all that have no label."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    taught = known.where(~held_out("doc_id")).orderBy(*order, "y").limit(FIT_ROWS)
-    labelled = rows.join(F.broadcast(taught), "doc_id").select("doc_id", "y", "t", "m").collect()
+    taught = known.where(~held_out("doc_id")).distinct().orderBy(*order, "y").limit(FIT_ROWS)
+    one = F.min_by(F.struct("t", "m"), F.struct(F.xxhash64("t", "m"), "t", "m")).alias("one")
+    labelled = rows.join(F.broadcast(taught), "doc_id").groupBy("doc_id", "y").agg(one).select("doc_id", "y", "one.*").collect()
     labelled.sort(key=lambda r: (r["doc_id"], r["y"]))
     y = np.array([r["y"] for r in labelled])
     if len(np.unique(y)) < 2:

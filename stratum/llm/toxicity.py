@@ -14,7 +14,8 @@ crc32(id as text) mod 5 is 0. Labels, languages, sources and ids are no inputs o
 
 Defined results: null and empty texts have density 0 and the score of that; without any label of either kind the
 fixed list and a fixed curve hold; null ids are not learned from and count as not held out; an empty table gives no
-row. Repeated rows are scored each. Other columns are carried along.
+row. Repeated rows are scored each; of several rows of a labelled id the least text is learned from. Other columns are
+carried along, but for one named ``score`` in any case of letters.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from stratum.llm import common
 
 #: Labelled rows that are learned from, at most.
 FIT_ROWS = 20_000
-#: Lexicon entries, at most; their weighted toxic documents, at least.
-ENTRIES, SUPPORT = 5_000, 3.0
+#: Weighted toxic documents of a lexicon entry, at least.
+SUPPORT = 3.0
 #: Log odds, at least, of a word and of a word beginning; an entry weighs its log odds less BASE.
 WORD_ODDS, STEM_ODDS, BASE = 3.0, 5.0, 2.0
 #: Lengths of word beginnings.
@@ -128,8 +129,10 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str,
     """The lexicon's weights and the curve (slope, shift)."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(FIT_ROWS)
+    known = known.distinct().orderBy(F.xxhash64("id"), "id", "toxic").limit(FIT_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    if rows.groupBy("id", "toxic").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic")
     made = common.stored(spark, rows.mapInArrow(_features, f"id {docs.schema[id_col].dataType.simpleString()}, toxic int, signs array<long>, entries array<string>"), "toxic-features")
     each = made.select("id", F.posexplode("signs").alias("which", "sign"))
     sharing = each.join(each.groupBy("which", "sign").agg(F.countDistinct("id").alias("n")), ["which", "sign"])
@@ -142,8 +145,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str,
         counts = weighed.select(F.explode("entries").alias("entry"), "w", "toxic").groupBy("entry").agg(F.sum(F.col("w") * F.col("toxic")).alias("t"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("n"))
         odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
         best = counts.where(F.col("t") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= F.when(F.col("entry").endswith(" "), WORD_ODDS).otherwise(STEM_ODDS))
-        best = best.orderBy(F.desc("t"), "entry").limit(ENTRIES)
-        weights |= {r["entry"]: r["odds"] - BASE for r in best.collect()}
+        weights |= {r["entry"]: r["odds"] - BASE for r in best.collect()}  # entries of FIT_ROWS documents
         lexicon = Lexicon(weights)
 
         def measure(batches):
@@ -176,9 +178,9 @@ def scored(docs: DataFrame, text_col: str, weights: dict[str, float], curve: tup
     """``docs`` with ``score``."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c.lower() != "score"]
     slope, shift = curve
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # ENTRIES and the fixed list at most
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # entries of FIT_ROWS documents and the fixed list
 
     def score(batches):
         lexicon = Lexicon(shared.value)
