@@ -9,6 +9,9 @@ bands of one MinHash each, such a pair shares a band with probability 1 - (1 - S
 Windows without any shingle of any template have containment 0 and are left out before hashing; nothing else is.
 The templates are few and fixed, so their bands and shingles are broadcast.
 
+Of relatives (SHARE of the one's shingles are in the other, as in a notice and the same one with a clause more) that
+are found at overlapping windows of a document, those with less than the best share are left out.
+
 Defined results: null and empty texts, and texts of fewer than 3 words, have no licence; rows of one id are scanned
 each and give one row per id and licence; null ids are kept; an empty table gives no row. Other columns are ignored.
 """
@@ -66,6 +69,11 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return rows.withColumn("width", F.expr("cast(power(2, ceil(log2(2 * size(t)))) as int)"))
 
 
+def relatives(fixed) -> list[str]:
+    """"one|other" for each two templates of which the one may be found where only the other stands."""
+    return [f"{a['license']}|{b['license']}" for a in fixed for b in fixed if a["license"] != b["license"] and len(set(a["t"]) & set(b["t"])) >= SHARE * len(set(a["t"]))]
+
+
 def licenses(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     """(id, license, start, matched, shingles): each licence found, at its best and then first window."""
     known = templates(spark, texts)
@@ -86,9 +94,19 @@ def licenses(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, t
     banded = windows.select("id", "width", "start", F.explode(_bands(F.col("x"))).alias("b"), "x").select("id", "width", "start", "x", "b.*")
     asked = known.select("license", "width", "t", F.explode(_bands(F.col("t"))).alias("b")).select("license", "width", "t", "b.*")
     found = banded.join(F.broadcast(asked), ["width", "band", "value"]).dropDuplicates(["id", "width", "start", "license"])
-    found = found.select("id", "license", "start", F.size(F.array_intersect("x", "t")).alias("matched"), F.size("t").alias("shingles"))
+    found = found.select("id", "license", "start", "width", F.size(F.array_intersect("x", "t")).alias("matched"), F.size("t").alias("shingles"))
     found = found.where(F.col("matched") >= F.col("shingles") * F.lit(SHARE))
-    top = found.groupBy("id", "license").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "shingles")).alias("top"))
+    top = found.groupBy("id", "license").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "shingles", "width")).alias("top"))
+    if near := relatives(fixed):
+        # As many entries as there are templates, at most, meet for an id.
+        every = top.groupBy("id").agg(F.collect_list(F.struct("license", "top")).alias("every"))
+
+        def better(a: Column, b: Column) -> Column:
+            apart = F.abs(a["top"]["back"] - b["top"]["back"]) >= F.greatest(a["top"]["width"], b["top"]["width"])
+            return F.concat(a["license"], F.lit("|"), b["license"]).isin(near) & ~apart & (b["top"]["matched"] * a["top"]["shingles"] > a["top"]["matched"] * b["top"]["shingles"])
+
+        stay = F.filter("every", lambda a: ~F.exists("every", lambda b: better(a, b)))
+        top = every.select("id", F.explode(stay).alias("one")).select("id", "one.*")
     return top.select("id", "license", (-F.col("top.back")).cast("long").alias("start"), F.col("top.matched").cast("long").alias("matched"), F.col("top.shingles").cast("long").alias("shingles"))
 
 
@@ -110,5 +128,7 @@ d AS (SELECT doc_id, list_transform(range(0, len(w) - 2), lambda i: w[i + 1] ||
 x AS (SELECT doc_id, license, j * (width // 2) AS start, n, len(list_intersect(list_distinct(s[j * (width // 2) + 1 : j * (width // 2) + width]), t)) AS m
   FROM d, k, unnest(range(0, 1 + greatest(0, len(s) - width // 2 - 1) // (width // 2))) u(j)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY m DESC, start) AS o FROM x WHERE m >= n * {SHARE})
-SELECT doc_id, license, CAST(start AS BIGINT) AS start, CAST(m AS BIGINT) AS matched, CAST(n AS BIGINT) AS shingles FROM r WHERE o = 1""",
+o AS (SELECT r.*, width, t FROM r JOIN k USING (license) WHERE o = 1)
+SELECT doc_id, license, CAST(start AS BIGINT) AS start, CAST(m AS BIGINT) AS matched, CAST(n AS BIGINT) AS shingles FROM o a
+WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND b.license <> a.license AND len(list_intersect(a.t, b.t)) >= {SHARE} * a.n AND abs(a.start - b.start) < greatest(a.width, b.width) AND b.m * a.n > a.m * b.n)""",
 }
