@@ -51,7 +51,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     own, sent = F.struct(F.col("part").alias("part"), F.lit(0).alias("own")), F.struct(F.col("onward").alias("part"), F.lit(-1).alias("own"))
     rows = rows.withColumn("at", F.explode(F.when(F.col("onward").isNull(), F.array(own)).otherwise(F.array(own, sent)))).drop("part", "onward")
     rows = rows.select("id", "text", "h", F.col("at.part").alias("part"), F.col("at.own").alias("own"))
-    window = Window.partitionBy("part").orderBy("own", F.col("id").asc_nulls_first(), F.col("h.x"))
+    window = Window.partitionBy("part").orderBy("own", F.col("id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.withColumn("next", F.lag(F.struct("id", "text", "h")).over(window))
     return rows.where("own = 0").drop("part", "own")
 
