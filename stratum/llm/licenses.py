@@ -127,7 +127,7 @@ dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 d AS (SELECT doc_id, list_transform(range(0, len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS s FROM dw WHERE len(w) >= 3),
 x AS (SELECT doc_id, license, j * (width // 2) AS start, n, len(list_intersect(list_distinct(s[j * (width // 2) + 1 : j * (width // 2) + width]), t)) AS m
   FROM d, k, unnest(range(0, 1 + greatest(0, len(s) - width // 2 - 1) // (width // 2))) u(j)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY m DESC, start) AS o FROM x WHERE m >= n * {SHARE})
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY m DESC, start) AS o FROM x WHERE m >= n * {SHARE}),
 o AS (SELECT r.*, width, t FROM r JOIN k USING (license) WHERE o = 1)
 SELECT doc_id, license, CAST(start AS BIGINT) AS start, CAST(m AS BIGINT) AS matched, CAST(n AS BIGINT) AS shingles FROM o a
 WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND b.license <> a.license AND len(list_intersect(a.t, b.t)) >= {SHARE} * a.n AND abs(a.start - b.start) < greatest(a.width, b.width) AND b.m * a.n > a.m * b.n)""",
