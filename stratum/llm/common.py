@@ -5,16 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A hot key's rows are dealt over so many salts.
 SALTS = 32
+#: Rows of a batch between the JVM and Python, which both hold it whole.
+BATCH_ROWS = 1_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; in local mode, where it is unset, a temporary one."""
+    """The shared folder that ``spark.checkpoint.dir`` names; in local mode, where it is unset, a temporary one.
+
+    Batches for Python are bounded from here on, as all operators that run Python come by.
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
@@ -54,11 +62,39 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, lineage cut, safe when executors are lost."""
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _STORED[table] = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that no plan reads any more."""
+    for table in tables:
+        remove(spark, _STORED.pop(table))
+
+
+def buckets(spark: SparkSession, texts: DataFrame, per: int) -> int:
+    """As many buckets as there are shuffle partitions, or more, so that each gets about ``per`` bytes of the one column."""
+    total = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0]))).alias("n")).first()["n"] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores ahead that they are no columns of ``df`` in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def minimum_of_key(rows: DataFrame, keys: list[str], value: str, out: str, salts: int = SALTS) -> DataFrame:
@@ -115,6 +151,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         # The forest is done when no node is both a child and a parent and every child has one parent.
         open_ = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
         many = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        release(spark, edges)
         edges = after
         if not open_ and not many:
             break

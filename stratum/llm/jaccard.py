@@ -7,13 +7,17 @@ first-level partitions one has at most one differing second-level partition: the
 first-level partition gives the three subsets of two second-level partitions as signatures, and linked sets share
 one. Partitions are enumerated in order and only until enough of them are filled (two second-level partitions not
 empty), so a shared signature is never one of empty partitions. A set that has too few filled partitions also gives
-its k + 1 least shingles, which linked sets of that kind share.
-
-Equal sets are one class, of which the least id stands for all. Candidates whose sizes, or whose counts of shingles
-in cells of the domain, already differ by more than linked sets can are left out; the others are verified on
-their whole sets. They come in two rounds: each signature's least member against the others; then, of the members of a signature, only
-pairs that the first round's links leave in different components. No bucket is capped. Pairs whose sizes or whose
-distances to the signature's least member (Jaccard distance is a metric) rule out a link are not formed.
+its rarest shingles, as many as it may lack and one more (rare ones by their hash, then frequent ones by their
+frequency in a sample); of two linked sets of that kind one such shingle is common.
+
+Equal sets are one class, of which the least id stands for all. The sets that share a signature are settled in two
+rounds. First each signature's least member (its hub) is held against the others: candidates whose sizes, or whose
+counts of shingles in cells of the domain, already differ by more than linked sets can are left out, and the rest are
+verified on their whole sets. Then the members of a hub that the links found so far leave in different components
+are settled together: a set more than a quarter of whose shingles no other such set has can have no link and leaves,
+and the sets that stay of one hub meet in a task, which counts the shingles that a set outside the hub's largest
+component shares with each other one and gives a link for each pair of components it joins. Pairs are never rows
+there, and a large hub is cut into blocks of bounded size of which every two that need it meet. No bucket is capped.
 
 Defined results: null and empty texts have no shingles and no links; rows of one id are one document with several
 texts, linked where any of them are, and have one component (the SQL takes the union of their shingles); a null id has a null component and no links; an empty table gives no row. Other columns are ignored.
@@ -36,10 +40,13 @@ PERCENT = 75
 #: A shingle is frequent if so many of the sampled documents (one in SAMPLE) have it; at most so many are frequent.
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 500_000
 #: Signatures that a task holds before it sends them on.
-HELD = 4 << 20
+HELD = 2 << 20
+#: Bytes of text whose signatures meet in a bucket; shingles whose counts meet in one; shingles of a block of a hub.
+BUCKET_TEXT, BUCKET_SHINGLES, BLOCK_SHINGLES = 16 << 20, 2 << 20, 1 << 20
+#: Holders of shingles that are looked at in one step.
+AT_ONCE = 1 << 20
 #: Ids of documents to fetch that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_NULL = -(1 << 63)
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -59,16 +66,17 @@ def partitions(band: int) -> int:
     return max(1, -(-(2 << band) // 5))
 
 
-def signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a set of sorted hashes; ``frequent`` is sorted."""
+def signatures(elements: np.ndarray, frequent: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set of sorted hashes; ``frequent`` is sorted, ``rank`` its order from the least frequent."""
     n = len(elements)
     if not n:
         return np.empty(0, np.uint64)
     far, band = n * (100 - PERCENT) // PERCENT, n.bit_length() - 1
-    often = np.zeros(n, bool)
+    often, last = np.zeros(n, bool), elements[:0]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
         often = frequent[at] == elements
+        last = elements[often] if rank is None else elements[often][np.argsort(rank[at[often]])]
     rare = elements[~often]
     out, mass = [], mixed(rare ^ _A)
     for b in (band, band + 1):
@@ -94,12 +102,12 @@ def signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
                     out.append(mixed(sign[some]))
         if not enough:
             with np.errstate(over="ignore"):
-                out.append(mixed(np.concatenate([rare, elements[often]])[: far + 1] + np.uint64(b + 1) * _B))
+                out.append(mixed(np.concatenate([rare, last])[: n * (100 - PERCENT) // 100 + 1] + np.uint64(b + 1) * _B))
     return np.unique(np.concatenate(out))
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many documents, by a sample; MOST_FREQUENT at most."""
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many documents, by a sample, and their order from the least frequent; MOST_FREQUENT at most."""
 
     def each(batches):
         windows = Windows(words)
@@ -110,7 +118,9 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "s long")
     often = some.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(MOST_FREQUENT)
-    return np.sort(np.array([r["s"] for r in often.collect()], np.int64).view(np.uint64))
+    found = np.array([r["s"] for r in often.collect()], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
 
 
 def cells_of(sizes: np.ndarray) -> np.ndarray:
@@ -138,10 +148,11 @@ _FOUND = "kind int, a long, b long, x long, y long, sketch binary"
 
 
 def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: (0, id, size, digest, digest, sketch) per document, and (1, signature, least member, member, 0, none)."""
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Rows of three kinds: (0, id, size, digest, digest, sketch) per document, (2, 0, size, ...) per document without an
+    id, and (1, hub, member, size of their largest signature): the members of a signature with its least one."""
+    buckets = common.buckets(spark, docs.select("text"), BUCKET_TEXT)
     often = spark.sparkContext.broadcast(frequent_shingles(docs, words))  # MOST_FREQUENT numbers at most
-    sign_kinds, doc_kinds, who_kinds = ("<u4", "<u2", "<u4"), ("<i8", "<i8", "<u8", "<u8"), ("<i8", "<u4", "<u2")
+    sign_kinds, doc_kinds, who_kinds = ("<u8", "<u4"), ("<i8", "<i8", "<u8", "<u8"), ("<i8", "<u8")
 
     def send(batches):
         windows = Windows(words)
@@ -150,29 +161,31 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
         def flush():
             nonlocal members, classes, signs, n
             out = []
-            ids, sizes, highs, lows = (np.array(x, t) for x, t in zip(zip(*(m[:4] for m in members)), (np.int64, np.int64, np.uint64, np.uint64)))
-            cells = [m[4] for m in members]
+            kinds, ids, sizes, highs, lows = (np.array(x, t) for x, t in zip(zip(*(m[:5] for m in members)), (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
+            cells = [m[5] for m in members]
             least = np.array([x[0] for x in classes.values()], np.int64)
             high = np.array([x[1] for x in classes.values()], np.uint64)
-            low = np.array([x[2] for x in classes.values()], np.uint64)
             bucket = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            for k in np.unique(bucket):
-                own = np.flatnonzero(bucket == k)
-                out.append((int(k), 0, len(own), squeeze(ids[own], sizes[own], highs[own], lows[own]), 0, b"".join([cells[o] for o in own])))
+            place = 2 * bucket + (kinds > 0)
+            for k in np.unique(place):
+                own = np.flatnonzero(place == k)
+                out.append((int(k) // 2, int(k) % 2 * 2, len(own), squeeze(ids[own], sizes[own], highs[own], lows[own]), 0, b"".join([cells[o] for o in own])))
             if signs:
-                # 48 bits of a signature are sent, and 48 of a set's digest: chance meetings are only candidates.
+                # 48 bits of a signature are sent: a chance meeting is only one more candidate.
                 sign, owner = np.concatenate([s for _, s in signs]), np.repeat(np.array([o for o, _ in signs], np.uint32), [len(s) for _, s in signs])
+                signs = []
                 order = np.argsort(sign)
                 sign, owner = sign[order], owner[order]
                 bucket = ((sign >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                sign >>= np.uint64(16)
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if a < b:
-                        here, local = np.unique(owner[a:b], return_inverse=True)
-                        who = squeeze(least[here], (high[here] >> np.uint64(32)).astype(np.uint32), (high[here] >> np.uint64(16)).astype(np.uint16))
-                        cut = squeeze((sign[a:b] >> np.uint64(32)).astype(np.uint32), (sign[a:b] >> np.uint64(16)).astype(np.uint16), local.astype(np.uint32))
-                        out.append((k, 1, int(b - a), cut, len(here), who))
+                for k in np.flatnonzero(np.diff(cuts)):
+                    a, b = cuts[k], cuts[k + 1]
+                    here, local = np.unique(owner[a:b], return_inverse=True)
+                    cut = squeeze(np.diff(sign[a:b], prepend=np.uint64(0)), local.astype(np.uint32))
+                    out.append((int(k), 1, int(b - a), cut, len(here), squeeze(least[here], high[here])))
             members, classes, signs, n = [], {}, [], 0
+            pa.default_memory_pool().release_unused()
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["bucket", "kind", "n", "blob", "m", "who"])
 
@@ -181,15 +194,15 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
                 found = shingles(text.as_py(), windows)
                 digest = xxhash.xxh3_128_intdigest(found.tobytes()) if len(found) else 0
                 high, low = digest >> 64, digest & (1 << 64) - 1
-                members.append((_NULL if doc is None else doc, len(found), high, low, sketch(found)))
-                n += 1
+                members.append((int(doc is None), doc or 0, len(found), high, low, sketch(found)))
+                n += 8
                 if len(found) and doc is not None:
                     if digest in classes:
                         known = classes[digest]
                         known[0] = min(known[0], doc)
                     else:
-                        classes[digest] = [doc, high, low]
-                        signs.append((len(classes) - 1, signatures(found, often.value)))
+                        classes[digest] = [doc, high]
+                        signs.append((len(classes) - 1, signatures(found, *often.value)))
                         n += len(signs[-1][1])
                 if n >= HELD:
                     yield flush()
@@ -199,16 +212,15 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         out, signs, ids, highs = [], [], [], []
         for kind, n, blob, m, who in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "blob", "m", "who"))):
-            if kind == 0:
+            if kind != 1:
                 doc, size, high, low = expand(blob, n, *doc_kinds)
                 ends = np.concatenate([[0], np.cumsum(cells_of(size))]).astype(np.int32)
                 cells = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(who)])
-                out.append([pa.array(np.zeros(n, np.int32)), *(pa.array(c, pa.int64()) for c in (doc, size, high.view(np.int64), low.view(np.int64))), cells])
+                out.append([pa.array(np.full(n, kind, np.int32)), *(pa.array(c, pa.int64()) for c in (doc, size, high.view(np.int64), low.view(np.int64))), cells])
             else:
-                sign, rest, local = expand(blob, n, *sign_kinds)
-                least, high, low = expand(who, m, *who_kinds)
-                high = high.astype(np.uint64) << np.uint64(16) | low
-                signs.append(sign.astype(np.uint64) << np.uint64(16) | rest)
+                steps, local = expand(blob, n, *sign_kinds)
+                least, high = expand(who, m, *who_kinds)
+                signs.append(np.cumsum(steps, dtype=np.uint64))
                 ids.append(least[local])
                 highs.append(high[local])
         if signs:
@@ -228,10 +240,16 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
             sign, doc = sign[order], doc[order]
             head = np.ones(len(sign), bool)
             head[1:] = sign[1:] != sign[:-1]
-            hub = doc[np.maximum.accumulate(np.where(head, np.arange(len(sign)), 0))] if len(sign) else doc
+            first = np.maximum.accumulate(np.where(head, np.arange(len(sign)), 0)) if len(sign) else np.empty(0, np.int64)
+            many, hub = np.bincount(first, minlength=len(sign))[first], doc[first]
             other = hub != doc
-            n = int(other.sum())
-            out.append([pa.array(np.ones(n, np.int32)), *(pa.array(c, pa.int64()) for c in (sign[other].view(np.int64), hub[other], doc[other], np.zeros(n, np.int64))), pa.nulls(n, pa.binary())])
+            hub, doc, many = hub[other], doc[other], many[other]
+            order = np.lexsort((-many, doc, hub))
+            hub, doc, many = hub[order], doc[order], many[order]
+            new = np.ones(len(hub), bool)
+            new[1:] = (hub[1:] != hub[:-1]) | (doc[1:] != doc[:-1])
+            n = int(new.sum())
+            out.append([pa.array(np.ones(n, np.int32)), *(pa.array(c, pa.int64()) for c in (hub[new], doc[new], many[new], np.zeros(n, np.int64))), pa.nulls(n, pa.binary())])
         return pa.table([pa.chunked_array(x) for x in zip(*out)], names=["kind", "a", "b", "x", "y", "sketch"])
 
     sent = docs.select("id", "text").mapInArrow(send, "bucket int, kind int, n int, blob binary, m int, who binary")
@@ -239,7 +257,7 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
 
 
 def shingle_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, elements) of the documents in ``ids``."""
+    """(row, id, elements) of the texts of the documents in ``ids``; ``row`` is a number."""
 
     def make(batches):
         windows = Windows(words)
@@ -249,7 +267,8 @@ def shingle_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, words: in
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return common.stored(spark, wanted.mapInArrow(make, "id long, elements binary"), "sets")
+    made = wanted.mapInArrow(make, "id long, elements binary").where(F.length("elements") > 0)
+    return common.stored(spark, made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
 def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -270,75 +289,221 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, known: DataFrame, words: int) -> DataFrame:
-    """(a, b, like, linked) of the pairs that are possible; those of several texts of an id at their best."""
+    """The pairs (a, b) that are linked."""
 
     def count(batches):
         for batch in batches:
-            out = []
+            keep = []
             for x, y in zip(batch.column("u"), batch.column("v")):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
-                out.append((both, len(x) + len(y) - both))
-            both, either = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     pairs = common.stored(spark, possible(pairs, known), "possible")
     sets = shingle_sets(spark, docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), words)
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("u"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("v"))
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v").mapInArrow(count, "a long, b long, both long, either long")
-    counted = counted.groupBy("a", "b").agg(F.max(F.col("both") / F.col("either")).alias("like"), F.max(_linked()).alias("linked"))
-    return common.stored(spark, counted, "verified")
+    linked = pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v").mapInArrow(count, "a long, b long")
+    linked = common.stored(spark, linked.distinct(), "verified")
+    common.release(spark, pairs, sets)
+    return linked
+
+
+def mostly_shared(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(row) of ``sets`` (row, elements) of which at most a quarter, as for links, are shingles that no other row has.
 
+    48 bits of a shingle are compared: a chance meeting only lets a row stay.
+    """
+    total = sets.agg(F.sum(F.length("elements")).alias("n"), F.count("*").alias("rows")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["n"] or 0) // (8 * BUCKET_SHINGLES)))
+    ranges = max(8, total["rows"] // 50_000)
+
+    def send(batches):
+        held, rows, n = [], [], 0
+
+        def flush():
+            s, row = np.concatenate(held) >> np.uint64(16), np.repeat(np.array(rows, np.int64), [len(x) for x in held])
+            order = np.argsort(s, kind="stable")
+            s, row = s[order], row[order]
+            head = np.ones(len(s), bool)
+            head[1:] = s[1:] != s[:-1]
+            first = np.flatnonzero(head)
+            alone = np.diff(np.append(first, len(s))) == 1
+            s, row = s[first], row[first]
+            bucket = ((s >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts, out = np.searchsorted(bucket, np.arange(buckets + 1)), []
+            for k in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[k], cuts[k + 1])
+                one = alone[own]
+                steps = [np.diff(s[own][x], prepend=np.uint64(0)) for x in (one, ~one)]
+                out.append((int(k), len(steps[0]), squeeze(steps[0], row[own][one]), len(steps[1]), squeeze(steps[1])))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["bucket", "n", "alone", "m", "shared"])
 
-def _linked() -> F.Column:
-    return F.col("both") * 100 >= F.col("either") * PERCENT
+        for batch in batches:
+            for row, elements in zip(batch.column("row").to_pylist(), batch.column("elements")):
+                held.append(np.frombuffer(elements.as_buffer(), np.uint64))
+                rows.append(row)
+                n += len(held[-1])
+                if n >= HELD:
+                    yield flush()
+                    held, rows, n = [], [], 0
+        if n:
+            yield flush()
+
+    def count(table: pa.Table) -> pa.Table:
+        alone, shared = [], []
+        for n, one, m, more in zip(*(table.column(c).to_pylist() for c in ("n", "alone", "m", "shared"))):
+            steps, row = expand(one, n, "<u8", "<i8")
+            alone.append((np.cumsum(steps, dtype=np.uint64), row))
+            shared.append(np.cumsum(expand(more, m, "<u8")[0], dtype=np.uint64))
+        s, row = (np.concatenate(x) for x in zip(*alone))
+        order = np.argsort(s, kind="stable")
+        s, row = s[order], row[order]
+        own = np.ones(len(s), bool)
+        own[1:] = s[1:] != s[:-1]
+        own[:-1] &= own[1:].copy()
+        row, many = np.unique(row[own & ~np.isin(s, np.concatenate(shared))], return_counts=True)
+        out, at = [], row % ranges
+        for k in np.unique(at):
+            out.append((int(k), int((at == k).sum()), squeeze(row[at == k], many[at == k].astype(np.int64))))
+        return pa.table([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["range", "n", "blob"])
+
+    def tally(table: pa.Table) -> pa.Table:
+        row, many = (np.concatenate(x) for x in zip(*(expand(b, n, "<i8", "<i8") for n, b in zip(table.column("n").to_pylist(), table.column("blob").to_pylist()))))
+        row, place = np.unique(row, return_inverse=True)
+        return pa.table([pa.array(row), pa.array(np.bincount(place, weights=many).astype(np.int64))], names=["row", "alone"])
+
+    sent = sets.select("row", "elements").mapInArrow(send, "bucket int, n int, alone binary, m int, shared binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "range int, n int, blob binary")
+    alone = counted.groupBy("range").applyInArrow(tally, "row long, alone long")
+    sizes = sets.select("row", (F.length("elements") / 8).alias("n")).join(alone, "row", "left")
+    return sizes.where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * PERCENT).select("row")
+
+
+def joining(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all groups which links between the sets join."""
+    out: list[tuple[int, int]] = []
+    while True:  # sets that lack too much of the others leave, until none does
+        sizes = np.array([len(s) for s in sets], np.int64)
+        code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        shared = np.bincount(owner, weights=many[code] > 1, minlength=len(sets))
+        stay = np.flatnonzero(100 * shared >= PERCENT * sizes)
+        if len(stay) == len(sets):
+            break
+        ids, groups, sets = ids[stay], groups[stay], [sets[k] for k in stay]
+        if len(sets) < 2:
+            return out
+    root = {g: g for g in groups.tolist()}
+
+    def find(g):
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
+    labels, counts = np.unique(groups, return_counts=True)
+    if len(labels) < 2:
+        return out
+    most = int(labels[np.argmax(counts)])
+    order = np.argsort(code, kind="stable")
+    holders, ends = owner[order], np.cumsum(many)
+    begins, at = ends - many, np.concatenate([[0], np.cumsum(sizes)])
+    for k in np.flatnonzero(groups != most).tolist():
+        both, every = np.zeros(len(sets), np.int64), code[at[k] : at[k + 1]]
+        for own in np.split(every, np.flatnonzero(np.diff(np.cumsum(many[every]) // AT_ONCE)) + 1):
+            wide = many[own]
+            places = np.repeat(begins[own] - np.cumsum(wide) + wide, wide) + np.arange(int(wide.sum()))
+            both += np.bincount(holders[places], minlength=len(sets))
+        for j in np.flatnonzero((100 * both >= PERCENT * (sizes + sizes[k] - both)) & (groups != groups[k])).tolist():
+            a, b = find(int(groups[k])), find(int(groups[j]))
+            if a != b:
+                root[b] = a
+                out.append((int(ids[k]), int(ids[j])))
+    return out
+
+
+def settled(spark: SparkSession, docs: DataFrame, seats: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between members of a hub; ``seats`` is (hub, doc, group), with the hubs' own."""
+
+    def open_(seats: DataFrame) -> DataFrame:
+        mixed = seats.groupBy("hub").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("hub")
+        return common.stored(spark, seats.join(mixed, "hub", "left_semi"), "seats")
+
+    seats = open_(seats)
+    sets = shingle_sets(spark, docs, seats.select(F.col("doc").alias("id")).distinct(), words)
+    stay = common.stored(spark, sets.select("row", F.col("id").alias("doc"), (F.length("elements") / 8).alias("n")).join(mostly_shared(spark, sets), "row"), "mostly-shared")
+    left = open_(seats.join(stay, "doc"))
+    # A hub's largest group needs no links in itself. Blocks of it and of the others, by their numbers of shingles.
+    sizes = left.groupBy("hub", "group").agg(F.sum("n").alias("n"))
+    sizes = sizes.groupBy("hub").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    whole = F.col("all") <= 2 * BLOCK_SHINGLES
+    sizes = sizes.select("hub", "largest", F.when(whole, 0).otherwise(blocks(F.col("all") - F.col("most"))).alias("p"), blocks(F.col("most")).alias("q"))
+    at = left.join(sizes, "hub")
+    block = F.pmod(F.xxhash64("row"), F.when(F.col("group") == F.col("largest"), F.col("q")).otherwise(F.greatest("p", F.lit(1)))).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
+    large = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(i.alias("i"), (F.col("p") + F.col("block")).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    keys = F.when(F.col("p") == 0, alone).when(F.col("group") == F.col("largest"), large).otherwise(other)
+    at = at.withColumn("block", block).select("hub", "row", "doc", "group", "n", F.explode(keys).alias("key"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(at.agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK_SHINGLES))
+
+    def meet(table: pa.Table) -> pa.Table:
+        hub, i, j, doc, group = (np.asarray(table.column(c)) for c in ("hub", "i", "j", "doc", "group"))
+        order = np.lexsort((doc, j, i, hub))
+        elements, out = table.column("elements").combine_chunks(), []
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([np.diff(c[order]) != 0 for c in (hub, i, j)], axis=0)
+        for own in np.split(order, np.flatnonzero(new)[1:]):
+            if len(np.unique(group[own])) > 1:
+                out += joining(doc[own], group[own], [np.frombuffer(elements[int(k)].as_buffer(), np.uint64) for k in own])
+        return pa.table([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    at = at.select("hub", "row", "doc", "group", "key.*").withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
+    few = stay.select("row").limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = sets.select("row", "elements").join(F.broadcast(stay.select("row")) if few else stay.select("row"), "row", "left_semi")
+    met = at.join(own, "row").select("bucket", "hub", "i", "j", "doc", "group", "elements")
+    links = common.stored(spark, met.groupBy("bucket").applyInArrow(meet, "a long, b long"), "links")
+    common.release(spark, seats, sets, stay, left)
+    return links
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component) per row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = candidates(spark, docs, words)
-    members = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "x", "y")
-    stars = found.where("kind = 1").select(F.col("a").alias("sign"), F.col("b").alias("hub"), F.col("x").alias("doc"))
+    members = found.where("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("id"), F.col("b").alias("n"), "x", "y")
+    stars = common.stored(spark, found.where("kind = 1").groupBy(F.col("a").alias("hub"), F.col("b").alias("doc")).agg(F.max("x").alias("most")), "stars")
     known = found.where("kind = 0 and b > 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
-    near = verified(spark, docs, stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), known, words)
+    near = verified(spark, docs, stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")), known, words)
 
     # By class and salt, so that a class of very many rows is spread.
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(common.SALTS)).cast("int"))
-    parts = salted.where(F.col("id") != _NULL).where("n > 0").groupBy("x", "y", "salt").agg(F.min("id").alias("least"))
+    parts = salted.where("id is not null and n > 0").groupBy("x", "y", "salt").agg(F.min("id").alias("least"))
     classes = parts.groupBy("x", "y").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts"))
 
-    # An id of several texts is linked with the least ids of their classes, which stand for it. No distance holds for it.
-    texts = members.where(F.col("id") != _NULL).groupBy("id").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in "xy"))
+    # An id of several texts is linked with the least ids of their classes, which stand for it.
+    texts = members.where("id is not null").groupBy("id").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in "xy"))
     several = common.stored(spark, texts.where("least_x <> most_x or least_y <> most_y").select("id"), "several")
-    links = near.where("linked").select("a", "b")
+    links = near
     any_several = several.limit(1).count() > 0
     if any_several:
         standing = classes.select("x", "y", "least", F.explode("salts").alias("salt"))
         links = links.union(salted.join(several, "id", "left_semi").join(standing, ["x", "y", "salt"]).select("id", "least").distinct())
-        for end in ("a", "b"):
-            near = near.join(several.select(F.col("id").alias(end), F.lit(True).alias("_of_several")), end, "left")
-            near = near.withColumn("like", F.when(F.col("_of_several").isNull(), F.col("like"))).drop("_of_several")
     groups = common.components(spark, links)
 
-    # Second round: members of a signature that are still in different components.
-    sizes = members.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    seat = stars.select("sign", "hub", "doc").union(stars.select("sign", "hub", F.col("hub")).distinct())
-    seat = seat.join(near.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "like"), ["hub", "doc"], "left")
-    seat = seat.select("sign", "doc", F.when(F.col("hub") == F.col("doc"), 1.0).otherwise(F.col("like")).alias("like"))
-    seat = seat.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select("sign", "doc", "like", F.coalesce("component", "doc").alias("group"))
-    apart = seat.groupBy("sign").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("n")).where("g <> h and n > 2").select("sign")
-    seat = seat.where("like is null or like < 1").join(apart, "sign", "left_semi").join(sizes.withColumnRenamed("id", "doc"), "doc")
-    one, two = seat.alias("one"), seat.alias("two")
-    slack = (100 - PERCENT) / 100 + 1e-9
-    may = (F.col("one.doc") < F.col("two.doc")) & (F.col("one.group") != F.col("two.group")) & F.coalesce(F.abs(F.col("one.like") - F.col("two.like")) <= slack, F.lit(True))
-    may &= (F.col("one.most") * 100 >= F.col("two.least") * PERCENT) & (F.col("two.most") * 100 >= F.col("one.least") * PERCENT)
-    more = one.join(two, (F.col("one.sign") == F.col("two.sign")) & may).select(F.col("one.doc").alias("a"), F.col("two.doc").alias("b")).distinct()
-    more = verified(spark, docs, more, known, words).where("linked").select("a", "b")
+    # Second round: members of a hub that are still in different components.
+    seats = stars.where("most > 2").select("hub", "doc")
+    seats = seats.union(seats.select("hub", F.col("hub").alias("doc")).distinct()).join(groups.withColumnRenamed("id", "doc"), "doc", "left")
+    more = settled(spark, docs, seats.select("hub", "doc", F.coalesce("component", "doc").alias("group")), words)
+    common.release(spark, stars, near)
     if more.limit(1).count():
         groups = common.components(spark, groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
@@ -348,8 +513,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     if any_several:
         own = several.join(groups, "id").select("id", F.col("component").alias("own"))
         rows = rows.join(own, "id", "left").withColumn("component", F.coalesce("component", "own"))
-    component = F.when(F.col("id") != _NULL, F.coalesce("component", "id"))
-    return rows.select(F.when(F.col("id") != _NULL, F.col("id")).alias("id"), F.col("n").alias("n_shingles"), component.alias("component"))
+    return rows.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
