@@ -1,105 +1,126 @@
 """Token ids by the ``tokenizers`` library, with a bounded memory of chunks already encoded.
 
 Both public vocabularies cut a text at white space before they merge bytes or letters, so a text's ids are those
-of its chunks in order. A chunk goes through the library's normaliser and merges once and is then looked up. Texts
-in which the cut could depend on more than the chunk (runs of white space, control separators, the strings of
-special tokens) are encoded whole. Strings of special tokens in a text are ordinary text.
+of its chunks in order. A batch of texts is cut into chunks and these are numbered by Arrow; chunks not yet in memory
+go to the library, many in one call with a separator between them whose id no chunk has. Texts in which the cut could
+depend on more than the chunk (runs of white space, the separator, strings of special tokens) are encoded whole.
+Everything equals the library's ``encode(text, add_special_tokens=False)``: a special token's string gives its id.
 """
 
 from __future__ import annotations
 
 import os
-import sys
-from array import array
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept in each of the two generations of a worker's memory.
 MEMORY = 1_000_000
+#: Chunks in one call of the library.
+CALL = 20_000
 
-#: An array type of four bytes; ids are written little-endian.
-_WORD = "I"
-assert array(_WORD).itemsize == 4 and sys.byteorder == "little"
-
-_RUNS = regex.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x00]|<\|")
-_ODD = regex.compile("[\x1c-\x1f]|<\\|")
-_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-
-def _byte_signs() -> dict[int, str]:
-    """Byte-level vocabularies write a byte that is no visible Latin-1 sign as the next free sign from U+0100."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = sorted(set(range(256)) - set(shown))
-    return {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-class _Memory(dict):
-    """Chunks' ids; a chunk that is not there is encoded and kept."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.make(chunk)
+# White space beyond ASCII, and two ways for a text to be cut by more than its chunks.
+_WIDE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BYTE_WHOLE = f"[ \\n]{{2}}|[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f{_WIDE}]|<\\|"
+_WORD_WHOLE = "[\\x01\\x1c-\\x1f]|<\\|"
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit integers."""
+    """ids of texts as unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.model = self.tokenizer.model
-        self.words = self.model.end_of_word_suffix is not None
-        self.signs = _byte_signs()
-        self.young = _Memory(self._chunk)
+        self.words = self.tokenizer.model.end_of_word_suffix is not None
+        self.between = " \x01 " if self.words else "\x00"
+        found = self._library([self.between])[0]
+        sign = self.tokenizer.id_to_token(int(found[0]))[0]
+        holders = [t for t in self.tokenizer.get_vocab() if sign in t]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if len(found) != 1 or len(holders) > 1 + self.words or not all(t.content.startswith("<|") for t in added):
+            raise ValueError("not a vocabulary whose texts are cut at white space")
+        self.mark = int(found[0])
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.young.get(piece) or self.old.get(piece)
-        if found is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))
-            found = array(_WORD, [t.id for t in tokens]).tobytes()
-        self._keep(piece, found)
-        return found
-
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        if len(self.young) >= MEMORY:
-            self.old = dict(self.young)
-            self.young.clear()
-        self.young[chunk] = ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            if self.words:
-                pieces = _WORD_PIECES.findall(chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk))
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.young) + len(chunks) > MEMORY:
+            self.old, self.young = self.young, {"": b""}
+        # A quote at the start may open a contraction, which a separator before it would hide.
+        single = [c for c in chunks if c[0] == "'"]
+        for chunk, ids in zip(single, self._library(single)):
+            self.young[chunk] = ids.tobytes()
+        many = [c for c in chunks if c[0] != "'"] if single else chunks
+        for k in range(0, len(many), CALL):
+            own = many[k : k + CALL]
+            ids = self._library([self.between.join(own)])[0]
+            ends = np.flatnonzero(ids == self.mark)
+            data, cuts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+            stops = [*(4 * ends).tolist(), len(data)]
+            if len(stops) != len(own):
+                raise ValueError("a chunk holds the separator")
+            self.young.update(zip(own, [data[a:b] for a, b in zip(cuts, stops)]))
+
+    def _numbered(self, chunks: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        found = [young.get(c) for c in chunks]
+        missing = [k for k, x in enumerate(found) if x is None]
+        unseen = []
+        for k in missing:
+            known = old.get(chunks[k])
+            if known is None:
+                unseen.append(chunks[k])
             else:
-                pieces = _BYTE_PIECES.findall(chunk)
-            if len(pieces) == 1 and pieces[0] == chunk:
-                return self._piece(chunk)
-            found = b"".join([self._piece(p) for p in pieces])
-        self._keep(chunk, found)
+                found[k] = young[chunks[k]] = known
+        if unseen:
+            self._learn(unseen)
+            for k in missing:
+                if found[k] is None:
+                    found[k] = self.young[chunks[k]]
         return found
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), one after the other, and the number of ids of each."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _WORD_WHOLE if self.words else _BYTE_WHOLE)
+        plain = pc.if_else(whole, "", texts)
+        if self.words:
+            cut = pc.ascii_split_whitespace(plain)
+        else:  # a space belongs to the chunk after it; a line end closes a chunk
+            cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\n\x00"), "\x00")
+        chunks = cut.flatten().dictionary_encode()
+        known = self._numbered(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(x) // 4 for x in known], np.int64)
+        table, begin = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+        place = chunks.indices.to_numpy()
+        wide = size[place]
+        ends = np.cumsum(wide)
+        ids = table[np.repeat(begin[place] - ends + wide, wide) + np.arange(int(wide.sum()))]
+        last = np.concatenate([[0], ends])[np.cumsum(np.asarray(pc.list_value_length(cut)), dtype=np.int64)]
+        lengths = np.diff(last, prepend=0)
+        at = np.flatnonzero(np.asarray(whole))
+        if len(at):
+            own = self._library([texts[int(k)].as_py() for k in at])
+            sizes = np.array([len(x) for x in own], np.int64)
+            ids = np.insert(ids, np.repeat((last - lengths)[at], sizes), np.concatenate(own))
+            lengths[at] = sizes
+        return ids, lengths
+
+    def each(self, texts: pa.Array, end: int) -> list[bytes]:
+        """The ids of every text with ``end`` after them, little-endian."""
+        ids, lengths = self.batch(texts)
+        data, stops, last = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist(), np.array([end], "<u4").tobytes()
+        return [data[a:b] + last for a, b in zip([0, *stops], stops)]
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if (_ODD if self.words else _RUNS).search(text):
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        # A space belongs to the chunk after it; a line end closes a chunk.
-        chunks = text.split() if self.words else text.replace(" ", "\x00 ").replace("\n", "\n\x00").split("\x00")
-        memory = self.young
-        return b"".join([memory[c] for c in chunks])
+        return self.each(pa.array([text], pa.string()), 0)[0][:-4]
 
 
 _ENCODERS: dict[str, Encoder] = {}
