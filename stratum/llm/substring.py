@@ -6,12 +6,13 @@ pass: only windows estimated to repeat are grouped, by 128 bits of hash; in each
 marked. A partition sends one window per group, so a very frequent window costs a row per partition. Third pass:
 words that a marked window covers are left out.
 
-The sketch has a fixed size (ROWS x 2**BITS cells of which the result is a bit); with more windows than cells more
-single windows pass it and are grouped in vain, and the result stays the same.
+The sketch grows with the input up to ROWS x 2**MOST_BITS cells, of which the result is a bit each; with more windows
+than cells more single windows pass it and are grouped in vain, and the result stays the same.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all; null ids count as the
-least; rows of one id are ordered by a hash of their text, and equal rows of one id have equal results; an empty
-table gives no row. Other columns are carried along.
+least id (-2**63); rows of one id are ordered by a hash of their text, and equal rows of one id have equal results; an
+empty table gives no row. Other columns are carried along, but for those named as one of the four added columns in any
+case of letters.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from stratum.llm import common
 from stratum.llm.hashing import Windows, expand, squeeze
 
 WINDOW = 20
-#: The sketch: rows, and cells of a row as a power of two.
-ROWS, BITS = 2, 28
+#: The sketch: rows, and cells of a row as powers of two, from the least to the most.
+ROWS, LEAST_BITS, MOST_BITS = 2, 22, 28
 #: Cells of a chunk of the merged sketch, as a power of two.
 CHUNK_BITS = 22
+#: Bytes of text for each cell of a row (about one window), and of text whose repeated windows meet in a bucket.
+CELL_TEXT, BUCKET_TEXT = 4, 4 << 20
 #: Windows that a task holds before it sends them on.
 HELD = 4 << 20
 _NULL = -(1 << 63)
@@ -41,12 +44,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def _cells(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - BITS)
+def _cells(h1: np.ndarray, h2: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - wide)
     return (h1 >> shift).astype(np.uint32), (h2 >> shift).astype(np.uint32)
 
 
-def sketch(spark: SparkSession, docs: DataFrame, size: int) -> list[tuple[int, bytes]]:
+def sketch(spark: SparkSession, docs: DataFrame, size: int, wide: int) -> list[tuple[int, bytes]]:
     """The merged sketch in compressed chunks: per cell a bit that is set where the count is two or more."""
 
     def count(batches):
@@ -56,7 +59,7 @@ def sketch(spark: SparkSession, docs: DataFrame, size: int) -> list[tuple[int, b
             out = []
             for row in range(ROWS):
                 cells, counts = np.unique(np.concatenate(held[row]), return_counts=True)
-                cuts = np.searchsorted(cells, np.arange(0, (1 << BITS) + 1, 1 << CHUNK_BITS, dtype=np.int64))
+                cuts = np.searchsorted(cells, np.arange(0, (1 << wide) + 1, 1 << CHUNK_BITS, dtype=np.int64))
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if a < b:
                         steps = np.diff(cells[a:b].astype(np.int64), prepend=k << CHUNK_BITS).astype(np.uint32)
@@ -67,7 +70,7 @@ def sketch(spark: SparkSession, docs: DataFrame, size: int) -> list[tuple[int, b
             for text in batch.column("text"):
                 h1, h2 = windows.of(words_of(text.as_py()))
                 if len(h1):
-                    for row, cells in enumerate(_cells(h1, h2)):
+                    for row, cells in enumerate(_cells(h1, h2, wide)):
                         held[row].append(cells)
                     n += len(h1)
                 if n >= HELD:
@@ -87,22 +90,22 @@ def sketch(spark: SparkSession, docs: DataFrame, size: int) -> list[tuple[int, b
 
     parts = docs.select("text").mapInArrow(count, "chunk int, n int, cells binary")
     merged = parts.groupBy("chunk").applyInArrow(merge, "chunk int, bits binary")
-    return [(r["chunk"], bytes(r["bits"])) for r in merged.collect()]  # ROWS * 2**BITS bits at most
+    return [(r["chunk"], bytes(r["bits"])) for r in merged.collect()]  # ROWS * 2**MOST_BITS bits at most
 
 
-def unpacked(chunks: list[tuple[int, bytes]]) -> list[np.ndarray]:
+def unpacked(chunks: list[tuple[int, bytes]], wide: int) -> list[np.ndarray]:
     """The rows of a sketch as packed bits."""
-    out, step = [np.zeros(1 << (BITS - 3), np.uint8) for _ in range(ROWS)], 1 << (CHUNK_BITS - 3)
+    out, step = [np.zeros(1 << (wide - 3), np.uint8) for _ in range(ROWS)], 1 << (CHUNK_BITS - 3)
     for chunk, blob in chunks:
         k = chunk & 0xFFFF
         out[chunk >> 16][k * step : (k + 1) * step] = expand(blob, step, "u1")[0]
     return out
 
 
-def _repeated(bits: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def _repeated(bits: list[np.ndarray], h1: np.ndarray, h2: np.ndarray, wide: int) -> np.ndarray:
     """Windows that the sketch estimates to start twice or more."""
     keep = np.ones(len(h1), bool)
-    for row, cells in zip(bits, _cells(h1, h2)):
+    for row, cells in zip(bits, _cells(h1, h2, wide)):
         keep &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
     return keep
 
@@ -136,12 +139,14 @@ _BLOCK = 1 << 16
 
 def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
     """(id, tie, first, last): runs of windows of ``docs`` (id, tie, text) that also start earlier."""
-    sent_bits = spark.sparkContext.broadcast(sketch(spark, docs, size))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    wide = min(MOST_BITS, max(LEAST_BITS, (total // CELL_TEXT).bit_length()))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXT))
+    sent_bits = spark.sparkContext.broadcast(sketch(spark, docs, size, wide))
     window_kinds, mark_kinds = ("<u8", "<u8", "<i8", "<i8", "<u4"), ("<i8", "<i8", "<i4", "<i4")
 
     def send(batches):
-        windows, bits, held, n = Windows(size), unpacked(sent_bits.value), [], 0
+        windows, bits, held, n = Windows(size), unpacked(sent_bits.value, wide), [], 0
 
         def flush():
             h1, h2, doc, tie, start = (np.concatenate(x) for x in zip(*held))
@@ -163,7 +168,7 @@ def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for doc, tie, text in zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
                 h1, h2 = windows.of(words_of(text.as_py()))
-                at = np.flatnonzero(_repeated(bits, h1, h2)) if len(h1) else h1
+                at = np.flatnonzero(_repeated(bits, h1, h2, wide)) if len(h1) else h1
                 if len(at):
                     held.append((h1[at], h2[at], np.full(len(at), doc, np.int64), np.full(len(at), tie, np.int64), at.astype(np.uint32)))
                     n += len(at)
@@ -196,24 +201,25 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
 
     ``kept_text`` is the text itself where nothing is removed, else the kept words joined by one space.
     """
-    twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    tie = F.xxhash64(text_col) if twice else F.lit(0).cast("long")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
+    twice = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    tie = F.xxhash64(text_col) if twice else F.lit(0).cast("long")
+    ids, ties, firsts, lasts = common.fresh(docs, "_id", "_tie", "_first", "_last")
     slim = docs.select(key.alias("id"), tie.alias("tie"), F.col(text_col).alias("text"))
-    found = marks(spark, slim, size).groupBy("id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    found = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("runs.first").alias("_first"), F.col("runs.last").alias("_last"))
-    joined = docs.join(found, (key == F.col("_id")) & (tie == F.col("_tie")), "left").drop("_id", "_tie")
+    found = marks(spark, slim, size).groupBy("id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    found = found.select(F.col("id").alias(ids), F.col("tie").alias(ties), F.col("runs.first").alias(firsts), F.col("runs.last").alias(lasts))
+    joined = docs.join(found, (key == F.col(ids)) & (tie == F.col(ties)), "left").drop(ids, ties)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())]
-    names = [c for c in docs.columns if c not in {f.name for f in added}]
+    names = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
     schema = StructType([docs.schema[c] for c in names] + added)
 
     def keep(batches):
         for batch in batches:
             out = []
-            for text, first, last in zip(batch.column(text_col), batch.column("_first").to_pylist(), batch.column("_last").to_pylist()):
+            for text, first, last in zip(batch.column(text_col), batch.column(firsts).to_pylist(), batch.column(lasts).to_pylist()):
                 text = text.as_py()
                 words = words_of(text)
                 kept = words
@@ -228,7 +234,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
                 made = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *(f.name for f in added)])
 
-    return joined.select(*names, "_first", "_last").mapInArrow(keep, schema)
+    return joined.select(*names, *{text_col} - set(names), firsts, lasts).mapInArrow(keep, schema)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
