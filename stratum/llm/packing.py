@@ -2,7 +2,7 @@
 
 A document longer than a window is first cut into full windows; the rest is a piece. Pieces are placed in
 descending length, each into the open window with the least room that still takes it; a segment tree over the
-remaining capacities finds that window. Pieces are dealt over shards by their document, and each shard is packed
+remaining capacities finds that window. Pieces are dealt over shards, and each shard is packed
 for itself, so that a shard leaves a few open windows at most. Only piece lengths are moved, never token ids.
 
 Defined results: a null text is an empty one and has the end id alone; repeated rows are documents of their own
@@ -76,27 +76,29 @@ class BestFit:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document with their length and check sum."""
+    """The pieces of every document with their length and check sum, and a number ``row``."""
 
     def cut(batches):
         from stratum.llm.tokens import encoder
 
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        tokens = encoder(tokenizer)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "") + end
+            for doc, ids in zip(batch.column("id").to_pylist(), tokens.each(batch.column("text"), end_id)):
                 for k in range(0, len(ids), 4 * window):
                     part = ids[k : k + 4 * window]
                     out.append((doc, k // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES).withColumn("row", F.monotonically_increasing_id())
 
 
 def pack(spark: SparkSession, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """PIECES with the sequence and the offset of each; a sequence's number holds its shard above 32 bits."""
+    """PIECES with the sequence and the offset of each; a sequence's number holds its shard above 32 bits.
+
+    ``found`` is stored, so that a piece keeps its ``row`` and shard; equal rows are spread as all others are.
+    """
     shards = max(1, -(-found.count() // SHARD_PIECES))
 
     def fit(table: pa.Table) -> pa.Table:
@@ -107,7 +109,7 @@ def pack(spark: SparkSession, found: DataFrame, window: int = WINDOW) -> DataFra
         order = order.append_column("sequence_id", pa.array(placed[:, 0] + (shard << 32))).append_column("offset", pa.array(placed[:, 1]))
         return order.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row")
     return dealt.groupBy("shard").applyInArrow(fit, PACKED)
 
 
