@@ -154,21 +154,35 @@ def test_tokens_equal_the_library(name):
     from tokenizers import Tokenizer
 
     own, library = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     for text in ODD_TEXTS + [t for _, t in hard_texts() if t]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_of_random_texts_equal_the_library(name):
+    """Batches of texts made of odd parts, special tokens' strings, wide spaces and quotes among them."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, library, rng = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name)), np.random.default_rng(3)
+    parts = ["a", "b", "\u00c9", "e\u0301", "\u03a3", "\u017f", " ", "  ", "\n", "\r\n", "\t", "\x00", "\x01", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u180e", "\u200b", "'s", "'", "'re", "'T", "1", "22", "!", "?!", "<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\u65e5", "\U0001f642", "\u0130", "\u212a", "\ufeff", "\u00b2"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(5000)]
+    ids, lengths = own.batch(pa.array([*texts, None]))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert got == [*(x.ids for x in library.encode_batch(texts, add_special_tokens=False)), []]
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (511, 3), (512, 70_000), (5000, 50_257)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
-    m = wavelet.WaveletMatrix(wavelet.build(ids, np.array([4]), np.array([0])))
+    m = wavelet.WaveletMatrix(wavelet.build(ids, np.array([4]), np.array([False]), np.array([0])))
     assert np.array_equal(m.decode(), ids)
     at = np.arange(0, n, max(1, n // 50))
     assert np.array_equal(m.access(at), ids[at])
     for token in {*ids[:5].tolist(), top + 1}:
         where = np.flatnonzero(ids == token)
-        assert m.count(token) == len(where) and m.rank(token, n // 2) == int((ids[: n // 2] == token).sum())
+        assert m.ranks(token, at).tolist() == [int((ids[:k] == token).sum()) for k in at] and m.count(token) == len(where) and m.rank(token, n // 2) == int((ids[: n // 2] == token).sum())
         assert [m.select(token, k) for k in range(min(4, len(where)))] == where[:4].tolist() and m.select(token, len(where)) == -1
 
 
@@ -177,7 +191,6 @@ def encoded(name):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
 
 
@@ -192,10 +205,14 @@ def test_wavelet_shards(spark, docs, none):
     encode, start, right = encoded("byte_bpe_50k.json"), 0, []
     for i, t in sorted(hard_texts(), key=lambda r: -(1 << 63) if r[0] is None else r[0]):
         ids = encode(t)
-        right.append((i, start, len(ids), crc(ids)))
+        right.append((i, start, len(ids), crc(ids), ids.count(2)))
         start += len(ids)
     assert sorted(map(tuple, run(docs)), key=lambda r: r[1]) == right
     assert run(none) == []
+    # Unlike texts of one id, null ids and the least id have one order, however the rows are dealt.
+    rows = [(7, f"text {k}") for k in range(30)] + [(None, "x"), (None, "y z"), (-(1 << 63), "least"), (7, None), (8, "<|endoftext|> " * 3)]
+    tied = [sorted(map(tuple, run(spark.createDataFrame(rows, "doc_id long, text string").repartition(n))), key=lambda r: r[1]) for n in (1, 5)]
+    assert tied[0] == tied[1] and [r[0] for r in tied[0]] == [None, None, -(1 << 63), *[7] * 31, 8]
 
 
 def test_packing(spark, docs, none):
@@ -216,6 +233,12 @@ def test_packing(spark, docs, none):
     assert packing.packed(spark, none).count() == 0
 
 
+def test_packing_of_equal_rows(spark):
+    """Equal rows are documents of their own and need not share a shard."""
+    rows = packing.packed(spark, spark.createDataFrame([(1, "same words"), (None, "")], "doc_id long, text string").join(spark.range(500).select(F.col("id").alias("k")))).collect()
+    assert len(rows) == 1000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 1000
+
+
 def test_best_fit_is_the_tightest():
     rng, tree, free = np.random.default_rng(0), packing.BestFit(100), []
     for length in sorted(rng.integers(1, 101, 400).tolist(), reverse=True):
@@ -246,6 +269,15 @@ def test_fingerprints(spark, docs, none):
     assert a == b != c
 
 
+def test_fingerprints_of_ties(spark):
+    """Unlike texts of one id have one order, however the rows are dealt; near_next by the next text itself."""
+    rows = [(5, t) for t in ("A", "a ", " a", "b", "A", "caf\u00e9")] + [(4, "x"), (6, "X"), (None, "y"), (None, "Y ")]
+    found = [sorted(map(repr, map(tuple, fingerprint.fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(n), "doc_id", "text").collect()))) for n in (1, 4)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    pair = spark.createDataFrame([(3, "Same  text"), (2, "same TEXT"), (1, "other")], "doc_id long, text string")
+    assert {r["doc_id"]: r["near_next"] for r in fingerprint.fingerprints(spark, pair, "doc_id", "text").collect()} == {3: 1.0, 2: 0.0, 1: 0.0}
+
+
 def test_fingerprint_bucket_of_different_texts(spark, monkeypatch):
     from pyspark.sql import functions as F
 
@@ -255,6 +287,92 @@ def test_fingerprint_bucket_of_different_texts(spark, monkeypatch):
     assert found[1] == found[3] != found[2] and len(set(found.values())) == 3
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_joining_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for k in range(80):
+        own = np.concatenate([rng.permutation(base)[: rng.integers(30, 61)], rng.integers(0, 1 << 62, rng.integers(0, 25)).astype(np.uint64)])
+        sets.append(np.unique(own))
+    groups = rng.integers(0, 60, 80)
+    linked = [(a, b) for a, b in itertools.combinations(range(80), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+
+    def joined(links):
+        least = {int(g): int(g) for g in groups}
+        for _ in least:
+            for a, b in links:
+                least[int(groups[a])] = least[int(groups[b])] = min(least[int(groups[a])], least[int(groups[b])])
+        return least
+
+    found = jaccard.joining(np.arange(80), groups, sets)
+    assert set(map(tuple, map(sorted, found))) <= set(linked) and joined(found) == joined(linked)
+
+
+def test_jaccard_of_a_large_hub_in_blocks(spark, monkeypatch):
+    """Near copies of one text and texts that share a long passage with it, with blocks of a few sets."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    rng, base, rows = np.random.default_rng(2), passage(60, 900), []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            words[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(words[: int(rng.integers(45, 61))] + passage(int(rng.integers(0, 12)), 1000 + k))))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["id"]: r["component"] for r in jaccard.near_duplicates(spark, table, "doc_id", "text").collect()}
+    assert found == brute_components(rows) and len(set(found.values())) > 3
+
+
+def test_jaccard_of_the_least_id_and_null_ids(spark):
+    least, text = -(1 << 63), " ".join(passage(30, 77))
+    table = spark.createDataFrame([(least, text), (4, text), (None, text), (None, None), (5, None)], "doc_id long, text string")
+    found = sorted(map(tuple, jaccard.near_duplicates(spark, table, "doc_id", "text").collect()), key=repr)
+    assert found == sorted([(least, 26, least), (4, 26, least), (None, 26, None), (None, 0, None), (5, 0, 5)], key=repr)
+
+
+def test_clashing_columns(spark):
+    """Other columns of the names that the operators use inside are carried along; those of added columns are not."""
+    text = " ".join(passage(40, 31))
+    table = spark.createDataFrame([(1, text, 11, 12, 13, 14, 15, 16), (2, text, 21, 22, 23, 24, 25, 26)], "doc_id long, text string, _first int, _ID int, _tie int, N_Words int, Score int, bucket int")
+    found = {r["doc_id"]: r.asDict() for r in substring.remove_repeats(spark, table, "doc_id", "text").collect()}
+    assert (found[2]["n_words"], found[2]["n_removed"], found[1]["n_removed"]) == (40, 40, 0)
+    assert [found[2][c] for c in ("_first", "_ID", "_tie", "Score", "bucket")] == [21, 22, 23, 25, 26] and "N_Words" not in found[2]
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    found = toxicity.toxicity(spark, table, marks).collect()
+    assert [c for c in found[0].asDict() if c.lower() == "score"] == ["score"] and {r["_first"] for r in found} == {11, 21}
+    assert jaccard.near_duplicates(spark, table, "doc_id", "text").count() == 2
+    assert {r["doc_id"] for r in packing.packed(spark, table).collect()} == {1, 2}
+    assert fingerprint.fingerprints(spark, table, "doc_id", "text").count() == 2
+    assert licenses.licenses(spark, table, "doc_id", "text").count() == 0
+
+
+def test_repeated_rows_mark_once(spark):
+    """Many equal rows of one id after an earlier copy give each place of a mark once."""
+    text = " ".join(passage(100, 55))
+    table = spark.createDataFrame([(1, text), *[(2, text)] * 200, *[(None, text + f" {k}") for k in range(3)]], "doc_id long, text string").repartition(5)
+    rows = substring.remove_repeats(spark, table, "doc_id", "text").collect()
+    right = brute_removed([(2, text), (1, text)])
+    assert {r["n_removed"] for r in rows if r["doc_id"] == 2} == {100} and len(rows) == 204 and right[2] == []
+
+
+def test_lexicon_against_a_plain_matcher():
+    """Every entry at every place, the largest weight of each word, none inside an exception phrase."""
+    rng, letters = np.random.default_rng(8), list("ab")
+    word = lambda n: "".join(rng.choice(letters, n))
+    for _ in range(200):
+        entries = {f" {word(rng.integers(1, 4))}" + (" " if rng.integers(0, 2) else ""): float(rng.integers(1, 9)) for _ in range(6)}
+        phrases = tuple(f"{word(2)} {word(rng.integers(1, 3))}" for _ in range(2))
+        words = [word(rng.integers(1, 4)) for _ in range(rng.integers(0, 12))]
+        text, total = f" {' '.join(words)} ", 0.0
+        spared = [(k, k + len(p) + 1) for p in phrases for k in range(len(text)) if text.startswith(f" {p} ", k)]
+        for k in range(len(text)):
+            found = [w for e, w in entries.items() if text.startswith(e, k)]
+            if words and found and not any(a <= k < b for a, b in spared):
+                total += max(found)
+        lexicon = toxicity.Lexicon(entries, phrases)
+        assert lexicon.total(words) == total and abs(lexicon.density(" ".join(words)) - 100 * total / (len(words) + toxicity.SHORT)) < 1e-9
+
+
 def test_jaccard_of_ids_with_several_texts(spark):
     one, two, three, four = (passage(60, 700 + k) for k in range(4))
     near = lambda words, at: [("swapped" if k == at else w) for k, w in enumerate(words)]
@@ -333,6 +451,14 @@ def test_decontamination_against_all_diagonals(spark):
     assert {tuple(r) for r in decontaminate.contaminated(spark, table, asked, "doc_id", "text", "item_id", "text").collect()} == expected
 
 
+def test_licenses_of_relatives(spark):
+    """A notice that nearly holds another is reported alone; both are where both stand."""
+    by, sa, more = licenses.TEMPLATES["CC-BY-4.0"], licenses.TEMPLATES["CC-BY-SA-4.0"], " ".join(passage(200, 66))
+    table = spark.createDataFrame([(1, f"{more} {sa}. {more}"), (2, by), (3, f"{sa} {more} {by}"), (4, more)], "doc_id long, text string")
+    found = {(r["id"], r["license"]) for r in licenses.licenses(spark, table, "doc_id", "text").collect()}
+    assert found == {(1, "CC-BY-SA-4.0"), (2, "CC-BY-4.0"), (3, "CC-BY-4.0"), (3, "CC-BY-SA-4.0")}
+
+
 def test_licenses(spark, none):
     mit = licenses.TEMPLATES["MIT"]
     texts = [(1, " ".join(passage(40, 1)) + " " + mit + " " + " ".join(passage(77, 2))), (2, "Released under the MIT License."), (3, "released under the mit"), (4, None), (5, ""), (6, " ".join(passage(300, 3))), (None, "x LICENSED UNDER the apache license version 2.0 y")]
