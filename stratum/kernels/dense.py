@@ -87,11 +87,22 @@ class LUP:
 
     def solve(self, b: np.ndarray, rank: int = 0, trans: bool = False) -> np.ndarray:
         if trans:
-            y = np.linalg.solve(self.l.conj().T, np.linalg.solve(self.u.conj().T, b))
+            y, k = np.zeros(b.shape, np.result_type(b, self.u)), self.rank
+            y[:k] = np.linalg.solve(self.u[:k, :k].conj().T, b[:k])
+            y = np.linalg.solve(self.l.conj().T, y)
             out = np.zeros_like(y)
             out[self.perm] = y
             return out
-        return np.linalg.solve(self.u, np.linalg.solve(self.l, b[self.perm]))
+        return self._upper(np.linalg.solve(self.l, b[self.perm]))
+
+    def _upper(self, y: np.ndarray) -> np.ndarray:
+        """U^-1 y; of a singular U its leading block, and zeros beyond it."""
+        k = self.rank
+        if k < len(self.u):
+            y = np.concatenate([y[:k], np.zeros_like(y[k:])])
+        out = np.zeros(y.shape, np.result_type(y, self.u))
+        out[:k] = np.linalg.solve(self.u[:k, :k], y[:k])
+        return out
 
     def multiply(self, x: np.ndarray, rank: int = 0, trans: bool = False) -> np.ndarray:
         if trans:

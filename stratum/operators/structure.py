@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Indices that are made from one row.
+RUN = 1 << 16
+
+
 def indices(meta: DataFrame, size: str = "nrows") -> DataFrame:
-    """(mid, i) for all i of each matrix."""
-    return meta.where(F.col(size) > 0).select("mid", F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1)).alias("i"))
+    """(mid, i) for all i of each matrix: first of runs of RUN indices, dealt over tasks, and then of the runs'."""
+    tasks = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = meta.where(F.col(size) > 0).select("mid", F.col(size).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(size) - 1) / RUN))).alias("run"))
+    first = F.col("run") * RUN
+    return runs.repartition(tasks, "mid", "run").select("mid", F.explode(F.sequence(first, F.least(first + (RUN - 1), F.col("n") - 1))).alias("i"))
 
 
 def assemble(coo: DataFrame) -> DataFrame:

@@ -6,30 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.operators.structure import transpose
+from stratum.types import BadInput
 
 
 def levels(strict: DataFrame, x: DataFrame) -> DataFrame:
-    """(mid, i, level): the longest chain of rows that a row waits for."""
+    """(mid, i, level): the longest chain of rows that a row waits for; a cycle, which has none, is an error."""
+    rows = x.groupBy("mid").count().agg(F.max("count")).first()[0] or 0
     at = x.select("mid", "i", F.lit(0).alias("level")).checkpoint()
-    while True:
+    for _ in range(rows + 1):
         after = strict.join(at.select("mid", F.col("i").alias("j"), "level"), ["mid", "j"]).groupBy("mid", "i").agg((F.max("level") + 1).alias("next"))
         new = at.join(after, ["mid", "i"], "left").select("mid", "i", F.coalesce("next", F.lit(0)).alias("level"), F.col("level").alias("was")).checkpoint()
         at = new.select("mid", "i", "level")
         if not new.where("level <> was").limit(1).count():
             return at
+    raise BadInput("rows that wait for each other: not a triangle in any order")
 
 
 def solve(strict: DataFrame, y: DataFrame) -> DataFrame:
-    """(mid, i, x): (I + L)^-1 y for a strict triangle (lower or upper) in any order of rows."""
-    at = levels(strict, y)
+    """(mid, i, x): (I + L)^-1 y for a strict triangle (lower or upper) in any order of rows.
+
+    With a column ``k``, ``y`` is several right sides (mid, k, i, x), each solved for itself.
+    """
+    side = ["k"] if "k" in y.columns else []
+    at = levels(strict, y.select("mid", "i").distinct() if side else y)
     last = at.agg(F.max("level")).first()[0] or 0
     rows = y.join(at, ["mid", "i"]).checkpoint()
-    done = rows.where("level = 0").select("mid", "i", "x").checkpoint()
+    done = rows.where("level = 0").select("mid", *side, "i", "x").checkpoint()
     for level in range(1, last + 1):
-        now = rows.where(F.col("level") == level).select("mid", "i", "x")
-        known = done.select("mid", F.col("i").alias("j"), F.col("x").alias("z"))
-        sums = strict.join(now.select("mid", "i"), ["mid", "i"]).join(known, ["mid", "j"]).groupBy("mid", "i").agg(F.sum(F.col("v") * F.col("z")).alias("s"))
-        done = done.union(now.join(sums, ["mid", "i"], "left").select("mid", "i", (F.col("x") - F.coalesce("s", F.lit(0.0))).alias("x"))).checkpoint()
+        now = rows.where(F.col("level") == level).select("mid", *side, "i", "x")
+        known = done.select("mid", *side, F.col("i").alias("j"), F.col("x").alias("z"))
+        sums = strict.join(now.select("mid", "i").distinct(), ["mid", "i"]).join(known, ["mid", "j"]).groupBy("mid", *side, "i").agg(F.sum(F.col("v") * F.col("z")).alias("s"))
+        done = done.union(now.join(sums, ["mid", *side, "i"], "left").select("mid", *side, "i", (F.col("x") - F.coalesce("s", F.lit(0.0))).alias("x"))).checkpoint()
     return done
 
 

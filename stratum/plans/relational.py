@@ -398,7 +398,11 @@ def _folder(spark):
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp()}"
     return f"{base.rstrip('/')}/stratum-{uuid.uuid4().hex}"
 
 
@@ -407,10 +411,27 @@ def mm_round_trip(spark, d):
     """Written as a Matrix Market file and read back."""
     a, _ = tables.nations(spark, d)
     path = _folder(spark)
-    matrix_market.write(a.coalesce(1), 25, 25, path)
+    matrix_market.write(a, 25, 25, path)
     return matrix_market.read(spark, path, "NN")[0]
 
 
+@query("mm_vector_parts", "", "SELECT 'P' AS mid, CAST(p_partkey AS BIGINT) AS i, CAST(p_partkey * 3 % 1009 AS DOUBLE) AS re, CAST(p_size AS DOUBLE) AS im FROM part")
+def mm_vector_parts(spark, d):
+    """A complex vector over all parts' keys in files of 53 lines, read back in order."""
+    x = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("i"), (F.col("p_partkey") * 3 % 1009).cast("double").alias("re"), F.col("p_size").cast("double").alias("im"))
+    path = _folder(spark)
+    matrix_market.write_vector(x, path, per_file=53)
+    return matrix_market.read_vector(spark, path, "P")
+
+
+@query("trisolve_mrhs", "RECURSIVE X AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 1.0::DOUBLE AS x, 2.0::DOUBLE AS b, 2.0::DOUBLE AS y UNION ALL SELECT i + 1, 0.0, 1.0 - 0.5 * x, 0.0, 2.0 - 0.5 * y FROM X WHERE i < 7)", "SELECT 'T' AS mid, k, CAST(i AS BIGINT) AS i, CASE k WHEN 0 THEN x ELSE y END AS x FROM X, (VALUES (0), (1)) K(k)")
+def trisolve_mrhs(spark, d):
+    """Two right sides of a strict lower bidiagonal at once."""
+    n = spark.range(8).select(F.lit("T").alias("mid"), F.col("id").alias("i"))
+    lower = n.where("i > 0").select("mid", "i", (F.col("i") - 1).alias("j"), F.lit(0.5).alias("v"))
+    return triangular.solve(lower, n.select("mid", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "i").withColumn("x", (F.col("k") + 1).cast("double")))
+
+
 @query("mm_vector_round_trip", _NN, "SELECT 'NN' AS mid, i, (i % 7 + 1)::DOUBLE AS x FROM R")
 def mm_vector_round_trip(spark, d):
     path = _folder(spark)

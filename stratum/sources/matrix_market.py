@@ -6,9 +6,10 @@ The header is parsed on the driver (a few lines); entries are read and parsed by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.operators.structure import transpose
@@ -27,25 +28,32 @@ class Header:
     lines: int
 
 
+def _first_lines(spark: SparkSession, path: str) -> Iterator[str]:
+    """The lines of the parts in the order of their names, some at a time."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        reach, seen = 64, 0
+        while True:
+            head = spark.read.text(file).limit(reach).collect()
+            yield from (row[0] for row in head[seen:])
+            if len(head) < reach:
+                break
+            reach, seen = 16 * reach, len(head)
+
+
 def query(spark: SparkSession, path: str) -> Header:
     """The header of a file, without reading its entries."""
-    first, sizes, count = None, None, 0
-    reach = 64
-    while sizes is None:
-        head = spark.read.text(path).limit(reach).collect()
-        if not head:
-            raise BadInput("empty file")
-        first, count = head[0][0], 0
-        for row in head[1:]:
-            count += 1
-            if row[0].strip() and not row[0].startswith("%"):
-                sizes = row[0].split()
-                break
-        if sizes is None:
-            if len(head) < reach:
-                raise BadInput("no sizes")
-            reach *= 16
-    words = first.split()
+    lines = _first_lines(spark, path)
+    first = next(lines, None)
+    if first is None:
+        raise BadInput("empty file")
+    words, count, sizes = first.split(), 0, None
+    for line in lines:
+        count += 1
+        if line.strip() and not line.startswith("%"):
+            sizes = line.split()
+            break
+    if sizes is None:
+        raise BadInput("no sizes")
     if len(words) != 5 or words[0] != "%%MatrixMarket":
         raise BadInput("no banner")
     what, form, field, symmetry = (w.lower() for w in words[1:])
@@ -57,9 +65,28 @@ def query(spark: SparkSession, path: str) -> Header:
     return Header(form == "coordinate", field == "complex", symmetry, rows, cols, rest[0] if rest else rows * cols, count + 1)
 
 
-def _entries(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).where((F.col("value") != "") & ~F.col("value").startswith("%"))
-    return lines.select(F.split("value", r"\s+").alias("w"))
+def _entries(spark: SparkSession, path: str, head: Header) -> DataFrame:
+    """(n, w): the words of each entry's line, numbered in the order of the parts' names and of the lines in them.
+
+    Lines are numbered by split: a count per split reaches the driver, and every line adds what lies before. The size
+    line is the first, whatever its form.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where((F.col("value") != "") & ~F.col("value").startswith("%"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.max("at").alias("most")).collect()
+    ahead, shifts = -1, []
+    for row in sorted(splits, key=lambda r: (r["file"], r["block"])):
+        if row["most"] - row["least"] >> 33:
+            raise BadInput("a split lies in two partitions")
+        shifts.append((row["file"], row["block"], ahead))
+        ahead += row["n"]
+    if ahead != head.nnz:
+        raise BadInput(f"{ahead} entries where {head.nnz} are declared")
+    # Comments and blank lines leave gaps in the numbers, so places in a split are counted, not subtracted.
+    table = spark.createDataFrame(shifts, "file string, block long, ahead long")
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    numbered = lines.withColumn("place", place).join(F.broadcast(table), ["file", "block"])
+    return numbered.select((F.col("ahead") + F.col("place")).alias("n"), F.split("value", r"\s+").alias("w")).where("n >= 0")
 
 
 def expand(coo: DataFrame, symmetry: str) -> DataFrame:
@@ -79,42 +106,21 @@ def read(spark: SparkSession, path: str, mid: str) -> tuple[DataFrame, DataFrame
     head = query(spark, path)
     if not head.sparse:
         raise BadInput("a dense file")
-    width = 4 if head.is_complex else 3
-    sizes = [str(head.nrows), str(head.ncols), str(head.nnz)]
-    # The size line has three words and no point; a complex file's entries have four, a real file's are told by the first line's place.
-    rows = _entries(spark, path)
-    rows = rows.where(F.size("w") == width) if head.is_complex else _after_sizes(spark, path, rows, sizes)
+    rows = _entries(spark, path, head)
     place = [F.lit(mid).alias("mid"), (F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j")]
     values = [F.col("w")[2].cast("double").alias("re"), F.col("w")[3].cast("double").alias("im")] if head.is_complex else [F.col("w")[2].cast("double").alias("v")]
     meta = spark.createDataFrame([(mid, head.nrows, head.ncols, head.is_complex, head.symmetry)], "mid string, nrows long, ncols long, is_complex boolean, symmetry string")
     return expand(rows.select(*place, *values), head.symmetry), meta
 
 
-def _after_sizes(spark: SparkSession, path: str, rows: DataFrame, sizes: list[str]) -> DataFrame:
-    """All rows but one that equals the size line (the first of them in the file)."""
-    same = F.col("w") == F.array(*map(F.lit, sizes))
-    numbered = rows.withColumn("at", F.monotonically_increasing_id())  # in the order of the file
-    first = numbered.where(same).agg(F.min("at")).first()[0]
-    return numbered.where(F.col("at") != first).drop("at")
-
-
 def read_vector(spark: SparkSession, path: str, mid: str) -> DataFrame:
-    """(mid, i, x): the first column of a real array file.
-
-    Lines are numbered by partition: a count per partition reaches the driver, and every line adds what lies before.
-    """
+    """(mid, i, x), or (mid, i, re, im) of a complex file: the first column of an array file."""
     head = query(spark, path)
-    if head.sparse or head.is_complex:
-        raise BadInput("not a real array file")
-    rows = _entries(spark, path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), F.col("w")[0].alias("x"))
-    counts = sorted((r["part"], r["n"], r["least"]) for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("least")).collect())
-    ahead, shifts = 0, []
-    for part, n, least in counts:
-        shifts.append((part, ahead - least))
-        ahead += n
-    table = spark.createDataFrame(shifts, "part int, shift long")
-    numbered = rows.join(F.broadcast(table), "part").select((F.col("at") + F.col("shift") - 1).alias("i"), F.col("x").cast("double").alias("x"))
-    return numbered.where((F.col("i") >= 0) & (F.col("i") < head.nrows)).select(F.lit(mid).alias("mid"), "i", "x")
+    if head.sparse:
+        raise BadInput("not an array file")
+    rows = _entries(spark, path, head).where(F.col("n") < head.nrows)
+    values = [F.col("w")[k].cast("double").alias(c) for k, c in enumerate(("re", "im") if head.is_complex else ("x",))]
+    return rows.select(F.lit(mid).alias("mid"), F.col("n").alias("i"), *values)
 
 
 def write(coo: DataFrame, nrows: int, ncols: int, path: str, digits: int = 16) -> None:
@@ -127,10 +133,13 @@ def write(coo: DataFrame, nrows: int, ncols: int, path: str, digits: int = 16) -
     head.union(rows).orderBy("k", "l").select("value").write.text(path)
 
 
-def write_vector(x: DataFrame, path: str, digits: int = 16) -> None:
-    rows = x.select((F.col("i") + 2).alias("k"), F.format_string(f"%.{digits}e", "x").alias("value"))
-    head = x.sparkSession.createDataFrame([(0, "%%MatrixMarket matrix array real general"), (1, f"{x.count()} 1")], "k long, value string")
-    head.union(rows).orderBy("k").select("value").write.text(path)
+def write_vector(x: DataFrame, path: str, digits: int = 16, per_file: int = 0) -> None:
+    """A vector (i, x) or (i, re, im) as an array file in a folder, of at most ``per_file`` lines a part (0: any)."""
+    columns = ("re", "im") if "re" in x.columns else ("x",)
+    rows = x.select((F.col("i") + 2).alias("k"), F.concat_ws(" ", *(F.format_string(f"%.{digits}e", c) for c in columns)).alias("value"))
+    kind = "complex" if "re" in x.columns else "real"
+    head = x.sparkSession.createDataFrame([(0, f"%%MatrixMarket matrix array {kind} general"), (1, f"{x.count()} 1")], "k long, value string")
+    head.union(rows).orderBy("k").select("value").write.option("maxRecordsPerFile", per_file).text(path)
 
 
 def write_native(coo: DataFrame, meta: DataFrame, path: str) -> None:

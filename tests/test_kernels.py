@@ -151,3 +151,56 @@ def test_parameters():
         factor.factorize([{5: 1.0}], Params())
     with pytest.raises(BadInput):
         factor.factorize([{0: float("nan")}], Params())
+
+
+def test_matrix_market_parts(spark, tmp_path):
+    """Parts in the order of their names, size lines in any form, complex vectors, a wrong count."""
+    from pyspark.sql import functions as F
+
+    from stratum.sources import matrix_market
+    from stratum.types import BadInput
+
+    x = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") * 7 % 1000).cast("double").alias("x"))
+    matrix_market.write_vector(x, f"{tmp_path}/v", per_file=97)
+    assert len(list((tmp_path / "v").glob("part-*"))) > 4
+    assert sorted((r["i"], r["x"]) for r in matrix_market.read_vector(spark, f"{tmp_path}/v", "V").collect()) == [(i, i * 7 % 1000) for i in range(1000)]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a").write_text("%%MatrixMarket matrix coordinate real general\n% note\n\n")
+    (tmp_path / "two" / "b").write_text("+7 07 3\n1 1 0.5\n% between\n7 7 3\n")
+    (tmp_path / "two" / "c").write_text("2 3 4\n" + "\n" * 50)
+    entries, sizes = matrix_market.read(spark, f"{tmp_path}/two", "A")
+    assert sorted((r["i"], r["j"], r["v"]) for r in entries.collect()) == [(0, 0, 0.5), (1, 2, 4.0), (6, 6, 3.0)] and sizes.first()["nrows"] == 7
+    (tmp_path / "h.mtx").write_text("%%MatrixMarket matrix coordinate complex hermitian\n2 2 2\n1 1 1 0\n2 1 3 4\n")
+    entries, _ = matrix_market.read(spark, f"{tmp_path}/h.mtx", "H")
+    assert sorted((r["i"], r["j"], r["re"], r["im"]) for r in entries.collect()) == [(0, 0, 1.0, 0.0), (0, 1, 3.0, -4.0), (1, 0, 3.0, 4.0)]
+    (tmp_path / "short.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 2 3\n1 1 1\n2 1 3\n")
+    for path, words in (("short.mtx", "declared"), ("two/b", "no|not"), ("two/c", "no|not")):
+        with pytest.raises(BadInput):
+            matrix_market.read(spark, f"{tmp_path}/{path}", "S")
+
+
+def test_triangular_cycle(spark):
+    from stratum.operators import triangular
+    from stratum.types import BadInput
+
+    ring = spark.createDataFrame([("T", k, (k + 1) % 3, 0.5) for k in range(3)], "mid string, i long, j long, v double")
+    with pytest.raises(BadInput):
+        triangular.levels(ring, spark.range(3).selectExpr("'T' AS mid", "id AS i"))
+
+
+def test_lup_of_a_singular_block():
+    from stratum.kernels.dense import LUP
+
+    a = np.array([[2.0, 1, 1], [4, 2, 2], [1, 0, 3]])
+    a[:, 2] = a[:, 0] + a[:, 1]
+    found = LUP(a)
+    x = found.solve(a @ np.array([1.0, 2.0, 0.0]))
+    assert found.rank < 3 and np.isfinite(x).all() and np.isfinite(found.solve(np.ones(3), trans=True)).all()
+
+
+def test_indices_beyond_one_run(spark):
+    from stratum.operators import structure
+
+    sizes = spark.createDataFrame([("A", 200_001), ("B", 1), ("C", 0)], "mid string, nrows long")
+    found = structure.indices(sizes).groupBy("mid").agg({"i": "sum", "*": "count"}).collect()
+    assert {(r["mid"], r["count(1)"], r["sum(i)"]) for r in found} == {("A", 200_001, 200_000 * 200_001 // 2), ("B", 1, 0)}
