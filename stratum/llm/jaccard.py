@@ -156,6 +156,7 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
 
     def send(batches):
         windows = Windows(words)
+        common.trim()
         members, classes, signs, n = [], {}, [], 0
 
         def flush():
@@ -185,7 +186,7 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
                     cut = squeeze(np.diff(sign[a:b], prepend=np.uint64(0)), local.astype(np.uint32))
                     out.append((int(k), 1, int(b - a), cut, len(here), squeeze(least[here], high[here])))
             members, classes, signs, n = [], {}, [], 0
-            pa.default_memory_pool().release_unused()
+            common.trim()
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["bucket", "kind", "n", "blob", "m", "who"])
 

@@ -35,8 +35,8 @@ ROWS, LEAST_BITS, MOST_BITS = 2, 22, 28
 CHUNK_BITS = 22
 #: Bytes of text for each cell of a row (about one window), and of text whose repeated windows meet in a bucket.
 CELL_TEXT, BUCKET_TEXT = 4, 4 << 20
-#: Windows that a task holds before it sends them on.
-HELD = 4 << 20
+#: Windows that a task holds before it counts them, and repeated ones before it sends them on.
+HELD, SENT = 4 << 20, 1 << 20
 _NULL = -(1 << 63)
 
 
@@ -54,6 +54,7 @@ def sketch(spark: SparkSession, docs: DataFrame, size: int, wide: int) -> list[t
 
     def count(batches):
         windows, held, n = Windows(size), [[] for _ in range(ROWS)], 0
+        common.trim()
 
         def flush():
             out = []
@@ -93,6 +94,19 @@ def sketch(spark: SparkSession, docs: DataFrame, size: int, wide: int) -> list[t
     return [(r["chunk"], bytes(r["bits"])) for r in merged.collect()]  # ROWS * 2**MOST_BITS bits at most
 
 
+class Sketch:
+    """A merged sketch: compressed chunks where it is made, and where it is sent to the bits alone."""
+
+    def __init__(self, chunks: list[tuple[int, bytes]], wide: int):
+        self.chunks, self.wide = chunks, wide
+
+    def __getstate__(self):
+        return self.chunks, self.wide
+
+    def __setstate__(self, state):
+        self.bits, self.wide = unpacked(*state), state[1]
+
+
 def unpacked(chunks: list[tuple[int, bytes]], wide: int) -> list[np.ndarray]:
     """The rows of a sketch as packed bits."""
     out, step = [np.zeros(1 << (wide - 3), np.uint8) for _ in range(ROWS)], 1 << (CHUNK_BITS - 3)
@@ -142,11 +156,12 @@ def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     wide = min(MOST_BITS, max(LEAST_BITS, (total // CELL_TEXT).bit_length()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXT))
-    sent_bits = spark.sparkContext.broadcast(sketch(spark, docs, size, wide))
+    shared = spark.sparkContext.broadcast(Sketch(sketch(spark, docs, size, wide), wide))
     window_kinds, mark_kinds = ("<u8", "<u8", "<i8", "<i8", "<u4"), ("<i8", "<i8", "<i4", "<i4")
 
     def send(batches):
-        windows, bits, held, n = Windows(size), unpacked(sent_bits.value, wide), [], 0
+        windows, bits, held, n = Windows(size), shared.value.bits, [], 0
+        common.trim()
 
         def flush():
             h1, h2, doc, tie, start = (np.concatenate(x) for x in zip(*held))
@@ -172,9 +187,10 @@ def marks(spark: SparkSession, docs: DataFrame, size: int) -> DataFrame:
                 if len(at):
                     held.append((h1[at], h2[at], np.full(len(at), doc, np.int64), np.full(len(at), tie, np.int64), at.astype(np.uint32)))
                     n += len(at)
-                if n >= HELD:
+                if n >= SENT:
                     yield flush()
                     held, n = [], 0
+                    common.trim()
         if n:
             yield flush()
 
