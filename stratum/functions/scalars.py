@@ -58,6 +58,17 @@ def uniform_partition(rows: DataFrame, parts: int) -> DataFrame:
     return each.select("mid", "part", first.cast("long").alias("first"), (first + size + (F.col("part") < rest).cast("int")).cast("long").alias("end"))
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """A sparse vector less the places (mid, i) of ``gone``."""
+    return rows.join(gone.select("mid", "i"), ["mid", "i"], "left_anti")
+
+
+def first_where(rows: DataFrame, holds: Column) -> DataFrame:
+    """(mid, i, x): each vector's first entry for which ``holds``; none where there is none."""
+    found = rows.where(holds).groupBy("mid").agg(F.min(F.struct("i", "x")).alias("e"))
+    return found.select("mid", "e.i", "e.x")
+
+
 def ranked(rows: DataFrame, by: str = "i") -> DataFrame:
     """A sparse vector's entries (mid, i, x) with their place in order, zeros and repeated indices left out."""
     kept = rows.where("x <> 0").dropDuplicates(["mid", "i"])

@@ -10,7 +10,7 @@ _EPS = np.finfo(float).eps
 class QRCP:
     """Householder QR with column pivoting; the rank is where the condition of R's leading block passes a bound."""
 
-    def __init__(self, a: np.ndarray, rrqr_cond: float = 0.0):
+    def __init__(self, a: np.ndarray, rrqr_cond: float = 0.0, rank_norm: int = 2):
         a = np.array(a, complex if np.iscomplexobj(a) else float)
         n = len(a)
         q, perm = np.eye(n, dtype=a.dtype), np.arange(n)
@@ -28,15 +28,30 @@ class QRCP:
                 q[:, k:] -= 2 * np.outer(q[:, k:] @ x, x.conj())
             norms[k + 1 :] = (abs(a[k + 1 :, k + 1 :]) ** 2).sum(axis=0)
         self.q, self.r, self.perm = q, np.triu(a), perm
-        self.rank = self._rank(rrqr_cond or _EPS ** (-2 / 3))
-
-    def _rank(self, bound: float) -> int:
+        self.rank = self._rank(rrqr_cond or _EPS ** (-2 / 3), rank_norm)
+
+    def _estimated(self, bound: float) -> int:
+        """Leading columns of R while their estimated 1-norm condition stays under the bound."""
+        sizes = np.maximum.accumulate(abs(self.r).sum(axis=0))
+        grown = np.zeros(len(self.perm), self.r.dtype)  # solves R' x = +-1, signs chosen so that x grows
+        for k, pivot in enumerate(np.diag(self.r)):
+            if not pivot:
+                return k
+            known = grown[:k] @ self.r[:k, k]
+            grown[k] = max(1 - known, -1 - known, key=abs) / pivot
+            if abs(grown[: k + 1]).max() * sizes[k] >= bound:
+                return k
+        return len(grown)
+
+    def _rank(self, bound: float, norm: int) -> int:
         n = len(self.perm)
         diag = abs(np.diag(self.r))
         if not n or not diag[0]:
             return 0
         if diag.min() >= np.sqrt(_EPS) * diag[0]:
             return n
+        if norm == 1:
+            return self._estimated(bound)
 
         def fits(k: int) -> bool:
             sizes = np.linalg.svd(self.r[:k, :k], compute_uv=False)

@@ -76,17 +76,32 @@ def inner(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(y.select("mid", "i", F.col("x").alias("y")), ["mid", "i"]).groupBy("mid").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+#: Magnitudes from where squares are taken of scaled values, and the scale; a power of two, so that scaling is exact.
+_HUGE, _SCALE = 2.0**400, 2.0**600
+
+
+def norm2(x: Column) -> Column:
+    """Aggregate: the 2-norm without overflow or underflow, from three sums of squares by magnitude."""
+    size = F.abs(x)
+    squares = lambda kept, scale: F.coalesce(F.sum(F.when(kept, (size * scale) * (size * scale))), F.lit(0.0))
+    big = squares(size >= _HUGE, 1 / _SCALE)
+    small = squares(size <= 1 / _HUGE, _SCALE)
+    middle = squares((size > 1 / _HUGE) & (size < _HUGE), 1.0)
+    of_big = F.sqrt(big + middle / _SCALE / _SCALE) * _SCALE
+    return F.when(big > 0, of_big).when(middle > 0, F.sqrt(middle)).otherwise(F.sqrt(small) / _SCALE)
+
+
 def norms(x: DataFrame) -> DataFrame:
-    """(mid, norm1, norm2, norm2_sq, max_mag, imax_mag)."""
+    """(mid, norm1, norm2, norm2_sq, max_mag, imax_mag); norm2_sq may overflow where norm2 does not."""
     return x.groupBy("mid").agg(
-        F.sum(F.abs("x")).alias("norm1"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm2"), F.sum(F.col("x") * F.col("x")).alias("norm2_sq"),
+        F.sum(F.abs("x")).alias("norm1"), norm2(F.col("x")).alias("norm2"), F.sum(F.col("x") * F.col("x")).alias("norm2_sq"),
         F.max(F.abs("x")).alias("max_mag"), F.max_by("i", F.struct(F.abs("x"), -F.col("i"))).alias("imax_mag"),
     )
 
 
 def normalize(x: DataFrame) -> DataFrame:
     """x over its 2-norm; a zero vector stays."""
-    n = x.groupBy("mid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    n = x.groupBy("mid").agg(norm2(F.col("x")).alias("n"))
     return x.join(n, "mid").select("mid", "i", F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.col("x")).alias("x"))
 
 

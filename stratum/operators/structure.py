@@ -160,6 +160,13 @@ def rotate_left(p: DataFrame, first: int, last: int) -> DataFrame:
     return p.withColumn("i", to.cast("long"))
 
 
+def rotate_right(p: DataFrame, first: int, last: int) -> DataFrame:
+    """Positions first..last moved one to the right, the last one to the front."""
+    i = F.col("i")
+    to = F.when(i == last, first).when((i >= first) & (i < last), i + 1).otherwise(i)
+    return p.withColumn("i", to.cast("long"))
+
+
 def find_sorted(coo: DataFrame, wanted: DataFrame) -> DataFrame:
     """(mid, i, j, found, at): where in its row an entry is, or would be."""
     before = coo.select("mid", "i", F.col("j").alias("k"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from stratum.kernels import apply, dense, factor, ordering
 from stratum.operators import product
 from stratum.types import BadPreconditioner, Params, SizeMismatch
 
-FACTORS = "mid string, level int, n long, m long, nnz long, nnz_ef long, rank long, stats array<long>, blob binary"
+FACTORS = "mid string, level int, n long, m long, nnz long, nnz_ef long, rank long, seconds double, stats array<long>, blob binary"
 SOLUTION = "mid string, k int, i long, re double, im double"
 
 
@@ -68,21 +69,37 @@ def _count(level: factor.Level) -> int:
     return sum(len(r) for r in level.L) + sum(len(r) for r in level.U) + level.m
 
 
-def factor_frame(mid: str, a: apply.Sparse, params: Params) -> pd.DataFrame:
-    levels, stats = factor.factorize(a.rows(), params)
+def _filter(null_space):
+    """A filter of vectors: of the places (first, end), or the user's own function of an array."""
+    if null_space is None or callable(null_space):
+        return null_space
+    return lambda z: apply.null_filter(z, *null_space)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.complex64 if np.iscomplexobj(x) else np.float32)
+
+
+def factor_frame(mid: str, a: apply.Sparse, params: Params, solver=None) -> pd.DataFrame:
+    levels, stats = factor.factorize(a.rows(), params, solver)
     if params.single:
         for f in levels:
             narrow = lambda x: np.complex64(x) if isinstance(x, complex) else np.float32(x)
             for name in ("L", "U", "E", "F"):
                 setattr(f, name, [{j: narrow(v).item() for j, v in row.items()} for row in getattr(f, name)])
-            f.d = f.d.astype(np.complex64 if np.iscomplexobj(f.d) else np.float32).astype(f.d.dtype)
+            f.d = _narrow(f.d).astype(f.d.dtype)
+            for name, value in list(vars(f.solver).items()) if f.solver is not None else ():
+                if isinstance(value, np.ndarray) and value.dtype.kind in "fc":
+                    setattr(f.solver, name, _narrow(value))
+            if f.dense is not None:
+                f.dense = _narrow(f.dense)
     out = []
     for at, f in enumerate(levels):
         last = at == len(levels) - 1
         rest = f.n - f.m
         rank = f.solver.rank if last and rest else 0
-        out.append((mid, at + 1, f.n, f.m, _count(f) + (rest * rest if last else 0), sum(map(len, f.E)) + sum(map(len, f.F)), rank, stats if last else [0] * 6, pickle.dumps(f)))
-    return pd.DataFrame(out, columns=["mid", "level", "n", "m", "nnz", "nnz_ef", "rank", "stats", "blob"])
+        out.append((mid, at + 1, f.n, f.m, _count(f) + (rest * rest if last else 0), sum(map(len, f.E)) + sum(map(len, f.F)), rank, f.seconds, stats if last else [0] * 6, pickle.dumps(f)))
+    return pd.DataFrame(out, columns=["mid", "level", "n", "m", "nnz", "nnz_ef", "rank", "seconds", "stats", "blob"])
 
 
 def _levels(frame: pd.DataFrame) -> list[factor.Level]:
@@ -92,19 +109,23 @@ def _levels(frame: pd.DataFrame) -> list[factor.Level]:
 
 
 class Preconditioner:
-    """Factors of the matrices in ``coo``, or of their sparsifiers, kept as a stored table."""
+    """Factors of the matrices in ``coo``, or of their sparsifiers, kept as a stored table.
 
-    def __init__(self, spark: SparkSession, coo: DataFrame, params: Params = Params(), sparsifier: DataFrame | None = None):
-        self.spark, self.params = spark, params
+    ``solver`` makes the last block's solver of an array: ``rank``, ``solve`` and ``multiply`` as in ``kernels.dense``.
+    ``null_space`` of the methods is a pair (first, end) whose mean is taken off, or a function of an array.
+    """
+
+    def __init__(self, spark: SparkSession, coo: DataFrame, params: Params = Params(), sparsifier: DataFrame | None = None, solver=None):
+        self.spark, self.params, self.solver = spark, params, solver
         self.matrix = _complex(coo)
         self.factors: DataFrame | None = None
         self.refactorize(sparsifier if sparsifier is not None else coo)
 
     def refactorize(self, coo: DataFrame, params: Params | None = None) -> Preconditioner:
-        params = params or self.params
+        params, solver = params or self.params, self.solver
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            return factor_frame(frame["mid"].iloc[0], _sparse(frame), params)
+            return factor_frame(frame["mid"].iloc[0], _sparse(frame), params, solver)
 
         self.params = params
         self.factors = _complex(coo).groupBy("mid").applyInPandas(run, FACTORS).checkpoint()
@@ -128,12 +149,14 @@ class Preconditioner:
 
         return self.factors.groupBy("mid").cogroup(_vectors(b).groupBy("mid")).applyInPandas(run, SOLUTION)
 
-    def solve(self, b: DataFrame, trans: bool = False, rank: int = 0, null_space: tuple[int, int] | None = None) -> DataFrame:
+    def solve(self, b: DataFrame, trans: bool = False, rank: int = 0, null_space=None) -> DataFrame:
         """M^-1 b for each vector (mid[, k], i, x)."""
 
+        after = _filter(null_space)
+
         def work(levels, x):
             out = apply.solve(levels, x, trans, rank)
-            return apply.null_filter(out, *null_space) if null_space else out
+            return after(out) if after else out
 
         return self._apply(b, work)
 
@@ -156,9 +179,9 @@ class Preconditioner:
 
         return a.union(v).union(f).groupBy("mid").applyInPandas(run, schema)
 
-    def refine(self, b: DataFrame, steps: int, bounds: tuple[float, float] | None = None, trans: bool = False, rank: int = -1, null_space: tuple[int, int] | None = None) -> DataFrame:
+    def refine(self, b: DataFrame, steps: int, bounds: tuple[float, float] | None = None, trans: bool = False, rank: int = -1, null_space=None) -> DataFrame:
         """(mid, k, i, re, im, steps, flag): iterative refinement with the matrix."""
-        after = (lambda z: apply.null_filter(z, *null_space)) if null_space else None
+        after = _filter(null_space)
 
         def work(mid, a, levels, ks, x):
             out = []
@@ -169,9 +192,9 @@ class Preconditioner:
 
         return self._with_matrix(b, work, f"{SOLUTION}, steps int, flag int")
 
-    def gmres(self, b: DataFrame, rtol: float = 1e-6, restart: int = 30, maxit: int = 500, flexible: bool = False, null_space: tuple[int, int] | None = None) -> DataFrame:
+    def gmres(self, b: DataFrame, rtol: float = 1e-6, restart: int = 30, maxit: int = 500, flexible: bool = False, null_space=None) -> DataFrame:
         """(mid, k, i, re, im, flag, iterations, relres, products)."""
-        after = (lambda z: apply.null_filter(z, *null_space)) if null_space else None
+        after = _filter(null_space)
 
         def work(mid, a, levels, ks, x):
             out = []
@@ -215,6 +238,10 @@ class Preconditioner:
 
         return self.factors.groupBy("mid").applyInPandas(run, "mid string, level int, part string, i long, j long, re double, im double")
 
+    def timings(self) -> DataFrame:
+        """(mid, level, seconds): what each level took to make."""
+        return self.factors.select("mid", "level", "seconds")
+
     def stats(self) -> DataFrame:
         """Per matrix: levels (a dense block counts as one), entries, sizes and rank of the last Schur complement, counts."""
         last = F.max(F.struct("level", "n", "m", "rank", "stats"))
@@ -270,8 +297,8 @@ def orderings(coo: DataFrame, kind: str) -> DataFrame:
 
 
 def dense_solve(coo: DataFrame, b: DataFrame, kind: str, rank: int = 0) -> DataFrame:
-    """(mid, k, i, re, im, rank): by qrcp, lup or syeig."""
-    solver = {"qrcp": dense.QRCP, "lup": dense.LUP, "syeig": dense.SYEIG}[kind]
+    """(mid, k, i, re, im, rank): by qrcp (its rank by 2-norms, or as qrcp1 by 1-norms), lup or syeig."""
+    solver = {"qrcp": dense.QRCP, "qrcp1": partial(dense.QRCP, rank_norm=1), "lup": dense.LUP, "syeig": dense.SYEIG}[kind]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a = _sparse(left, int(right["i"].max()) + 1 if len(right) else None)

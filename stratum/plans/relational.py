@@ -246,6 +246,11 @@ def rotate_left(spark, d):
     return structure.rotate_left(structure.identity(tables.stencil(spark, 8)[1]), 10, 20)
 
 
+@query("rotate_right", "", "SELECT 'FD8' AS mid, i, CASE WHEN i = 10 THEN 20 WHEN i > 10 AND i <= 20 THEN i - 1 ELSE i END AS p FROM (SELECT unnest(range(0, 64)) AS i)")
+def rotate_right(spark, d):
+    return structure.rotate_right(structure.identity(tables.stencil(spark, 8)[1]), 10, 20)
+
+
 @query("find_sorted", _FD, "SELECT 'FD8' AS mid, R.i, R.i + 1 AS j, coalesce(bool_or(A.j = R.i + 1), FALSE) AS found, count(CASE WHEN A.j < R.i + 1 THEN 1 END) AS at FROM R LEFT JOIN A ON A.i = R.i GROUP BY R.i")
 def find_sorted(spark, d):
     a, meta = tables.stencil(spark, 8)
@@ -480,6 +485,28 @@ def uniform_partition(spark, d):
     return scalars.uniform_partition(tables.stencil(spark, 8)[1], 5)
 
 
+@query("sparse_without", _PS, "SELECT 'PS' AS mid, i, (i % 7)::DOUBLE AS x FROM R WHERE i % 3 <> 0")
+def sparse_without(spark, d):
+    """Marked places go, the others keep their indices."""
+    x = tables.vector(tables.part_supplier(spark, d)[1], F.col("i") % 7, "nrows")
+    return scalars.without(x, x.where("i % 3 = 0"))
+
+
+@query("sparse_first", _PS, "SELECT 'PS' AS mid, min(i) AS i, 5::DOUBLE AS x FROM R WHERE i % 7 = 5 AND i > 20")
+def sparse_first(spark, d):
+    """The first entry that holds a condition."""
+    x = tables.vector(tables.part_supplier(spark, d)[1], F.col("i") % 7, "nrows")
+    return scalars.first_where(x, (F.col("x") == 5) & (F.col("i") > 20))
+
+
+@query("norms_extreme", "", "SELECT mid, x AS norm2 FROM (VALUES ('huge', 5e200::DOUBLE), ('tiny', 5e-200::DOUBLE), ('mixed', 3e200::DOUBLE), ('zero', 0.0::DOUBLE)) t(mid, x)")
+def norms_extreme(spark, d):
+    """2-norms whose squares are beyond a double's range."""
+    rows = [(m, i, x) for m, *xs in (("huge", 3e200, -4e200), ("tiny", 3e-200, 4e-200), ("mixed", 3e200, 1.0, 1e-200), ("zero", 0.0)) for i, x in enumerate(xs)]
+    n = product.norms(spark.createDataFrame(rows, "mid string, i long, x double"))
+    return n.select("mid", F.format_string("%.12e", "norm2").cast("double").alias("norm2"))
+
+
 @query("sparse_vector", _FD, "SELECT 'FD8' AS mid, i, (i % 4)::DOUBLE AS x, row_number() OVER (ORDER BY i) - 1 AS at FROM R WHERE i % 4 <> 0")
 def sparse_vector(spark, d):
     """Zeros and repeated indices go; the rest is numbered in order."""

@@ -5,6 +5,7 @@ Right sides are A times a vector of small whole numbers, so that solutions are k
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratum.operators import product, structure
@@ -171,16 +172,48 @@ def solve_complex(spark, d):
 
 @query("solve_singular", "", "SELECT 'LAP' AS mid, i, (i - 9.5)::DOUBLE AS x FROM (SELECT unnest(range(0, 20)) AS i)")
 def solve_singular(spark, d):
+    return _path(spark, (0, -1))
+
+
+@query("solve_singular_user", "", "SELECT 'LAP' AS mid, i, (i - 9.5)::DOUBLE AS x FROM (SELECT unnest(range(0, 20)) AS i)")
+def solve_singular_user(spark, d):
+    """The null space taken off by the user's own function."""
+    return _path(spark, lambda x: x - x.mean(axis=0))
+
+
+def _path(spark, null_space):
     """A path's Laplacian: constant null space, filtered; the solution of zero mean is known."""
     i = spark.range(20).select(F.lit("LAP").alias("mid"), F.col("id").alias("i"))
     ends = (F.col("i") == 0) | (F.col("i") == 19)
     arms = F.array(F.struct(F.lit(0).alias("d"), F.when(ends, 1.0).otherwise(2.0).alias("v")), F.struct(F.lit(1).alias("d"), F.lit(-1.0).alias("v")), F.struct(F.lit(-1).alias("d"), F.lit(-1.0).alias("v")))
     a = i.select("mid", "i", F.explode(arms).alias("e")).select("mid", "i", (F.col("i") + F.col("e.d")).alias("j"), F.col("e.v").alias("v")).where("j between 0 and 19")
     b = i.select("mid", "i", F.when(F.col("i") == 0, -1.0).when(F.col("i") == 19, 1.0).otherwise(0.0).alias("x"))
-    found = pre.Preconditioner(spark, a, Params()).solve(b, null_space=(0, -1))
+    found = pre.Preconditioner(spark, a, Params()).solve(b, null_space=null_space)
     return _rounded(found)
 
 
+class Inverse:
+    """A dense solver of a user: the block's inverse."""
+
+    def __init__(self, a):
+        self.a, self.inverse, self.rank = a, np.linalg.inv(a), len(a)
+
+    def solve(self, b, rank=0, trans=False):
+        return (self.inverse.conj().T if trans else self.inverse) @ b
+
+    def multiply(self, x, rank=0, trans=False):
+        return (self.a.conj().T if trans else self.a) @ x
+
+
+@query("solve_user_dense", "", _KNOWN)
+def solve_user_dense(spark, d):
+    """M (M^-1 x) = x with the user's solver for the last block."""
+    a, meta, _ = _system(spark)
+    m = pre.Preconditioner(spark, a, SMALL, solver=Inverse)
+    y = m.solve(tables.vector(meta, F.col("i") % 7 + 1))
+    return _rounded(m.multiply(y.select("mid", "i", F.col("re").alias("x"))))
+
+
 @query("sparsifier", "", _KNOWN)
 def sparsifier(spark, d):
     """Factors of a simpler matrix precondition another."""
@@ -232,14 +265,26 @@ def syeig(spark, d):
     return _dense(spark, d, "syeig")
 
 
-@query("qrcp_rank", _NN, "SELECT 'NN' AS mid, CAST(2 AS INT) AS rank, TRUE AS least_squares")
+_RANK_TWO = "SELECT 'NN' AS mid, CAST(2 AS INT) AS rank, TRUE AS least_squares"
+
+
+@query("qrcp_rank", _NN, _RANK_TWO)
 def qrcp_rank(spark, d):
+    return _rank_two(spark, d, "qrcp")
+
+
+@query("qrcp_rank_1norm", _NN, _RANK_TWO)
+def qrcp_rank_1norm(spark, d):
+    return _rank_two(spark, d, "qrcp1")
+
+
+def _rank_two(spark, d, kind):
     """A rank-two matrix: the rank is found and the solution fits."""
     meta = tables.nations(spark, d)[1]
     ij = structure.indices(meta).join(structure.indices(meta).select("mid", F.col("i").alias("j")), "mid")
     a = ij.select("mid", "i", "j", ((F.col("i") + 1) * (F.col("j") + 2) + F.col("i") * F.col("i") * F.col("j")).cast("double").alias("v"))
     b = product.multiply(a, tables.vector(meta, F.col("i") % 7 + 1), meta)
-    x = pre.dense_solve(a, b, "qrcp")
+    x = pre.dense_solve(a, b, kind)
     r = product.norms(product.residual(a, x.select("mid", "i", F.col("re").alias("x")), b, meta)).select("mid", F.col("norm2").alias("rest"))
     fits = r.join(product.norms(b).select("mid", F.col("norm2").alias("all")), "mid").select("mid", (F.col("rest") < 1e-8 * F.col("all")).alias("least_squares"))
     return x.select("mid", "rank").distinct().join(fits, "mid")
@@ -252,6 +297,39 @@ def export_factors(spark, d):
     return parts.where("level = 1 and part in ('s', 't', 'p', 'q')").groupBy("mid", "part").agg(F.countDistinct("i").alias("n"))
 
 
+#: One level without dropping and deferral: a complete factorisation.
+EXACT = Params(tau_L=0.0, tau_U=0.0, alpha_L=1e9, alpha_U=1e9, kappa=1e9, kappa_d=1e9, rf_par=0, dense_thres=1, c_d=0.0)
+_WIND = "SELECT 'FD12' AS mid, i, (y + dy) * 12 + x + dx AS j, v FROM (SELECT i, i % 12 AS x, i // 12 AS y FROM (SELECT unnest(range(0, 144)) AS i)), (VALUES (0, 0, 4.0::DOUBLE), (1, 0, -0.7::DOUBLE), (-1, 0, -1.3::DOUBLE), (0, 1, -1.0::DOUBLE), (0, -1, -1.0::DOUBLE)) e(dx, dy, v) WHERE x + dx BETWEEN 0 AND 11 AND y + dy BETWEEN 0 AND 11"
+
+
+def _rebuilt(spark, params):
+    """The matrix from its exported factors: (I + L) D (I + U), unscaled and put back in its order."""
+    parts = pre.Preconditioner(spark, _system(spark)[0], params).export().where("level = 1").select("part", "i", "j", "re").checkpoint()
+    part = lambda name: parts.where(F.col("part") == name)
+    d = part("d").select(F.col("i").alias("k"), F.col("re").alias("d"))
+    low = part("L").select("i", F.col("j").alias("k"), F.col("re").alias("l")).union(d.select(F.col("k").alias("i"), "k", F.lit(1.0)))
+    up = part("U").select(F.col("i").alias("k"), "j", F.col("re").alias("u")).union(d.select("k", F.col("k").alias("j"), F.lit(1.0)))
+    block = low.join(d, "k").join(up, "k").groupBy("i", "j").agg(F.sum(F.col("l") * F.col("d") * F.col("u")).alias("v"))
+    place = lambda order, at, scale: part(order).select(F.col("i").alias(at), F.col("re").cast("long").alias(f"old_{at}")).join(part(scale).select(F.col("i").alias(f"old_{at}"), F.col("re").alias(scale)), f"old_{at}")
+    found = block.join(place("p", "i", "s"), "i").join(place("q", "j", "t"), "j").select(F.lit("FD12").alias("mid"), F.col("old_i").alias("i"), F.col("old_j").alias("j"), F.round(F.col("v") / (F.col("s") * F.col("t")), 6).alias("v"))
+    return found.where("v <> 0")
+
+
+@query("factors_rebuild", "", _WIND)
+def factors_rebuild(spark, d):
+    return _rebuilt(spark, EXACT)
+
+
+@query("factors_rebuild_pivoting", "", _WIND)
+def factors_rebuild_pivoting(spark, d):
+    return _rebuilt(spark, EXACT.with_value("pivot", "on"))
+
+
+@query("factors_rebuild_rcm", "", _WIND)
+def factors_rebuild_rcm(spark, d):
+    return _rebuilt(spark, EXACT.with_value("reorder", "rcm"))
+
+
 @query("solve_rank", "", "SELECT 'NN' AS mid, CAST(25 AS BIGINT) AS n, TRUE AS differs")
 def solve_rank(spark, d):
     """An explicit rank truncates the dense block's solve."""

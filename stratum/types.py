@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, fields, replace
-from enum import Enum, IntEnum
+from enum import Enum, IntFlag
 
 COO = "mid string, i long, j long, v double"
 COOZ = "mid string, i long, j long, re double, im double"
@@ -11,6 +12,9 @@ VEC = "mid string, i long, x double"
 META = "mid string, nrows long, ncols long, is_complex boolean, symmetry string"
 
 
+_LOG = logging.getLogger("stratum")
+
+
 class SolverError(Exception):
     """Any error of the engine."""
 
@@ -27,7 +31,7 @@ class BadInput(SolverError):
     """A matrix or file that breaks the format's rules."""
 
 
-class Verbose(IntEnum):
+class Verbose(IntFlag):
     NONE = 0
     WARN = 1
     INFO = 2
@@ -85,11 +89,12 @@ class Params:
     no_pre: int = 0
     nzp_thres: float = 0.65
     dense_thres: int = 2000
-    # Beyond the reference's fields: the dense solver, single precision factors, and switches that change results.
+    # Further fields: the dense solver, single precision factors, switches that change results, the norm of QRCP's rank.
     dense: Dense = Dense.QRCP
     single: int = 0
     drop_off_diagonal: int = 1
     drop_space: int = 1
+    rank_norm: int = 2
 
     def with_value(self, name: str, value) -> Params:
         kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}
@@ -106,13 +111,31 @@ class Params:
     def with_kappa(self, kappa: float, kappa_d: float | None = None) -> Params:
         return replace(self, kappa=kappa, kappa_d=kappa if kappa_d is None else kappa_d)
 
+    def text(self) -> str:
+        """The values in the order of the fields, as ``read`` takes them."""
+        values = (getattr(self, f.name) for f in fields(self))
+        return " ".join(str(int(v)) if isinstance(v, IntFlag) else v.value if isinstance(v, Enum) else repr(v) for v in values)
+
+    def __str__(self) -> str:
+        """A field a line; verbosity and orders by name."""
+        shown = ((f.name, getattr(self, f.name)) for f in fields(self))
+        return "\n".join(f"{name:<18}{v.name.lower() if isinstance(v, Enum) else v}" for name, v in shown)
+
+    def says(self, kind: Verbose) -> bool:
+        return bool(self.verbose & kind)
+
+    def say(self, kind: Verbose, text: str, *values) -> None:
+        """Logs under ``stratum`` if ``verbose`` has the kind's bit; on executors into their logs."""
+        if self.says(kind):
+            _LOG.log(logging.WARNING if kind is Verbose.WARN else logging.INFO, text, *values)
+
     @classmethod
     def read(cls, text: str) -> Params:
         """Values in the order of the fields, separated by white space."""
         out = cls()
         for f, value in zip(fields(cls), text.split()):
             kind = type(getattr(out, f.name))
-            if issubclass(kind, IntEnum):
+            if issubclass(kind, IntFlag):
                 out = replace(out, **{f.name: kind(int(value))})
             else:
                 out = out.with_value(f.name, float(value) if kind is float else int(value) if kind is int else value)

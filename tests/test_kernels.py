@@ -204,3 +204,72 @@ def test_indices_beyond_one_run(spark):
     sizes = spark.createDataFrame([("A", 200_001), ("B", 1), ("C", 0)], "mid string, nrows long")
     found = structure.indices(sizes).groupBy("mid").agg({"i": "sum", "*": "count"}).collect()
     assert {(r["mid"], r["count(1)"], r["sum(i)"]) for r in found} == {("A", 200_001, 200_000 * 200_001 // 2), ("B", 1, 0)}
+
+
+def test_orders_save_fill_and_bandwidth():
+    """Minimum degree leaves less fill than the natural order, Cuthill-McKee a bandwidth of about a side."""
+    side = 16
+    near = ordering.pattern(stencil(side).rows())
+
+    def fill(order):
+        left, count = [set(x) - {i} for i, x in enumerate(near)], 0
+        for k in order:
+            count += len(left[k])
+            for x in left[k]:
+                left[x] |= left[k]
+                left[x] -= {x, k}
+        return count
+
+    natural, amd = fill(range(side * side)), fill(ordering.minimum_degree(near))
+    assert amd < 0.75 * natural
+    order = ordering.cuthill_mckee(near)
+    at = {k: p for p, k in enumerate(order)}
+    assert max(abs(at[i] - at[j]) for i, x in enumerate(near) for j in x) <= side + 2
+
+
+def test_counts_of_deferrals():
+    """All deferrals are the rows not factorised, level by level; an abandoned level counts nothing."""
+    for params in (Params(**SMALL), Params(**SMALL, pivot=Pivot.ON), Params(**SMALL, kappa=1.0, kappa_d=1.0)):
+        levels, stats = factor.factorize(random(60, 0.06, 7)[0].rows(), params)
+        assert stats[0] == sum(f.n - f.m for f in levels) >= stats[1] == stats[2] + stats[3]
+
+
+def test_rank_by_1_norm():
+    rng = np.random.default_rng(2)
+    for n, r in ((12, 12), (12, 5), (12, 1), (3, 0)):
+        a = rng.standard_normal((n, r)) @ rng.standard_normal((r, n))
+        assert dense.QRCP(a, rank_norm=1).rank == r == dense.QRCP(a).rank
+    graded = np.diag([1.0, 1e-4, 1e-8, 1e-12])
+    assert dense.QRCP(graded, 1e6, rank_norm=1).rank == 2 and dense.QRCP(graded, 1e10, rank_norm=1).rank == 3
+
+
+def test_tiny_pivots():
+    """Entries are divided by a pivot whose reciprocal is beyond a double's range."""
+    rows = [{0: 1e-310, 1: 2e-310}, {0: 3e-310, 1: 1.0}]
+    params = Params(no_pre=1, kappa=1e9, kappa_d=float("inf"), tau_L=0, tau_U=0, pivot=Pivot.OFF, rf_par=0)
+    level, *_ = factor.factor_level(rows, params, 1, None, [0] * 6, False)
+    assert level.m == 2 and level.U[0] == {1: pytest.approx(2.0, rel=1e-3)} and level.L[1] == {0: pytest.approx(3.0, rel=1e-3)}
+
+
+def test_options_as_text(caplog):
+    from stratum.types import Verbose
+
+    params = Params(tau_L=1e-7, verbose=Verbose.INFO | Verbose.FAC, reorder=Reorder.RCM, pivot=Pivot.ON, dense=Dense.LUP, rank_norm=1)
+    assert Params.read(params.text()) == params and Params.read(Params().text()) == Params()
+    assert "reorder" in str(params) and "rcm" in str(params)
+    with caplog.at_level("INFO", "stratum"):
+        factor.factorize(stencil(6).rows(), Params(**SMALL))
+        assert not caplog.records
+        levels, _ = factor.factorize(stencil(6).rows(), Params(**SMALL, verbose=Verbose.FAC))
+    assert len(caplog.records) >= len(levels) - 1 and all(f.seconds > 0 for f in levels)
+
+
+def test_single_keeps_the_dense_block_single():
+    import pickle
+
+    from stratum.plans import preconditioner
+
+    frame = preconditioner.factor_frame("A", stencil(8), Params(**SMALL, single=1))
+    last = pickle.loads(frame["blob"].iloc[-1])
+    assert last.dense.dtype == np.float32 and last.solver.r.dtype == np.float32
+    assert (frame["seconds"] > 0).all()
