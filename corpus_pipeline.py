@@ -17,6 +17,8 @@ from stratum.llm import common, decontaminate, jaccard, packing, substring, toxi
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids to leave out that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of each generation of the encoder's memory, less than where packing runs alone: the executors' heaps have grown by then.
+TOKEN_MEMORY = 24 << 20
 
 
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
-    return packing.packed(spark, docs)
+    return packing.packed(spark, docs, TOKEN_MEMORY)
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("substring_dedup", passages), ("decontamination", benchmark), ("packing", packs)]

@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import common
+from stratum.llm.tokens import MEMORY
 
 WINDOW = 4096
 END_ID = 2
+#: Rows that are tokenized in one step.
+STEP_ROWS = 250
 #: Pieces of a shard, about.
 SHARD_PIECES = 50_000
 
@@ -75,14 +78,15 @@ class BestFit:
         return at, offset
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document with their length and check sum, and a number ``row``."""
+def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
+    """The pieces of every document with their length and check sum, and a number ``row``; ``memory`` bounds the encoder's."""
 
     def cut(batches):
         from stratum.llm.tokens import encoder
 
-        tokens = encoder(tokenizer)
-        for batch in batches:
+        common.trim()
+        tokens = encoder(tokenizer, memory)
+        for batch in (batch.slice(k, STEP_ROWS) for batch in batches for k in range(0, batch.num_rows, STEP_ROWS)):
             out = []
             for doc, ids in zip(batch.column("id").to_pylist(), tokens.each(batch.column("text"), end_id)):
                 for k in range(0, len(ids), 4 * window):
@@ -90,6 +94,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window:
                     out.append((doc, k // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        common.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES).withColumn("row", F.monotonically_increasing_id())
 
@@ -113,11 +118,11 @@ def pack(spark: SparkSession, found: DataFrame, window: int = WINDOW) -> DataFra
     return dealt.groupBy("shard").applyInArrow(fit, PACKED)
 
 
-def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, memory: int = MEMORY) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with the production parameters, packed."""
     import public_tokenizers
 
-    found = common.stored(spark, pieces(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    found = common.stored(spark, pieces(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), memory=memory), "pieces")
     return pack(spark, found)
 
 

@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept in each of the two generations of a worker's memory.
-MEMORY = 1_000_000
+#: Bytes of each of the two generations of a worker's memory, and of an entry besides its chunk and ids, about.
+MEMORY, ENTRY = 200 << 20, 190
 #: Chunks in one call of the library.
-CALL = 20_000
+CALL = 5_000
 
 # White space beyond ASCII, and two ways for a text to be cut by more than its chunks.
 _WIDE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,7 +29,7 @@ _WORD_WHOLE = "[\\x01\\x1c-\\x1f]|<\\|"
 class Encoder:
     """ids of texts as unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -46,17 +46,16 @@ class Encoder:
         self.mark = int(found[0])
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.memory, self.held = memory, 0
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.young) + len(chunks) > MEMORY:
-            self.old, self.young = self.young, {"": b""}
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks by the library."""
         # A quote at the start may open a contraction, which a separator before it would hide.
         single = [c for c in chunks if c[0] == "'"]
-        for chunk, ids in zip(single, self._library(single)):
-            self.young[chunk] = ids.tobytes()
+        learnt = {chunk: ids.tobytes() for chunk, ids in zip(single, self._library(single))}
         many = [c for c in chunks if c[0] != "'"] if single else chunks
         for k in range(0, len(many), CALL):
             own = many[k : k + CALL]
@@ -66,24 +65,38 @@ class Encoder:
             stops = [*(4 * ends).tolist(), len(data)]
             if len(stops) != len(own):
                 raise ValueError("a chunk holds the separator")
-            self.young.update(zip(own, [data[a:b] for a, b in zip(cuts, stops)]))
+            learnt.update(zip(own, [data[a:b] for a, b in zip(cuts, stops)]))
+        return learnt
+
+    def _keep(self, known: dict[str, bytes]) -> None:
+        pairs = list(known.items())
+        for k in range(0, len(pairs), CALL):
+            own = pairs[k : k + CALL]
+            size = ENTRY * len(own) + sum(len(chunk) + len(ids) for chunk, ids in own)
+            if self.held + size > self.memory:
+                self.old, self.young, self.held = self.young, {"": b""}, 0
+            if size <= self.memory:
+                self.young.update(own)
+                self.held += size
 
     def _numbered(self, chunks: list[str]) -> list[bytes]:
         young, old = self.young, self.old
         found = [young.get(c) for c in chunks]
         missing = [k for k, x in enumerate(found) if x is None]
-        unseen = []
+        kept, unseen = {}, []
         for k in missing:
             known = old.get(chunks[k])
             if known is None:
                 unseen.append(chunks[k])
             else:
-                found[k] = young[chunks[k]] = known
+                found[k] = kept[chunks[k]] = known
         if unseen:
-            self._learn(unseen)
+            learnt = self._learn(unseen)
             for k in missing:
                 if found[k] is None:
-                    found[k] = self.young[chunks[k]]
+                    found[k] = learnt[chunks[k]]
+            kept |= learnt
+        self._keep(kept)
         return found
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +136,11 @@ class Encoder:
         return self.each(pa.array([text], pa.string()), 0)[0][:-4]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
+    """One encoder per worker process, vocabulary and bound of its memory."""
+    if (path, memory) not in _ENCODERS:
+        _ENCODERS[path, memory] = Encoder(path, memory)
+    return _ENCODERS[path, memory]

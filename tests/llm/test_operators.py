@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -173,6 +174,24 @@ def test_tokens_of_random_texts_equal_the_library(name):
     assert got == [*(x.ids for x in library.encode_batch(texts, add_special_tokens=False)), []]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_memory_is_bounded_in_bytes(name):
+    """Ever new and long chunks, more than fit, and some that come again: never more than two generations are held."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    bound, rng = 1 << 18, np.random.default_rng(4)
+    own, library = tokens.Encoder(public_tokenizers.path(name), bound), Tokenizer.from_file(public_tokenizers.path(name))
+    again = [" ".join(passage(40, k)) for k in range(20)]
+    for wide in (8, 200, 20_000, bound):
+        for _ in range(4):
+            texts = again + [" ".join("".join(rng.choice(list("abc"), wide)) for _ in range(3)) for _ in range(max(1, min(200, bound // wide)))]
+            ids, lengths = own.batch(pa.array(texts))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+            assert sum(sys.getsizeof(chunk) + sys.getsizeof(ids) for kept in (own.young, own.old) for chunk, ids in kept.items()) <= 2 * bound
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (511, 3), (512, 70_000), (5000, 50_257)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
