@@ -40,9 +40,9 @@ PERCENT = 75
 #: A shingle is frequent if so many of the sampled documents (one in SAMPLE) have it; at most so many are frequent.
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 500_000
 #: Signatures that a task holds before it sends them on.
-HELD = 2 << 20
+HELD = 1 << 20
 #: Bytes of text whose signatures meet in a bucket; shingles whose counts meet in one; shingles of a block of a hub.
-BUCKET_TEXT, BUCKET_SHINGLES, BLOCK_SHINGLES = 16 << 20, 2 << 20, 1 << 20
+BUCKET_TEXT, BUCKET_SHINGLES, BLOCK_SHINGLES = 8 << 20, 2 << 20, 1 << 20
 #: Holders of shingles that are looked at in one step.
 AT_ONCE = 1 << 20
 #: Ids of documents to fetch that are broadcast; more are joined by a shuffle.
@@ -147,12 +147,61 @@ def apart(u: bytes, v: bytes) -> int:
 _FOUND = "kind int, a long, b long, x long, y long, sketch binary"
 
 
+def met(table: pa.Table) -> pa.Table:
+    """Rows of ``candidates`` of a bucket; documents are looked up for the signatures only that come up again."""
+    out, signs, owners, ids, highs, n_ids = [], [], [], [], [], 0
+    for kind, n, blob, m, who in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "blob", "m", "who"))):
+        if kind != 1:
+            doc, size, high, low = expand(blob, n, "<i8", "<i8", "<u8", "<u8")
+            ends = np.concatenate([[0], np.cumsum(cells_of(size))]).astype(np.int32)
+            cells = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(who)])
+            out.append([pa.array(np.full(n, kind, np.int32)), *(pa.array(c, pa.int64()) for c in (doc, size, high.view(np.int64), low.view(np.int64))), cells])
+        else:
+            steps, local = expand(blob, n, "<u8", "<u4")
+            least, high = expand(who, m, "<i8", "<u8")
+            signs.append(np.cumsum(steps, dtype=np.uint64))
+            owners.append(local + np.uint32(n_ids))
+            ids.append(least)
+            highs.append(high)
+            n_ids += m
+    if signs:
+        sign = np.concatenate(signs)
+        signs.clear()
+        order = np.argsort(sign)
+        sign = sign[order]
+        again = np.zeros(len(sign), bool)
+        again[1:] = sign[1:] == sign[:-1]
+        again[:-1] |= again[1:]
+        sign, owner = sign[again], np.concatenate(owners)[order[again]]
+        doc, high = np.concatenate(ids)[owner], np.concatenate(highs)[owner]
+        del order, owners
+        order = np.lexsort((doc, high, sign))  # of equal sets the least id
+        sign, doc, high = sign[order], doc[order], high[order]
+        new = np.ones(len(sign), bool)
+        new[1:] = (sign[1:] != sign[:-1]) | (high[1:] != high[:-1])
+        sign, doc = sign[new], doc[new]
+        order = np.lexsort((doc, sign))
+        sign, doc = sign[order], doc[order]
+        head = np.ones(len(sign), bool)
+        head[1:] = sign[1:] != sign[:-1]
+        first = np.maximum.accumulate(np.where(head, np.arange(len(sign)), 0)) if len(sign) else np.empty(0, np.int64)
+        many, hub = np.bincount(first, minlength=len(sign))[first], doc[first]
+        other = hub != doc
+        hub, doc, many = hub[other], doc[other], many[other]
+        order = np.lexsort((-many, doc, hub))
+        hub, doc, many = hub[order], doc[order], many[order]
+        new = np.ones(len(hub), bool)
+        new[1:] = (hub[1:] != hub[:-1]) | (doc[1:] != doc[:-1])
+        n = int(new.sum())
+        out.append([pa.array(np.ones(n, np.int32)), *(pa.array(c, pa.int64()) for c in (hub[new], doc[new], many[new], np.zeros(n, np.int64))), pa.nulls(n, pa.binary())])
+    return pa.table([pa.chunked_array(x) for x in zip(*out)], names=["kind", "a", "b", "x", "y", "sketch"])
+
+
 def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
     """Rows of three kinds: (0, id, size, digest, digest, sketch) per document, (2, 0, size, ...) per document without an
     id, and (1, hub, member, size of their largest signature): the members of a signature with its least one."""
     buckets = common.buckets(spark, docs.select("text"), BUCKET_TEXT)
     often = spark.sparkContext.broadcast(frequent_shingles(docs, words))  # MOST_FREQUENT numbers at most
-    sign_kinds, doc_kinds, who_kinds = ("<u8", "<u4"), ("<i8", "<i8", "<u8", "<u8"), ("<i8", "<u8")
 
     def send(batches):
         windows = Windows(words)
@@ -210,50 +259,13 @@ def candidates(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
         if members:
             yield flush()
 
+    sent = docs.select("id", "text").mapInArrow(send, "bucket int, kind int, n int, blob binary, m int, who binary")
+
     def meet(table: pa.Table) -> pa.Table:
-        out, signs, ids, highs = [], [], [], []
-        for kind, n, blob, m, who in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "blob", "m", "who"))):
-            if kind != 1:
-                doc, size, high, low = expand(blob, n, *doc_kinds)
-                ends = np.concatenate([[0], np.cumsum(cells_of(size))]).astype(np.int32)
-                cells = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(who)])
-                out.append([pa.array(np.full(n, kind, np.int32)), *(pa.array(c, pa.int64()) for c in (doc, size, high.view(np.int64), low.view(np.int64))), cells])
-            else:
-                steps, local = expand(blob, n, *sign_kinds)
-                least, high = expand(who, m, *who_kinds)
-                signs.append(np.cumsum(steps, dtype=np.uint64))
-                ids.append(least[local])
-                highs.append(high[local])
-        if signs:
-            sign, doc, high = np.concatenate(signs), np.concatenate(ids), np.concatenate(highs)
-            order = np.argsort(sign, kind="stable")
-            sign, doc, high = sign[order], doc[order], high[order]
-            again = np.zeros(len(sign), bool)
-            again[1:] = sign[1:] == sign[:-1]
-            again[:-1] |= again[1:]
-            sign, doc, high = sign[again], doc[again], high[again]
-            order = np.lexsort((doc, high, sign))  # of equal sets the least id
-            sign, doc, high = sign[order], doc[order], high[order]
-            new = np.ones(len(sign), bool)
-            new[1:] = (sign[1:] != sign[:-1]) | (high[1:] != high[:-1])
-            sign, doc = sign[new], doc[new]
-            order = np.lexsort((doc, sign))
-            sign, doc = sign[order], doc[order]
-            head = np.ones(len(sign), bool)
-            head[1:] = sign[1:] != sign[:-1]
-            first = np.maximum.accumulate(np.where(head, np.arange(len(sign)), 0)) if len(sign) else np.empty(0, np.int64)
-            many, hub = np.bincount(first, minlength=len(sign))[first], doc[first]
-            other = hub != doc
-            hub, doc, many = hub[other], doc[other], many[other]
-            order = np.lexsort((-many, doc, hub))
-            hub, doc, many = hub[order], doc[order], many[order]
-            new = np.ones(len(hub), bool)
-            new[1:] = (hub[1:] != hub[:-1]) | (doc[1:] != doc[:-1])
-            n = int(new.sum())
-            out.append([pa.array(np.ones(n, np.int32)), *(pa.array(c, pa.int64()) for c in (hub[new], doc[new], many[new], np.zeros(n, np.int64))), pa.nulls(n, pa.binary())])
-        return pa.table([pa.chunked_array(x) for x in zip(*out)], names=["kind", "a", "b", "x", "y", "sketch"])
+        out = met(table)
+        common.trim()
+        return out
 
-    sent = docs.select("id", "text").mapInArrow(send, "bucket int, kind int, n int, blob binary, m int, who binary")
     return common.stored(spark, sent.groupBy("bucket").applyInArrow(meet, _FOUND), "candidates")
 
 
@@ -265,6 +277,7 @@ def shingle_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, words: in
         for batch in batches:
             made = [shingles(t.as_py(), windows).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "elements"])
+        common.trim()
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -281,6 +294,7 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
             far = np.array([apart(u, v) for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist())], np.int64)
             keep = pa.array(far * (100 + PERCENT) <= sizes * (100 - PERCENT))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        common.trim()
 
     left = known.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("u"))
     right = known.select(F.col("id").alias("b"), "n", F.col("sketch").alias("v"))
@@ -304,6 +318,7 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, known: Data
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        common.trim()
 
     pairs = common.stored(spark, possible(pairs, known), "possible")
     sets = shingle_sets(spark, docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), words)

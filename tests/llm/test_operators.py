@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -559,6 +560,35 @@ def test_quality_learns_from_all_unlabelled(spark):
     assert len(found) == 9000 and np.abs(np.array([found[k] for k in range(9000)]) - expected).max() < 1e-5
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_met_signatures_in_little_memory(seed):
+    """A bucket's members against plain sets, and the memory that a signature takes there."""
+    import pyarrow as pa
+
+    rng, n, sent, owners = np.random.default_rng(seed), 20_000, [], {}
+    for k in range(30):
+        sign = np.unique(rng.integers(0, 1 << 48, n, np.uint64))
+        sign[:40] = np.sort(rng.choice(np.arange(60, dtype=np.uint64), 40, replace=False))
+        sign = np.sort(sign)
+        local = rng.integers(0, 50, len(sign)).astype(np.uint32)
+        least = np.arange(50 * k, 50 * k + 50) * 7
+        sent.append((0, 1, len(sign), jaccard.squeeze(np.diff(sign, prepend=np.uint64(0)), local), 50, jaccard.squeeze(least, least.astype(np.uint64))))
+        for s, o in zip(sign[:40].tolist(), least[local[:40]].tolist()):
+            owners.setdefault(s, set()).add(o)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    table = pa.table([pa.array(x, t) for x, t in zip(zip(*sent), kinds)], names=["bucket", "kind", "n", "blob", "m", "who"])
+    tracemalloc.start()
+    found = jaccard.met(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    right = {}
+    for own in owners.values():
+        for o in own - {min(own)}:
+            right[min(own), o] = max(right.get((min(own), o), 0), len(own))
+    assert {(r["a"], r["b"]): r["x"] for r in found.to_pylist()} == right
+    assert peak < 64 * 30 * n
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     found = {r["id"]: r["component"] for r in common.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
