@@ -54,7 +54,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, without: np.ndarray, starts: np.
         blobs.append(squeeze(ones.astype("<u2")))
         data = plane.tobytes()
         blobs += [packer.compress(data[k : k + _BLOCK]) for k in range(0, len(data), _BLOCK)]
-        values = np.concatenate([values[~one], values[one]])
+        values = np.concatenate([np.compress(~one, values), np.compress(one, values)])
     sizes = np.array([len(b) for b in blobs], "<u8").tobytes()
     return b"".join([struct.pack(_HEAD, _MAGIC, len(ids), len(doc_ids), bits, part, seq, len(blobs)), sizes, *blobs])
 
@@ -166,8 +166,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self._plane(level), count=self.n, bitorder="little").view(bool)
             upper, zeros = np.empty(self.n, kind), self.zeros[level]
-            upper[~one] = values[:zeros]
-            upper[one] = values[zeros:] | kind(1 << (self.bits - 1 - level))
+            np.place(upper, ~one, values[:zeros])
+            np.place(upper, one, values[zeros:] | kind(1 << (self.bits - 1 - level)))
             values = upper
         return values
 

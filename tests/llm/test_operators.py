@@ -193,6 +193,26 @@ def test_tokens_memory_is_bounded_in_bytes(name):
             assert sum(sys.getsizeof(chunk) + sys.getsizeof(ids) for kept in (own.young, own.old) for chunk, ids in kept.items()) <= 2 * bound
 
 
+def test_tokens_of_words_before_signs():
+    """Words of letters that are all ASCII or not, before every sign: ids as the library's, and a word goes to it once."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library, sent = tokens.Encoder(path), Tokenizer.from_file(path), []
+    learn = own._learn
+    own._learn = lambda chunks: sent.extend(chunks) or learn(chunks)
+    words = ["word", "Zeit5", "caf\u00e9", "\u00ff", "\u00d7", "a\u00f7", "\u024f", "\u0416\u047f", "\u0482", "\u65e5", "\u2026", "it's", "x\u00b7"]
+    signs = [chr(x) for x in range(33, 127) if not chr(x).isalnum()]
+    texts = [f"{w}{s}{t} {w}{s}\n{w}{s}{w}'s{s}" for w in words for s in signs for t in ("", "!", "'", "'ll", "\u2026")]
+    ids, lengths = own.batch(pa.array(texts).slice(1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [x.ids for x in library.encode_batch(texts[1:], add_special_tokens=False)]
+    sent.clear()
+    own.batch(pa.array([f" sentence{k}{s}" for k in range(50) for s in ",.;:!?"]))
+    assert sum("sentence" in c for c in sent) == 50
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (511, 3), (512, 70_000), (5000, 50_257)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
