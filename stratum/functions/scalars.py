@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,5 +71,6 @@ def first_where(rows: DataFrame, holds: Column) -> DataFrame:
 
 def ranked(rows: DataFrame, by: str = "i") -> DataFrame:
     """A sparse vector's entries (mid, i, x) with their place in order, zeros and repeated indices left out."""
-    kept = rows.where("x <> 0").dropDuplicates(["mid", "i"])
-    return kept.withColumn("at", (F.row_number().over(Window.partitionBy("mid").orderBy(by)) - 1).cast("long"))
+    from stratum.operators.numbering import running
+
+    return running(rows.where("x <> 0").dropDuplicates(["mid", "i"]), [by])

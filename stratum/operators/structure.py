@@ -7,9 +7,11 @@ whether a side is small enough to broadcast is left to the optimiser's size chec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.operators.numbering import running
+
 
 #: Indices that are made from one row.
 RUN = 1 << 16
@@ -182,6 +184,5 @@ def defer_tiny(placed: DataFrame, meta: DataFrame, m0: int, eps: float) -> DataF
     found = diagonal(placed, meta).join(rows, ["mid", "i"], "left").join(cols, ["mid", "i"], "left")
     most = F.greatest(F.coalesce("r", F.lit(0.0)), F.coalesce("c", F.lit(0.0)))
     found = found.where(F.col("i") < m0).withColumn("tiny", (F.abs("x") <= F.lit(eps) * most).cast("int"))
-    order = Window.partitionBy("mid").orderBy("tiny", "i")
-    moved = found.select("mid", (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("i").alias("p"))
+    moved = running(found.select("mid", "tiny", F.col("i").alias("p")), ["tiny", "p"]).select("mid", F.col("at").alias("i"), "p")
     return moved.union(indices(meta).where(F.col("i") >= m0).select("mid", "i", F.col("i").alias("p")))

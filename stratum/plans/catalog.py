@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from stratum.plans import relational, systems  # noqa: F401: importing systems registers its queries
+from stratum.plans import large, relational, systems  # noqa: F401: importing the others registers their queries
 
 QUERIES = dict(relational.QUERIES)
 SQL = dict(relational.SQL)

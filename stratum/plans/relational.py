@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratum.functions import scalars
-from stratum.operators import dropping, product, scaling, structure, triangular
-from stratum.sources import matrix_market, tables
+from stratum.operators import dropping, product, scaling, structure
+from stratum.sources import matrix_market, store, tables
 
 QUERIES, SQL = {}, {}
 
 _PS = "A AS (SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), S AS (SELECT (SELECT max(p_partkey) + 1 FROM part) AS nr, (SELECT max(s_suppkey) + 1 FROM supplier) AS nc), R AS (SELECT unnest(range(0, nr)) AS i FROM S), C AS (SELECT unnest(range(0, nc)) AS j FROM S)"
 _NN = "A AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), R AS (SELECT unnest(range(0, 25)) AS i)"
 _FD = "G AS (SELECT i, i % 8 AS x, i // 8 AS y FROM (SELECT unnest(range(0, 64)) AS i)), A AS (SELECT i, (y + dy) * 8 + x + dx AS j, v FROM G, (VALUES (0, 0, 4.0::DOUBLE), (1, 0, -1.0::DOUBLE), (-1, 0, -1.0::DOUBLE), (0, 1, -1.0::DOUBLE), (0, -1, -1.0::DOUBLE)) e(dx, dy, v) WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7), R AS (SELECT i FROM G)"
+_PP = "E AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS s FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '1996-01-01'), B AS (SELECT a.s AS i, b.s AS j, count(*) AS c FROM E a JOIN E b ON a.o = b.o AND a.s <> b.s GROUP BY a.s, b.s), R AS (SELECT unnest(range(0, (SELECT max(p_partkey) + 1 FROM part))) AS i), N AS (SELECT count(*) AS n FROM R), A AS MATERIALIZED (SELECT i, j, c * CASE WHEN i < j THEN -1.25::DOUBLE ELSE -0.75 END AS v FROM B UNION ALL SELECT R.i, R.i, CAST(1 + coalesce(sum(c), 0) AS DOUBLE) FROM R LEFT JOIN B ON B.i = R.i GROUP BY R.i)"
 
 
 def query(name: str, base: str = "", sql: str | None = None):
@@ -171,28 +172,28 @@ def _turn(meta, step):
     return meta.where("nrows > 0").select("mid", "nrows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nrows") - 1)).alias("i")).select("mid", "i", ((F.col("i") * step + 3) % F.col("nrows")).alias("p"))
 
 
-@query("permute", _FD + ", P AS (SELECT i, (i * 5 + 3) % 64 AS p FROM R), Q AS (SELECT i, (i * 3 + 3) % 64 AS p FROM R)", "SELECT 'FD8' AS mid, P.i AS i, Q.i AS j, v FROM A JOIN P ON A.i = P.p JOIN Q ON A.j = Q.p")
+@query("permute", _PP + ", P AS (SELECT i, (i * 7 + 3) % n AS p FROM R, N), Q AS (SELECT i, (i * 3 + 3) % n AS p FROM R, N)", "SELECT 'PP' AS mid, P.i AS i, Q.i AS j, v FROM A JOIN P ON A.i = P.p JOIN Q ON A.j = Q.p")
 def permute(spark, d):
-    a, meta = tables.stencil(spark, 8)
-    return structure.permute(a, _turn(meta, 5), _turn(meta, 3))
+    a, meta = tables.coupled_parts(spark, d)
+    return structure.permute(a, _turn(meta, 7), _turn(meta, 3))
 
 
-@query("permute_leading", _FD + ", P AS (SELECT i, (i * 5 + 3) % 64 AS p FROM R)", "SELECT 'FD8' AS mid, P.i AS i, Q.i AS j, v FROM A JOIN P ON A.i = P.p JOIN P Q ON A.j = Q.p WHERE P.i < 32 AND Q.i < 32")
+@query("permute_leading", _PP + ", P AS (SELECT i, (i * 7 + 3) % n AS p FROM R, N)", "SELECT 'PP' AS mid, P.i AS i, Q.i AS j, v FROM A JOIN P ON A.i = P.p JOIN P Q ON A.j = Q.p WHERE P.i < 32 AND Q.i < 32")
 def permute_leading(spark, d):
-    a, meta = tables.stencil(spark, 8)
-    return structure.leading(structure.permute(a, _turn(meta, 5), _turn(meta, 5)), 32)
+    a, meta = tables.coupled_parts(spark, d)
+    return structure.leading(structure.permute(a, _turn(meta, 7), _turn(meta, 7)), 32)
 
 
-@query("perm_inverse", _FD, "SELECT 'FD8' AS mid, (i * 5 + 3) % 64 AS i, i AS p FROM R")
+@query("perm_inverse", _PP, "SELECT 'PP' AS mid, (i * 7 + 3) % n AS i, i AS p FROM R, N")
 def perm_inverse(spark, d):
-    return structure.inverse(_turn(tables.stencil(spark, 8)[1], 5))
+    return structure.inverse(_turn(tables.coupled_parts(spark, d)[1], 7))
 
 
-@query("perm_compose", "", "SELECT 'FD8' AS mid, TRUE AS is_eye")
+@query("perm_compose", _PP, "SELECT 'PP' AS mid, i, (((i * 3 + 3) % n) * 7 + 3) % n AS p FROM R, N")
 def perm_compose(spark, d):
-    """A permutation after its inverse is the identity."""
-    p = _turn(tables.stencil(spark, 8)[1], 5)
-    return structure.is_identity(structure.compose(p, structure.inverse(p)))
+    """A turn after another one."""
+    meta = tables.coupled_parts(spark, d)[1]
+    return structure.compose(_turn(meta, 7), _turn(meta, 3))
 
 
 @query("pattern_symmetry", _NN + ", U AS (SELECT * FROM A WHERE i <= j + 3)", "SELECT 'NN' AS mid, CAST(sum(CASE WHEN (SELECT count(*) FROM U b WHERE b.i = a.j AND b.j = a.i) > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS ratio FROM U a")
@@ -205,33 +206,33 @@ def apat(spark, d):
     return structure.with_transpose_pattern(tables.nations(spark, d)[0].where("i <= j + 3"), 20)
 
 
-def _placed(spark):
-    a, meta = tables.stencil(spark, 8)
+def _placed(spark, d):
+    a, meta = tables.coupled_parts(spark, d)
     s, t = tables.vector(meta, F.pow(F.lit(2.0), F.col("i") % 3)), tables.vector(meta, F.pow(F.lit(2.0), -(F.col("i") % 2)))
-    return structure.scaled_permuted(a, s, t, _turn(meta, 5), _turn(meta, 3)), meta
+    return structure.scaled_permuted(a, s, t, _turn(meta, 7), _turn(meta, 3)), meta
 
 
-_PLACED = _FD + ", P AS (SELECT i, (i * 5 + 3) % 64 AS p FROM R), Q AS (SELECT i, (i * 3 + 3) % 64 AS p FROM R), B AS (SELECT P.i AS i, Q.i AS j, v * power(2, A.i % 3) * power(2, -(A.j % 2)) AS v FROM A JOIN P ON A.i = P.p JOIN Q ON A.j = Q.p)"
+_PLACED = _PP + ", P AS (SELECT i, (i * 7 + 3) % n AS p FROM R, N), Q AS (SELECT i, (i * 3 + 3) % n AS p FROM R, N), BB AS (SELECT P.i AS i, Q.i AS j, v * power(2, A.i % 3) * power(2, -(A.j % 2)) AS v FROM A JOIN P ON A.i = P.p JOIN Q ON A.j = Q.p)"
 
 
-@query("perm_diag", _PLACED, "SELECT 'FD8' AS mid, R.i, coalesce(v, 0) AS x FROM R LEFT JOIN B ON R.i = B.i AND B.i = B.j")
+@query("perm_diag", _PLACED, "SELECT 'PP' AS mid, R.i, coalesce(v, 0) AS x FROM R LEFT JOIN BB ON R.i = BB.i AND BB.i = BB.j")
 def perm_diag(spark, d):
-    return structure.diagonal(*_placed(spark))
+    return structure.diagonal(*_placed(spark, d))
 
 
-@query("extract_E", _PLACED, "SELECT 'FD8' AS mid, i - 40 AS i, j, v FROM B WHERE i >= 40 AND j < 40")
+@query("extract_E", _PLACED, "SELECT 'PP' AS mid, i - 40 AS i, j, v FROM BB WHERE i >= 40 AND j < 40")
 def extract_E(spark, d):
-    return structure.block_E(_placed(spark)[0], 40)
+    return structure.block_E(_placed(spark, d)[0], 40)
 
 
-@query("extract_F", _PLACED, "SELECT 'FD8' AS mid, i, j - 40 AS j, v FROM B WHERE i < 40 AND j >= 40")
+@query("extract_F", _PLACED, "SELECT 'PP' AS mid, i, j - 40 AS j, v FROM BB WHERE i < 40 AND j >= 40")
 def extract_F(spark, d):
-    return structure.block_F(_placed(spark)[0], 40)
+    return structure.block_F(_placed(spark, d)[0], 40)
 
 
-@query("defer_tiny_diags", _PLACED + ", T AS (SELECT R.i, coalesce((SELECT abs(v) FROM B WHERE B.i = R.i AND B.j = R.i), 0) <= 1e-3 * greatest((SELECT max(abs(v)) FROM B WHERE B.i = R.i), (SELECT max(abs(v)) FROM B WHERE B.j = R.i)) AS tiny FROM R)", "SELECT 'FD8' AS mid, row_number() OVER (ORDER BY tiny, i) - 1 AS i, i AS p FROM T WHERE i < 60 UNION ALL SELECT 'FD8', i, i FROM R WHERE i >= 60")
+@query("defer_tiny_diags", _PLACED + ", RR AS (SELECT i, max(abs(v)) AS r, max(CASE WHEN i = j THEN abs(v) END) AS x FROM BB GROUP BY i), CC AS (SELECT j, max(abs(v)) AS c FROM BB GROUP BY j), T AS (SELECT R.i, coalesce(x, 0) <= 1e-3 * greatest(r, c) AS tiny FROM R JOIN RR ON RR.i = R.i JOIN CC ON CC.j = R.i)", "SELECT 'PP' AS mid, row_number() OVER (ORDER BY tiny, i) - 1 AS i, i AS p FROM T WHERE i < 60 UNION ALL SELECT 'PP', i, i FROM R WHERE i >= 60")
 def defer_tiny_diags(spark, d):
-    return structure.defer_tiny(*_placed(spark), 60, 1e-3)
+    return structure.defer_tiny(*_placed(spark, d), 60, 1e-3)
 
 
 @query("densify", _NN, "SELECT 'NN' AS mid, R.i, CAST(25 AS BIGINT) AS n, coalesce(sum(v * (j + 1)), 0) AS weighed FROM R LEFT JOIN A USING (i) GROUP BY R.i")
@@ -241,19 +242,19 @@ def densify(spark, d):
     return rows.select("mid", "i", F.size("row").cast("long").alias("n"), weighed.alias("weighed"))
 
 
-@query("rotate_left", "", "SELECT 'FD8' AS mid, i, CASE WHEN i = 20 THEN 10 WHEN i >= 10 AND i < 20 THEN i + 1 ELSE i END AS p FROM (SELECT unnest(range(0, 64)) AS i)")
+@query("rotate_left", _PP, "SELECT 'PP' AS mid, i, CASE WHEN i = 20 THEN 10 WHEN i >= 10 AND i < 20 THEN i + 1 ELSE i END AS p FROM R")
 def rotate_left(spark, d):
-    return structure.rotate_left(structure.identity(tables.stencil(spark, 8)[1]), 10, 20)
+    return structure.rotate_left(structure.identity(tables.coupled_parts(spark, d)[1]), 10, 20)
 
 
-@query("rotate_right", "", "SELECT 'FD8' AS mid, i, CASE WHEN i = 10 THEN 20 WHEN i > 10 AND i <= 20 THEN i - 1 ELSE i END AS p FROM (SELECT unnest(range(0, 64)) AS i)")
+@query("rotate_right", _PP, "SELECT 'PP' AS mid, i, CASE WHEN i = 10 THEN 20 WHEN i > 10 AND i <= 20 THEN i - 1 ELSE i END AS p FROM R")
 def rotate_right(spark, d):
-    return structure.rotate_right(structure.identity(tables.stencil(spark, 8)[1]), 10, 20)
+    return structure.rotate_right(structure.identity(tables.coupled_parts(spark, d)[1]), 10, 20)
 
 
-@query("find_sorted", _FD, "SELECT 'FD8' AS mid, R.i, R.i + 1 AS j, coalesce(bool_or(A.j = R.i + 1), FALSE) AS found, count(CASE WHEN A.j < R.i + 1 THEN 1 END) AS at FROM R LEFT JOIN A ON A.i = R.i GROUP BY R.i")
+@query("find_sorted", _PP, "SELECT 'PP' AS mid, R.i, R.i + 1 AS j, coalesce(bool_or(A.j = R.i + 1), FALSE) AS found, count(CASE WHEN A.j < R.i + 1 THEN 1 END) AS at FROM R LEFT JOIN A ON A.i = R.i GROUP BY R.i")
 def find_sorted(spark, d):
-    a, meta = tables.stencil(spark, 8)
+    a, meta = tables.coupled_parts(spark, d)
     return structure.find_sorted(a, structure.indices(meta).select("mid", "i", (F.col("i") + 1).alias("j")))
 
 
@@ -275,9 +276,9 @@ def scale_both(spark, d):
     return product.scale(a, _ones(meta, "nrows"), _ones(meta))
 
 
-@query("scale_eye", _FD, "SELECT 'FD8' AS mid, i, 1.0::DOUBLE AS x FROM R")
+@query("scale_eye", _PP, "SELECT 'PP' AS mid, i, 1.0::DOUBLE AS x FROM R")
 def scale_eye(spark, d):
-    return scaling.unit(tables.stencil(spark, 8)[1])
+    return scaling.unit(tables.coupled_parts(spark, d)[1])
 
 
 @query("extreme_scale", _PS + ", M AS (SELECT i, 1 / max(abs(v)) AS s FROM A GROUP BY i), T AS (SELECT j, 1 / max(abs(s * v)) AS t FROM A JOIN M USING (i) GROUP BY j)", "SELECT 's' AS side, R.i, round(coalesce(s, 1), 12) AS x FROM R LEFT JOIN M USING (i) UNION ALL SELECT 't', C.j, round(coalesce(t, 1), 12) FROM C LEFT JOIN T USING (j)")
@@ -295,9 +296,9 @@ def iterative_scale(spark, d):
     return most.groupBy("mid").agg((F.max(F.abs(F.col("m") - 1)) < 0.2).alias("near_one"))
 
 
-@query("fix_poor_scaling", "", "SELECT 'FD8' AS mid, i, CASE WHEN i % 4 = 0 THEN 64.0 ELSE 1.0 END::DOUBLE AS s, CASE WHEN i % 4 = 0 THEN 64.0 ELSE 2.0 END::DOUBLE AS t FROM (SELECT unnest(range(0, 64)) AS i)")
+@query("fix_poor_scaling", _PP, "SELECT 'PP' AS mid, i, CASE WHEN i % 4 = 0 THEN 64.0 ELSE 1.0 END::DOUBLE AS s, CASE WHEN i % 4 = 0 THEN 64.0 ELSE 2.0 END::DOUBLE AS t FROM R")
 def fix_poor_scaling(spark, d):
-    meta = tables.stencil(spark, 8)[1]
+    meta = tables.coupled_parts(spark, d)[1]
     poor = F.col("i") % 4 == 0
     pairs = structure.indices(meta).select("mid", "i", F.when(poor, 1.0).otherwise(1.0).alias("s"), F.when(poor, 4096.0).otherwise(2.0).alias("t"))
     return scaling.fix_poor(pairs, 1e3, 2)
@@ -329,9 +330,10 @@ def drop_offsets(spark, d):
     return low.select(F.lit("L").alias("part"), "i", "j", "v").union(up.select(F.lit("U"), "i", "j", "v"))
 
 
-@query("ref_sizes", _FD + ", N AS (SELECT i, count(*) AS n FROM A GROUP BY i)", "SELECT 'FD8' AS mid, i, CAST(greatest(n, (SELECT ceil(0.85::DOUBLE * sum(n) / 64) FROM N)) AS BIGINT) AS nnz FROM N")
+@query("ref_sizes", _PP + ", K AS (SELECT i, count(*) AS k FROM A GROUP BY i)", "SELECT 'PP' AS mid, i, CAST(greatest(k, (SELECT ceil(0.85::DOUBLE * sum(k) / max(n)) FROM K, N)) AS BIGINT) AS nnz FROM K")
 def ref_sizes(spark, d):
-    return dropping.reference_sizes(structure.row_nnz(*tables.stencil(spark, 8)), 64)
+    a, meta = tables.coupled_parts(spark, d)
+    return dropping.reference_sizes(structure.row_nnz(a, meta), meta.first()["nrows"])
 
 
 @query("schur", _NN + ", T AS (SELECT i - 15 AS i, j - 15 AS j, v FROM A WHERE i >= 15 AND j >= 15 UNION ALL SELECT l.i - 15, u.j - 15, -sum(l.v * (l.j % 3 + 1) * u.v) FROM A l JOIN A u ON l.j = u.i WHERE l.i >= 15 AND l.j < 15 AND u.j >= 15 GROUP BY l.i, u.j)", "SELECT 'NN' AS mid, i, j, sum(v) AS v FROM T GROUP BY i, j")
@@ -361,61 +363,33 @@ def norms(spark, d):
     return product.norms(tables.vector(meta, F.col("i") % 7 - 3, "nrows")).withColumn("norm2", F.round("norm2", 9))
 
 
-@query("normalize", _FD + ", T AS (SELECT sqrt(sum((i % 7 + 1) * (i % 7 + 1))) AS n FROM R)", "SELECT 'FD8' AS mid, i, round((i % 7 + 1) / n, 12) AS x FROM R, T")
+@query("normalize", _PP + ", T AS (SELECT sqrt(sum((i % 7 + 1) * (i % 7 + 1))) AS z FROM R)", "SELECT 'PP' AS mid, i, round((i % 7 + 1) / z, 12) AS x FROM R, T")
 def normalize(spark, d):
-    return product.normalize(_ones(tables.stencil(spark, 8)[1])).withColumn("x", F.round("x", 12))
+    return product.normalize(_ones(tables.coupled_parts(spark, d)[1])).withColumn("x", F.round("x", 12))
 
 
-@query("residual", _FD, "SELECT 'FD8' AS mid, i, 1 - sum(v * (j % 7 + 1)) AS x FROM A GROUP BY i")
+@query("residual", _PP, "SELECT 'PP' AS mid, i, 1 - sum(v * (j % 7 + 1)) AS x FROM A GROUP BY i")
 def residual(spark, d):
-    a, meta = tables.stencil(spark, 8)
+    a, meta = tables.coupled_parts(spark, d)
     return product.residual(a, _ones(meta), scaling.unit(meta), meta)
 
 
-@query("relative_residual", _FD + ", T AS (SELECT i, 1 - sum(v * (j % 7 + 1)) AS x FROM A GROUP BY i)", "SELECT 'FD8' AS mid, round(sqrt(sum(x * x)) / sqrt(64), 9) AS relres FROM T")
+@query("relative_residual", _PP + ", T AS (SELECT i, 1 - sum(v * (j % 7 + 1)) AS x FROM A GROUP BY i)", "SELECT 'PP' AS mid, round(sqrt(sum(x * x)) / sqrt(max(n)), 9) AS relres FROM T, N")
 def relative_residual(spark, d):
-    r = product.norms(residual(spark, d)).select("mid", F.round(F.col("norm2") / F.sqrt(F.lit(64.0)), 9).alias("relres"))
-    return r
+    n = tables.coupled_parts(spark, d)[1].select("mid", F.col("nrows").alias("n"))
+    return product.norms(residual(spark, d)).join(n, "mid").select("mid", F.round(F.col("norm2") / F.sqrt("n"), 9).alias("relres"))
 
 
-@query("null_filter_const", _FD, "SELECT 'FD8' AS mid, i, CASE WHEN i < 56 THEN (i % 7 + 1) - 4 ELSE i % 7 + 1 END::DOUBLE AS x FROM R")
+@query("null_filter_const", _PP, "SELECT 'PP' AS mid, i, CASE WHEN i < 56 THEN (i % 7 + 1) - 4 ELSE i % 7 + 1 END::DOUBLE AS x FROM R")
 def null_filter_const(spark, d):
-    return product.null_filter(_ones(tables.stencil(spark, 8)[1]), 0, 56)
-
-
-@query("trisolve_lower", "RECURSIVE X AS (SELECT 0 AS i, 1.0::DOUBLE AS x, 0.0::DOUBLE AS y UNION ALL SELECT i + 1, 1.0 - 0.5 * x + 0.25 * y, x FROM X WHERE i < 7)", "SELECT 'T' AS mid, CAST(i AS BIGINT) AS i, x FROM X")
-def trisolve_lower(spark, d):
-    """x_i = 1 - x_(i-1) / 2 + x_(i-2) / 4, by level sets."""
-    n = spark.range(8).select(F.lit("T").alias("mid"), F.col("id").alias("i"))
-    strict = n.select("mid", "i", (F.col("i") - 1).alias("j"), F.lit(0.5).alias("v")).union(n.select("mid", "i", F.col("i") - 2, F.lit(-0.25))).where("j >= 0")
-    return triangular.solve(strict, n.withColumn("x", F.lit(1.0)))
-
-
-@query("trisolve_upper_t", "RECURSIVE X AS (SELECT 0 AS i, 1.0::DOUBLE AS x UNION ALL SELECT i + 1, 1.0 - 0.5 * x FROM X WHERE i < 5)", "SELECT 'T' AS mid, CAST(i AS BIGINT) AS i, x FROM X")
-def trisolve_upper_t(spark, d):
-    """The transpose of a strict upper bidiagonal is solved like a lower one."""
-    n = spark.range(6).select(F.lit("T").alias("mid"), F.col("id").alias("i"))
-    upper = n.select("mid", "i", (F.col("i") + 1).alias("j"), F.lit(0.5).alias("v")).where("j < 6")
-    return triangular.solve_t(upper, n.withColumn("x", F.lit(1.0)))
-
-
-def _folder(spark):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp()}"
-    return f"{base.rstrip('/')}/stratum-{uuid.uuid4().hex}"
+    return product.null_filter(_ones(tables.coupled_parts(spark, d)[1]), 0, 56)
 
 
 @query("mm_round_trip", _NN, "SELECT 'NN' AS mid, i, j, v FROM A")
 def mm_round_trip(spark, d):
     """Written as a Matrix Market file and read back."""
     a, _ = tables.nations(spark, d)
-    path = _folder(spark)
+    path = store.folder(spark)
     matrix_market.write(a, 25, 25, path)
     return matrix_market.read(spark, path, "NN")[0]
 
@@ -424,22 +398,14 @@ def mm_round_trip(spark, d):
 def mm_vector_parts(spark, d):
     """A complex vector over all parts' keys in files of 53 lines, read back in order."""
     x = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("i"), (F.col("p_partkey") * 3 % 1009).cast("double").alias("re"), F.col("p_size").cast("double").alias("im"))
-    path = _folder(spark)
+    path = store.folder(spark)
     matrix_market.write_vector(x, path, per_file=53)
     return matrix_market.read_vector(spark, path, "P")
 
 
-@query("trisolve_mrhs", "RECURSIVE X AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 1.0::DOUBLE AS x, 2.0::DOUBLE AS b, 2.0::DOUBLE AS y UNION ALL SELECT i + 1, 0.0, 1.0 - 0.5 * x, 0.0, 2.0 - 0.5 * y FROM X WHERE i < 7)", "SELECT 'T' AS mid, k, CAST(i AS BIGINT) AS i, CASE k WHEN 0 THEN x ELSE y END AS x FROM X, (VALUES (0), (1)) K(k)")
-def trisolve_mrhs(spark, d):
-    """Two right sides of a strict lower bidiagonal at once."""
-    n = spark.range(8).select(F.lit("T").alias("mid"), F.col("id").alias("i"))
-    lower = n.where("i > 0").select("mid", "i", (F.col("i") - 1).alias("j"), F.lit(0.5).alias("v"))
-    return triangular.solve(lower, n.select("mid", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "i").withColumn("x", (F.col("k") + 1).cast("double")))
-
-
 @query("mm_vector_round_trip", _NN, "SELECT 'NN' AS mid, i, (i % 7 + 1)::DOUBLE AS x FROM R")
 def mm_vector_round_trip(spark, d):
-    path = _folder(spark)
+    path = store.folder(spark)
     matrix_market.write_vector(_ones(tables.nations(spark, d)[1]), path)
     return matrix_market.read_vector(spark, path, "NN")
 
@@ -456,14 +422,14 @@ def mm_expand_skew(spark, d):
 
 @query("native_round_trip", _PS, "SELECT 'PS' AS mid, i, j, v FROM A")
 def native_round_trip(spark, d):
-    path = _folder(spark)
+    path = store.folder(spark)
     matrix_market.write_native(*tables.part_supplier(spark, d), path)
     return matrix_market.read_native(spark, path)[0]
 
 
-@query("complex_scalars", _FD, "SELECT i, (i + 1)::DOUBLE AS re, (-2)::DOUBLE AS conj_im, sqrt((i + 1) * (i + 1) + 4) AS mag, ((i + 1) * 3 - 2)::DOUBLE AS prod_re, ((i + 1) + 6)::DOUBLE AS prod_im, round(((i + 1) * 3 + 2) / 10.0::DOUBLE, 9) AS quot_re FROM R")
+@query("complex_scalars", _PP, "SELECT i, (i + 1)::DOUBLE AS re, (-2)::DOUBLE AS conj_im, sqrt((i + 1) * (i + 1) + 4) AS mag, ((i + 1) * 3 - 2)::DOUBLE AS prod_re, ((i + 1) + 6)::DOUBLE AS prod_im, round(((i + 1) * 3 + 2) / 10.0::DOUBLE, 9) AS quot_re FROM R")
 def complex_scalars(spark, d):
-    rows = structure.indices(tables.stencil(spark, 8)[1]).withColumn("z", scalars.complex_of(F.col("i") + 1, F.lit(2.0))).withColumn("w", scalars.complex_of(F.lit(3.0), F.lit(1.0)))
+    rows = structure.indices(tables.coupled_parts(spark, d)[1]).withColumn("z", scalars.complex_of(F.col("i") + 1, F.lit(2.0))).withColumn("w", scalars.complex_of(F.lit(3.0), F.lit(1.0)))
     z, w = F.col("z"), F.col("w")
     product_ = scalars.times(z, w)
     return rows.select(
@@ -472,17 +438,17 @@ def complex_scalars(spark, d):
     )
 
 
-@query("inner_complex", _FD, "SELECT 'FD8' AS mid, CAST(sum((i % 5) * (i % 3) + (i % 2) * 2) AS DOUBLE) AS re, CAST(sum((i % 5) * 2 - (i % 2) * (i % 3)) AS DOUBLE) AS im FROM R")
+@query("inner_complex", _PP, "SELECT 'PP' AS mid, CAST(sum((i % 5) * (i % 3) + (i % 2) * 2) AS DOUBLE) AS re, CAST(sum((i % 5) * 2 - (i % 2) * (i % 3)) AS DOUBLE) AS im FROM R")
 def inner_complex(spark, d):
-    i = structure.indices(tables.stencil(spark, 8)[1])
+    i = structure.indices(tables.coupled_parts(spark, d)[1])
     x = i.select("mid", "i", (F.col("i") % 5).cast("double").alias("re"), (F.col("i") % 2).cast("double").alias("im"))
     y = i.select("mid", "i", (F.col("i") % 3).cast("double").alias("re"), F.lit(2.0).alias("im"))
     return scalars.inner_complex(x, y)
 
 
-@query("uniform_partition", "", "SELECT 'FD8' AS mid, p AS part, CAST(p * 12 + least(p, 4) AS BIGINT) AS first, CAST(p * 12 + least(p, 4) + 12 + CASE WHEN p < 4 THEN 1 ELSE 0 END AS BIGINT) AS end FROM (VALUES (0), (1), (2), (3), (4)) v(p)")
+@query("uniform_partition", _PP, "SELECT 'PP' AS mid, p AS part, p * (n // 7) + least(p, n % 7) AS first, (p + 1) * (n // 7) + least(p + 1, n % 7) AS end FROM N, (VALUES (0), (1), (2), (3), (4), (5), (6)) v(p)")
 def uniform_partition(spark, d):
-    return scalars.uniform_partition(tables.stencil(spark, 8)[1], 5)
+    return scalars.uniform_partition(tables.coupled_parts(spark, d)[1], 7)
 
 
 @query("sparse_without", _PS, "SELECT 'PS' AS mid, i, (i % 7)::DOUBLE AS x FROM R WHERE i % 3 <> 0")
@@ -507,8 +473,8 @@ def norms_extreme(spark, d):
     return n.select("mid", F.format_string("%.12e", "norm2").cast("double").alias("norm2"))
 
 
-@query("sparse_vector", _FD, "SELECT 'FD8' AS mid, i, (i % 4)::DOUBLE AS x, row_number() OVER (ORDER BY i) - 1 AS at FROM R WHERE i % 4 <> 0")
+@query("sparse_vector", _PP, "SELECT 'PP' AS mid, i, (i % 4)::DOUBLE AS x, row_number() OVER (ORDER BY i) - 1 AS at FROM R WHERE i % 4 <> 0")
 def sparse_vector(spark, d):
     """Zeros and repeated indices go; the rest is numbered in order."""
-    x = tables.vector(tables.stencil(spark, 8)[1], F.col("i") % 4)
+    x = tables.vector(tables.coupled_parts(spark, d)[1], F.col("i") % 4)
     return scalars.ranked(x.union(x))

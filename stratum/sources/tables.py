@@ -19,6 +19,27 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return coo, rows.crossJoin(cols).select(F.lit("PS").alias("mid"), "nrows", "ncols")  # one row each
 
 
+def sharing(spark: SparkSession, sf_dir: str, first: str | None = None, end: str | None = None, mid: str = "SS", key: str = "l_suppkey") -> DataFrame:
+    """Suppliers (or other keys) by suppliers: the orders that two share, of lines shipped from ``first`` until before ``end`` (dates)."""
+    lines = table(spark, sf_dir, "lineitem")
+    if first is not None:
+        lines = lines.where((F.col("l_shipdate") >= F.lit(first).cast("timestamp")) & (F.col("l_shipdate") < F.lit(end).cast("timestamp")))
+    once = lines.select(F.col("l_orderkey").alias("o"), F.col(key).alias("i")).distinct()
+    both = once.join(once.select("o", F.col("i").alias("j")), "o").where("i <> j")
+    return both.groupBy(F.lit(mid).alias("mid"), "i", "j").agg(F.count("*").cast("double").alias("v"))
+
+
+def coupled_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts by parts: less the orders of 1995 that two share, a quarter more above the diagonal and a quarter less below,
+    and 1 more than a row's orders on it: a sparse, unsymmetric matrix with dominant diagonal and a row for each part."""
+    off = sharing(spark, sf_dir, "1995-01-01", "1996-01-01", "PP", "l_partkey")
+    meta = table(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("nrows")).select(F.lit("PP").alias("mid"), "nrows", F.col("nrows").alias("ncols"))
+    own = vector(meta, F.lit(1.0)).select("mid", "i", F.col("i").alias("j"), F.col("x").alias("v"))
+    sums = off.select("mid", "i", F.col("i").alias("j"), "v")
+    off = off.select("mid", "i", "j", (F.col("v") * F.when(F.col("i") < F.col("j"), -1.25).otherwise(-0.75)).alias("v"))
+    return off.union(own).union(sums).groupBy("mid", "i", "j").agg(F.sum("v").alias("v")), meta
+
+
 def nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nations of customers by nations of suppliers, quantities summed."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
