@@ -31,13 +31,12 @@ def assemble(coo: DataFrame) -> DataFrame:
 
 
 def from_csr(rows: DataFrame) -> DataFrame:
-    """(mid, indptr, indices, vals) arrays as coordinates."""
-    at = rows.select("mid", "indices", "vals", F.posexplode("indptr").alias("i", "first"), "indptr")
-    at = at.where(F.col("i") < F.size("indptr") - 1).withColumn("n", F.get("indptr", F.col("i") + 1) - F.col("first"))
-    at = at.where("n > 0")
-    cut = lambda c: F.slice(c, (F.col("first") + 1).cast("int"), F.col("n").cast("int"))
-    each = at.select("mid", F.col("i").cast("long").alias("i"), F.explode(F.arrays_zip(cut("indices").alias("j"), cut("vals").alias("v"))).alias("e"))
-    return each.select("mid", "i", F.col("e.j").cast("long").alias("j"), F.col("e.v").alias("v"))
+    """(mid, indptr, indices, vals) arrays as coordinates: entries and rows are taken apart once, and meet by place."""
+    entries = rows.select("mid", F.posexplode(F.arrays_zip(F.col("indices").alias("j"), F.col("vals").alias("v"))).alias("at", "e"))
+    ends = F.zip_with("indptr", F.slice("indptr", 2, F.size("indptr")), lambda first, end: F.struct(first.alias("first"), end.alias("end")))
+    runs = rows.select("mid", F.posexplode(ends).alias("i", "run")).where("run.end > run.first")
+    places = runs.select("mid", "i", F.explode(F.sequence("run.first", F.col("run.end") - 1)).alias("at"))
+    return entries.join(places, ["mid", "at"]).select("mid", F.col("i").cast("long").alias("i"), F.col("e.j").cast("long").alias("j"), F.col("e.v").alias("v"))
 
 
 def to_csr(coo: DataFrame, meta: DataFrame) -> DataFrame:
@@ -149,10 +148,13 @@ def diagonal(placed: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def densify(coo: DataFrame, meta: DataFrame) -> DataFrame:
-    """(mid, i, row): rows as arrays with zeros; for blocks that are dense anyway."""
+    """(mid, i, row): rows as arrays with zeros; for blocks that are dense anyway. Each entry is followed by its gap's zeros."""
     rows = to_csr(coo, meta).join(meta.select("mid", "ncols"), "mid")
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ncols") - 1), lambda j: F.coalesce(F.element_at(F.map_from_arrays("indices", "vals"), j), F.lit(0.0)))
-    return rows.select("mid", "i", each.alias("row"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    after = F.concat(F.slice("indices", 2, F.size("indices")), F.array("ncols"))
+    each = F.zip_with("vals", F.zip_with("indices", after, lambda j, k: k - j - 1), lambda v, gap: F.concat(F.array(v), zeros(gap)))
+    ahead = zeros(F.coalesce(F.get("indices", F.lit(0)), "ncols"))
+    return rows.select("mid", "i", F.concat(ahead, F.when(F.size("vals") > 0, F.flatten(each)).otherwise(F.array().cast("array<double>"))).alias("row"))
 
 
 def rotate_left(p: DataFrame, first: int, last: int) -> DataFrame:

@@ -101,16 +101,15 @@ def stencil(spark, d):
     return tables.stencil(spark, 8)[0]
 
 
-@query("from_csr", _FD, "SELECT 'FD8' AS mid, i, j, v FROM A")
+@query("from_csr", _PP, "SELECT 'PP' AS mid, i, j, v FROM A")
 def from_csr(spark, d):
-    """Arrays of row starts, columns and values back to coordinates."""
-    a, meta = tables.stencil(spark, 8)
-    rows = structure.to_csr(a, meta)
-    ordered = rows.groupBy("mid").agg(F.array_sort(F.collect_list(F.struct("i", "indices", "vals"))).alias("r"))
-    lengths = F.transform("r", lambda x: F.size(x["indices"]))
-    starts = F.transform(F.sequence(F.lit(0), F.size("r")), lambda k: F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda s, n: s + n))
-    wrapped = ordered.select("mid", starts.alias("indptr"), F.flatten("r.indices").alias("indices"), F.flatten("r.vals").alias("vals"))
-    return structure.from_csr(wrapped)
+    """Arrays of row starts, columns and values, of 64 rows each, back to coordinates."""
+    rows = structure.to_csr(*tables.coupled_parts(spark, d)).withColumn("run", F.floor(F.col("i") / 64))
+    ordered = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("i", "indices", "vals"))).alias("r"))
+    starts = F.aggregate(F.transform("r.indices", F.size), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    wrapped = ordered.select(F.col("run").cast("string").alias("mid"), starts.alias("indptr"), F.flatten("r.indices").alias("indices"), F.flatten("r.vals").alias("vals"))
+    found = structure.from_csr(wrapped)
+    return found.select(F.lit("PP").alias("mid"), (F.col("mid").cast("long") * 64 + F.col("i")).alias("i"), "j", "v")
 
 
 @query("to_csr", _PS, "SELECT 'PS' AS mid, R.i, CAST(coalesce(len(l), 0) AS BIGINT) AS n, coalesce(list_aggregate(l, 'min'), -1) AS first, coalesce(s, 0) AS total FROM R LEFT JOIN (SELECT i, list(j) AS l, sum(v) AS s FROM A GROUP BY i) t USING (i)")

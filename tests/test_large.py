@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.kernels import apply, ordering
-from stratum.operators import matching, numbering, triangular
+from stratum.operators import graphs, matching, numbering, triangular
 from stratum.plans import elimination, krylov
 from stratum.types import BadInput
 
@@ -147,3 +147,24 @@ def test_fgmres(spark):
     m = elimination.Levels(coo(spark, a), elimination.Rules(rest=10, tau=0.02, alpha=2.0))
     one = krylov.fgmres(coo(spark, a), vec(spark, a @ x), meta.where("mid = 'A'"), m.solve, rtol=1e-4)
     assert np.allclose(back(one.x, 16), x, atol=1e-2) and one.steps["A"] < found.steps["A"]
+
+
+def test_cuthill_mckee(spark):
+    """The kernel's order exactly, with several components, single nodes and several matrices."""
+    draw = np.random.default_rng(6)
+    n = 36
+    a = np.zeros((n, n))
+    for first, end, share in ((0, 18, 0.12), (18, 30, 0.3)):
+        a[first:end, first:end] = draw.random((end - first,) * 2) < share
+    a[range(n), range(n)] = 1.0
+    p = draw.permutation(n)
+    a, b = a[np.ix_(p, p)], np.eye(7, k=1) + np.eye(7)
+    entries = coo(spark, a).union(coo(spark, b, "B"))
+    got = graphs.cuthill_mckee(entries)
+    for mid, m in (("A", a), ("B", b)):
+        i, j = np.nonzero(m)
+        own = {r["i"]: r["p"] for r in got.where(F.col("mid") == mid).collect()}
+        order = ordering.cuthill_mckee(ordering.pattern(apply.Sparse(len(m), i, j, m[i, j]).rows()))
+        assert [own[k] for k in range(len(m))] == order
+    widths = {r["mid"]: r["bandwidth"] for r in graphs.bandwidth(entries, got).collect()}
+    assert widths["B"] == 1
