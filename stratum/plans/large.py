@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratum.operators import graphs, matching, product, structure, triangular
-from stratum.plans import elimination, krylov
+from stratum.plans import elimination, krylov, spectrum, tallqr
 from stratum.plans.relational import _PP, _PS, query
 from stratum.sources import tables
 from stratum.sources.store import stored
@@ -153,3 +153,24 @@ def rcm_frontiers(spark, d):
     a = stored(tables.sharing(spark, d, "1995-01-01", "1995-07-01", "SSr"))
     order = stored(graphs.cuthill_mckee(a))
     return order.join(graphs.bandwidth(a, order), "mid").select("mid", "i", "p", "bandwidth")
+
+
+@query("tall_qr", _PS, "SELECT 'PS' AS mid, j AS i, CAST(j % 7 + 1 AS DOUBLE) AS x, CAST(nc AS INTEGER) AS rank FROM C, S")
+def tall_qr(spark, d):
+    """Least squares of parts by suppliers: a right side within its columns gives their known weights, all columns count."""
+    a, meta = tables.part_supplier(spark, d)
+    a = stored(a)
+    b = product.multiply(a, tables.vector(meta, F.col("i") % 7 + 1), meta)
+    return tallqr.least_squares(a, b).select("mid", "i", F.round("x", 6).alias("x"), "rank")
+
+
+_POWER = "RECURSIVE " + _SS + ", D AS MATERIALIZED (SELECT DISTINCT i FROM A), F AS MATERIALIZED (SELECT r.i, list(coalesce(v, 0) ORDER BY c.i) AS w FROM D r CROSS JOIN D c LEFT JOIN A ON A.i = r.i AND A.j = c.i GROUP BY r.i), X(k, x) AS (SELECT 0, (SELECT list(1.0::DOUBLE / sqrt(n)) FROM D, (SELECT count(*) AS n FROM D)) UNION ALL SELECT k + 1, (SELECT list(y / z ORDER BY i) FROM (SELECT i, y, sqrt(sum(y * y) OVER ()) AS z FROM (SELECT i, list_inner_product(w, x) AS y FROM F))) FROM X WHERE k < 60)"
+
+
+@query("lanczos", _POWER, "SELECT 'SS' AS mid, i, round(list_inner_product(w, x) / x[o], 6) AS value, round(x[o], 6) AS x FROM (SELECT i, w, row_number() OVER (ORDER BY i) AS o FROM F), X WHERE k = 60")
+def lanczos(spark, d):
+    """The largest eigenvalue of suppliers that share orders, and its vector of positive components."""
+    a = stored(tables.sharing(spark, d))
+    n = a.agg((F.max("i") + 1).alias("nrows")).select(F.lit("SS").alias("mid"), "nrows", F.col("nrows").alias("ncols"))
+    values, vectors = spectrum.largest(a, n, 1, vectors=True)
+    return vectors.select("mid", "i", F.round(F.lit(values["SS"][0]), 6).alias("value"), F.round(F.abs("x"), 6).alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratum.kernels import apply, ordering
 from stratum.operators import graphs, matching, numbering, triangular
-from stratum.plans import elimination, krylov
+from stratum.plans import elimination, estimates, krylov, spectrum, tallqr
 from stratum.types import BadInput
 
 
@@ -168,3 +168,52 @@ def test_cuthill_mckee(spark):
         assert [own[k] for k in range(len(m))] == order
     widths = {r["mid"]: r["bandwidth"] for r in graphs.bandwidth(entries, got).collect()}
     assert widths["B"] == 1
+
+
+@pytest.mark.parametrize("columns", [512, 6])
+def test_tall_qr(spark, monkeypatch, columns):
+    """Many blocks of rows; a rank that is less than the columns, which take part in a tournament in the second case."""
+    monkeypatch.setattr(tallqr, "BYTES", 2_000)
+    monkeypatch.setattr(tallqr, "FAN", 2)
+    draw = np.random.default_rng(7)
+    a, c = draw.standard_normal((70, 4)) @ draw.standard_normal((4, 14)), draw.standard_normal((30, 3))
+    a[:, 5] = 0
+    b, e = draw.standard_normal(70), c @ np.array([1.0, 2.0, 3.0])
+    found = tallqr.least_squares(coo(spark, a).union(coo(spark, c, "C")), vec(spark, b).union(vec(spark, e, "C")), columns).collect()
+    x = {(r["mid"], r["i"]): r["x"] for r in found}
+    assert {(r["mid"], r["rank"]) for r in found} == {("A", 4), ("C", 3)} and len(x) == 13 + 3
+    assert np.allclose([x["C", k] for k in range(3)], [1, 2, 3])
+    mine = np.linalg.norm(a @ [x.get(("A", k), 0.0) for k in range(14)] - b)
+    right = np.linalg.norm(a @ np.linalg.lstsq(a, b, rcond=None)[0] - b)
+    assert abs(mine - right) < 1e-9 and all(abs(r["rest"] - right) < 1e-9 for r in found if r["mid"] == "A")
+
+
+def test_spectrum(spark):
+    """The leading eigenvalues of a symmetric and of a Hermitian matrix, and vectors; a space that is used up."""
+    draw = np.random.default_rng(8)
+    a = draw.standard_normal((24, 24))
+    a = a + a.T
+    h = draw.standard_normal((10, 10)) + 1j * draw.standard_normal((10, 10))
+    h = h + h.conj().T
+    meta = spark.createDataFrame([("A", 24, 24), ("I", 4, 4)], "mid string, nrows long, ncols long")
+    values, vectors = spectrum.largest(coo(spark, a).union(coo(spark, 3 * np.eye(4), "I")), meta, 5, vectors=True)
+    right = np.linalg.eigvalsh(a)
+    assert np.allclose(values["A"], right[np.argsort(-abs(right))][:5], rtol=1e-8) and np.allclose(values["I"], [3.0])
+    for k, value in enumerate(values["A"]):
+        x = back(vectors.where(F.col("k") == k), 24)
+        assert abs(np.linalg.norm(x) - 1) < 1e-9 and np.linalg.norm(a @ x - value * x) < 1e-6
+    double, sizes = spectrum.as_real(coo(spark, h), spark.createDataFrame([("A", 10, 10)], "mid string, nrows long, ncols long"))
+    found, _ = spectrum.largest(double, sizes, 3)
+    right = np.linalg.eigvalsh(h)
+    assert np.allclose(found["A"], right[np.argsort(-abs(right))][:3], rtol=1e-8)
+
+
+def test_inverse_norm(spark):
+    draw = np.random.default_rng(9)
+    mats = {"A": np.tril(draw.standard_normal((20, 20)), -1), "B": -np.tril(np.ones((8, 8)), -1), "C": np.zeros((3, 3))}
+    entries = coo(spark, mats["A"]).union(coo(spark, mats["B"], "B"))
+    nodes = spark.createDataFrame([(m, k) for m, t in mats.items() for k in range(len(t))], "mid string, i long")
+    got = {r["mid"]: r["norm"] for r in estimates.triangle_inverse_norm1(entries, nodes, 40).collect()}
+    for m, t in mats.items():
+        right = np.linalg.norm(np.linalg.inv(np.eye(len(t)) + t), 1)
+        assert right / 3 <= got[m] <= right * (1 + 1e-9)
