@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratum.operators import graphs, matching, product, structure, triangular
-from stratum.plans import elimination, krylov, spectrum, tallqr
+from stratum.plans import elimination, estimates, krylov, spectrum, tallqr
 from stratum.plans.relational import _PP, _PS, query
 from stratum.sources import tables
 from stratum.sources.store import stored
@@ -174,3 +174,16 @@ def lanczos(spark, d):
     n = a.agg((F.max("i") + 1).alias("nrows")).select(F.lit("SS").alias("mid"), "nrows", F.col("nrows").alias("ncols"))
     values, vectors = spectrum.largest(a, n, 1, vectors=True)
     return vectors.select("mid", "i", F.round(F.lit(values["SS"][0]), 6).alias("value"), F.round(F.abs("x"), 6).alias("x"))
+
+
+_INVERSE = f"RECURSIVE {_GRAM}, D AS MATERIALIZED (SELECT r.j AS i, list(coalesce(v, 0) ORDER BY c.j) FILTER (c.j < r.j) AS w FROM C r CROSS JOIN C c LEFT JOIN H ON H.i = r.j AND H.j = c.j GROUP BY r.j), X AS (SELECT C.j AS k, i, [CASE WHEN C.j = 0 THEN 1.0::DOUBLE ELSE 0 END] AS xs FROM C, D WHERE i = 0 UNION ALL SELECT k, D.i, list_append(xs, CASE WHEN k = D.i THEN 1 ELSE 0 END + list_inner_product(w, xs)) FROM X JOIN D ON D.i = X.i + 1)"
+
+
+@query("inverse_norm", _INVERSE, "SELECT 'PS' AS mid, round(max(n), 9) AS norm FROM (SELECT sum(abs(xs[-1])) AS n FROM X GROUP BY k)")
+def inverse_norm(spark, d):
+    """The 1-norm of (I - L)^-1 for the Gram matrix's lower triangle L: an inverse without negative entries, for which the
+    estimate is the norm itself."""
+    g, meta = _gram(spark, d)
+    strict = stored(g.where("i > j").withColumn("v", -F.col("v")))
+    found = estimates.triangle_inverse_norm1(strict, structure.indices(meta, "ncols"), max(64, strict.count() // 4))
+    return found.select("mid", F.round("norm", 9).alias("norm"))

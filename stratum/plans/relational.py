@@ -141,9 +141,19 @@ def col_nnz(spark, d):
     return structure.col_nnz(*tables.part_supplier(spark, d))
 
 
-@query("validity", _PS, "SELECT 'PS' AS mid, TRUE AS unique_places, bool_and(i >= 0 AND j >= 0 AND i < nr AND j < nc) AS in_bounds, TRUE AS finite, count(*) AS nnz FROM A, S")
+_FAULTS = _PS + ", Q AS (SELECT 'right' AS mid, i, j, v FROM A UNION ALL SELECT 'twice', i, j, v FROM A UNION ALL SELECT 'twice', i, j, v FROM A WHERE i % 97 = 5 UNION ALL SELECT 'out', i, j + CASE WHEN i % 89 = 7 THEN nc ELSE 0 END, v FROM A, S UNION ALL SELECT 'odd', i, j, CASE WHEN i % 83 = 9 THEN 'nan'::DOUBLE WHEN i % 83 = 10 THEN 'inf'::DOUBLE ELSE v END FROM A), T AS (SELECT mid, i, j, count(*) AS n, bool_and(isfinite(v)) AS f FROM Q GROUP BY ALL)"
+
+
+@query("validity", _FAULTS, "SELECT mid, max(n) <= 1 AS unique_places, bool_and(i >= 0 AND j >= 0 AND i < nr AND j < nc) AS in_bounds, bool_and(f) AS finite, CAST(sum(n) AS BIGINT) AS nnz FROM T, S GROUP BY mid")
 def validity(spark, d):
-    return structure.validity(*tables.part_supplier(spark, d))
+    """A right matrix, and ones with repeated places, with places out of bounds, and with values that are no numbers."""
+    a, meta = tables.part_supplier(spark, d)
+    of = lambda mid, rows, j=F.col("j"), v=F.col("v"): rows.select(F.lit(mid).alias("mid"), "i", j.alias("j"), v.alias("v"))
+    n = meta.select(F.col("ncols").alias("n"))
+    out = of("out", a.crossJoin(F.broadcast(n)), F.col("j") + F.when(F.col("i") % 89 == 7, F.col("n")).otherwise(0))  # n is one row
+    odd = of("odd", a, v=F.when(F.col("i") % 83 == 9, float("nan")).when(F.col("i") % 83 == 10, float("inf")).otherwise(F.col("v")))
+    every = of("right", a).union(of("twice", a)).union(of("twice", a.where("i % 97 = 5"))).union(out).union(odd)
+    return structure.validity(every, meta.select(F.explode(F.array(*map(F.lit, ("right", "twice", "out", "odd")))).alias("mid"), "nrows", "ncols"))
 
 
 @query("split_lo", _PS, "SELECT 'PS' AS mid, i, j, v FROM A WHERE j < 40")
@@ -286,13 +296,22 @@ def extreme_scale(spark, d):
     return s.select(F.lit("s").alias("side"), "i", F.round("x", 12).alias("x")).union(t.select(F.lit("t"), "i", F.round("x", 12)))
 
 
-@query("iterative_scale", "", "SELECT 'NN' AS mid, TRUE AS near_one")
+def _sweeps(n: int) -> str:
+    """Sweeps of _iterative_scale_ on A: of each a table of rows' and one of columns' factors."""
+    out = "S0 AS (SELECT i, 1.0::DOUBLE AS s FROM R), T0 AS (SELECT i AS j, 1.0::DOUBLE AS t FROM R)"
+    for k in range(n):
+        now = f"B{k} AS MATERIALIZED (SELECT i, j, abs(s * v * t) AS b FROM A JOIN S{k} USING (i) JOIN T{k} USING (j))"
+        rows = f"S{k + 1} AS MATERIALIZED (SELECT i, s * coalesce(1 / sqrt(m), 1) AS s FROM S{k} LEFT JOIN (SELECT i, max(b) AS m FROM B{k} GROUP BY i) USING (i))"
+        columns = f"T{k + 1} AS MATERIALIZED (SELECT j, t * coalesce(1 / sqrt(m), 1) AS t FROM T{k} LEFT JOIN (SELECT j, max(b) AS m FROM B{k} GROUP BY j) USING (j))"
+        out += f", {now}, {rows}, {columns}"
+    return out
+
+
+@query("iterative_scale", f"{_NN}, {_sweeps(5)}", "SELECT 's' AS side, i, round(s, 9) AS x FROM S5 UNION ALL SELECT 't', j, round(t, 9) FROM T5")
 def iterative_scale(spark, d):
-    """After the sweeps the largest magnitude of every row and column is near 1."""
-    a, meta = tables.nations(spark, d)
-    now = product.scale(a, *scaling.iterative(a, meta))
-    most = now.groupBy("mid", "i").agg(F.max(F.abs("v")).alias("m")).select("mid", "m").union(now.groupBy("mid", "j").agg(F.max(F.abs("v"))).select("mid", "max(abs(v))"))
-    return most.groupBy("mid").agg((F.max(F.abs(F.col("m") - 1)) < 0.2).alias("near_one"))
+    """The factors after five sweeps, or after those that leave nothing to do."""
+    s, t = scaling.iterative(*tables.nations(spark, d))
+    return s.select(F.lit("s").alias("side"), "i", F.round("x", 9).alias("x")).union(t.select(F.lit("t"), "i", F.round("x", 9)))
 
 
 @query("fix_poor_scaling", _PP, "SELECT 'PP' AS mid, i, CASE WHEN i % 4 = 0 THEN 64.0 ELSE 1.0 END::DOUBLE AS s, CASE WHEN i % 4 = 0 THEN 64.0 ELSE 2.0 END::DOUBLE AS t FROM R")
@@ -308,6 +327,11 @@ def prune(spark, d):
     return dropping.prune(tables.part_supplier(spark, d)[0], 0.25)
 
 
+@query("prune_count", _PS + ", W AS (SELECT *, max(abs(v)) OVER (PARTITION BY i) AS r, max(abs(v)) OVER (PARTITION BY j) AS c FROM A)", "SELECT 'PS' AS mid, count(*) AS removed FROM W WHERE NOT abs(v) > 0.25 * least(r, c)")
+def prune_count(spark, d):
+    return dropping.pruned(tables.part_supplier(spark, d)[0], 0.25)
+
+
 @query("num_drop", _PS, "SELECT 'PS' AS mid, i, j, v FROM A WHERE abs(v) > 60.0 / 3.0")
 def num_drop(spark, d):
     return dropping.numerical(tables.part_supplier(spark, d)[0], 60.0, 3.0)
