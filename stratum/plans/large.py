@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratum.operators import graphs, matching, product, structure, triangular
 from stratum.plans import elimination, estimates, krylov, spectrum, tallqr
 from stratum.plans.relational import _PP, _PS, query
-from stratum.sources import tables
+from stratum.sources import data_source, store, tables
 from stratum.sources.store import stored
 
 #: The suppliers' Gram matrix, each row over twice its sum: strict triangles of it have row sums under a half.
@@ -187,3 +187,14 @@ def inverse_norm(spark, d):
     strict = stored(g.where("i > j").withColumn("v", -F.col("v")))
     found = estimates.triangle_inverse_norm1(strict, structure.indices(meta, "ncols"), max(64, strict.count() // 4))
     return found.select("mid", F.round("norm", 9).alias("norm"))
+
+
+@query("mm_source", _PP, "SELECT i, j, v FROM A")
+def mm_source(spark, d):
+    """The coupled parts written and read by the Matrix Market data source, in ranges of 64 KB."""
+    a, meta = tables.coupled_parts(spark, d)
+    path = store.folder(spark)
+    spark.dataSource.register(data_source.MatrixMarket)
+    n = str(meta.first()["nrows"])
+    a.select("i", "j", "v").write.format("matrixmarket").mode("append").option("nrows", n).option("ncols", n).save(path)
+    return spark.read.format("matrixmarket").option("bytes", 1 << 16).load(path)

@@ -6,7 +6,7 @@ The header is parsed on the driver (a few lines); entries are read and parsed by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,16 +40,16 @@ def _first_lines(spark: SparkSession, path: str) -> Iterator[str]:
             reach, seen = 16 * reach, len(head)
 
 
-def query(spark: SparkSession, path: str) -> Header:
-    """The header of a file, without reading its entries."""
-    lines = _first_lines(spark, path)
+def parsed(lines: Iterable[str]) -> Header:
+    """The header from a file's first lines."""
+    lines = iter(lines)
     first = next(lines, None)
     if first is None:
         raise BadInput("empty file")
     words, count, sizes = first.split(), 0, None
     for line in lines:
         count += 1
-        if line.strip() and not line.startswith("%"):
+        if line.strip() and not line.lstrip().startswith("%"):
             sizes = line.split()
             break
     if sizes is None:
@@ -65,6 +65,11 @@ def query(spark: SparkSession, path: str) -> Header:
     return Header(form == "coordinate", field == "complex", symmetry, rows, cols, rest[0] if rest else rows * cols, count + 1)
 
 
+def query(spark: SparkSession, path: str) -> Header:
+    """The header of a file, without reading its entries."""
+    return parsed(_first_lines(spark, path))
+
+
 def _entries(spark: SparkSession, path: str, head: Header) -> DataFrame:
     """(n, w): the words of each entry's line, numbered in the order of the parts' names and of the lines in them.
 
