@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["spmv", "spmv_t", "spmv_mrhs", "assemble", "transpose", "permute", "scale_both", "extreme_scale", "prune", "space_drop", "schur", "matmul", "pattern_symmetry", "validity", "norms", "solve_unsymmetric", "fgmres", "solve_mrhs", "qrcp", "factor_stats"]
+HEADLINE = ["spmv", "spmv_t", "spmv_mrhs", "assemble", "transpose", "permute", "scale_both", "extreme_scale", "prune", "space_drop", "schur", "matmul", "pattern_symmetry", "validity", "norms", "solve_unsymmetric", "fgmres", "solve_mrhs", "qrcp", "factor_stats", "trisolve_lower", "level_rebuilt", "tall_qr"]
 
 
 def main() -> None:
