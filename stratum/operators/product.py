@@ -105,6 +105,12 @@ def normalize(x: DataFrame) -> DataFrame:
     return x.join(n, "mid").select("mid", "i", F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.col("x")).alias("x"))
 
 
+def default_right_side(coo: DataFrame, meta: DataFrame) -> DataFrame:
+    """(mid, i, x): A times a vector of ones, from the entries alone."""
+    sums = coo.groupBy("mid", "i").agg(F.sum("v").alias("y"))
+    return indices(meta).join(sums, ["mid", "i"], "left").select("mid", "i", F.coalesce("y", F.lit(0.0)).alias("x"))
+
+
 def residual(coo: DataFrame, x: DataFrame, b: DataFrame, meta: DataFrame) -> DataFrame:
     """(mid, i, x): b - A x."""
     return b.join(multiply(coo, x, meta).withColumnRenamed("x", "y"), ["mid", "i"]).select("mid", "i", (F.col("x") - F.col("y")).alias("x"))

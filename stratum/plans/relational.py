@@ -120,6 +120,15 @@ def to_csr(spark, d):
     return rows.select("mid", "i", F.size("indices").cast("long").alias("n"), F.coalesce(F.try_element_at("indices", F.lit(1)), F.lit(-1).cast("long")).alias("first"), total.alias("total"))
 
 
+@query("to_csr_empty_rows", _PS, "SELECT 'PS' AS mid, R.i, coalesce(js, '') AS indices, coalesce(vs, '') AS vals FROM R LEFT JOIN (SELECT i, string_agg(j, ' ' ORDER BY j) AS js, string_agg(CAST(v AS BIGINT), ' ' ORDER BY j) AS vs FROM A WHERE i % 3 <> 0 AND j % 10 = i % 10 GROUP BY i) t USING (i)")
+def to_csr_empty_rows(spark, d):
+    """Whole rows of a thinned matrix as texts; a third of them and more are empty."""
+    a, meta = tables.part_supplier(spark, d)
+    rows = structure.to_csr(a.where("i % 3 <> 0 and j % 10 = i % 10"), meta)
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), " ").alias(c)
+    return rows.select("mid", "i", shown("indices"), shown("vals"))
+
+
 @query("transpose", _PS, "SELECT 'PS' AS mid, j AS i, i AS j, v FROM A")
 def transpose(spark, d):
     return structure.transpose(tables.part_supplier(spark, d)[0])
@@ -391,6 +400,11 @@ def normalize(spark, d):
     return product.normalize(_ones(tables.coupled_parts(spark, d)[1])).withColumn("x", F.round("x", 12))
 
 
+@query("default_right_side", _PP, "SELECT 'PP' AS mid, i, sum(v) AS x FROM A GROUP BY i")
+def default_right_side(spark, d):
+    return product.default_right_side(*tables.coupled_parts(spark, d))
+
+
 @query("residual", _PP, "SELECT 'PP' AS mid, i, 1 - sum(v * (j % 7 + 1)) AS x FROM A GROUP BY i")
 def residual(spark, d):
     a, meta = tables.coupled_parts(spark, d)
