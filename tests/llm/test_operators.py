@@ -500,12 +500,47 @@ def test_licenses_of_relatives(spark):
 
 
 def test_licenses(spark, none):
-    mit = licenses.TEMPLATES["MIT"]
-    texts = [(1, " ".join(passage(40, 1)) + " " + mit + " " + " ".join(passage(77, 2))), (2, "Released under the MIT License."), (3, "released under the mit"), (4, None), (5, ""), (6, " ".join(passage(300, 3))), (None, "x LICENSED UNDER the apache license version 2.0 y")]
+    mit, long = licenses.TEMPLATES["MIT"], " ".join(passage(20_000, 4))
+    texts = [(1, " ".join(passage(40, 1)) + " " + mit + " " + " ".join(passage(77, 2))), (2, "Released under the MIT License."), (3, "released under the mit"), (4, None), (5, ""), (6, " ".join(passage(300, 3))), (None, "x LICENSED UNDER the apache license version 2.0 y"), (7, f"{long} {mit} {long}")]
     table = spark.createDataFrame(texts, "doc_id long, text string")
     run = lambda d: {(r["id"], r["license"]) for r in licenses.licenses(spark, d, "doc_id", "text").collect()}
-    assert run(table) == {(1, "MIT"), (2, "MIT-line"), (None, "Apache-2.0-line")}
+    assert run(table) == {(1, "MIT"), (2, "MIT-line"), (None, "Apache-2.0-line"), (7, "MIT")}
     assert run(none) == set()
+    assert licenses.licenses(spark, table, "doc_id", "text", {}).count() == 0
+
+
+GNU = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+
+
+def test_licenses_of_versions(spark):
+    """Each version of a notice, and a licence that holds another one, is named as itself alone."""
+    bsd = licenses.TEMPLATES["BSD-3-Clause"].replace("copyright holder nor", "Example Institute nor")
+    right = {
+        "GPL-2.0": GNU.format("program", ";", "General Public License", ";", "2"),
+        "GPL-3.0": GNU.format("program", ":", "General Public License", ",", "3"),
+        "LGPL-2.1": GNU.format("library", ";", "Lesser General Public License", ";", "2.1"),
+        "LGPL-3.0": GNU.format("library", ":", "Lesser General Public License", ",", "3"),
+        "AGPL-3.0": GNU.format("program", ":", "Affero General Public License", ",", "3"),
+        "BSD-2-Clause": licenses.TEMPLATES["BSD-2-Clause"],
+        "BSD-3-Clause": bsd,
+        "MIT": licenses.TEMPLATES["MIT"],
+        "MIT-grant": licenses.TEMPLATES["MIT-grant"],
+    }
+    more = " ".join(passage(150, 67))
+    rows = [(k, f"{more} {text} {more}") for k, text in enumerate(right.values())]
+    found = {(r["id"], r["license"]) for r in licenses.licenses(spark, spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert found == set(enumerate(right))
+
+
+def test_licenses_by_row(spark):
+    """Relatives are judged in one text: those of other rows of the id, or of none, stay; equal rows count once; templates may be a table."""
+    two, three = licenses.TEMPLATES["GPL-2.0"], licenses.TEMPLATES["GPL-3.0"]
+    rows = [(k, text, 1, "b") for k in (1, None) for text in (two, three, three)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key int, license string")
+    names = spark.createDataFrame(sorted(licenses.TEMPLATES.items()), "license string, text string")
+    for texts in (licenses.TEMPLATES, names):
+        found = [tuple(r) for r in licenses.licenses(spark, table, "doc_id", "text", texts).select("id", "license").collect()]
+        assert len(found) == 4 and set(found) == {(k, x) for k in (1, None) for x in ("GPL-2.0", "GPL-3.0")}
 
 
 def test_folding_and_exceptions():
