@@ -19,6 +19,8 @@ from stratum.llm import common
 
 #: Ids of rows to compare that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text in a range of ids.
+RANGE_BYTES = 32_000_000
 _SPACE = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
@@ -36,8 +38,18 @@ def hashes(canon: Column) -> Column:
     return F.struct(F.xxhash64(F.lit("a"), canon).alias("x"), F.xxhash64(F.lit("b"), canon).alias("y"))
 
 
+def with_canonical(rows: DataFrame, text: Column, out: str) -> DataFrame:
+    """``rows`` with the canonical text, made once: `reflect` is repeated for each use unless a generator stands between."""
+    return rows.withColumn(out, F.explode(F.array(canonical(text))))
+
+
+def hashed(rows: DataFrame, text: Column, out: str) -> DataFrame:
+    """``rows`` with the hashes of the canonical text."""
+    return with_canonical(rows, text, "_canon").withColumn(out, hashes(F.col("_canon"))).drop("_canon")
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """``docs`` (id, text, h) with ``next`` (text, h): those of the next row by descending id, cyclically.
+    """``docs`` (id, text) with their hashes ``h`` and ``next`` (id, text, h): the next row by descending id, cyclically.
 
     Rows are dealt by ranges of the id and sorted there, so each text is shuffled once. The last row of a range
     is also sent to the range after it. Bounds and last rows are one for each range.
@@ -50,7 +62,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     rows = dealt(docs).join(F.broadcast(ends), F.col("id").eqNullSafe(F.col("last")), "left").drop("last")
     own, sent = F.struct(F.col("part").alias("part"), F.lit(0).alias("own")), F.struct(F.col("onward").alias("part"), F.lit(-1).alias("own"))
     rows = rows.withColumn("at", F.explode(F.when(F.col("onward").isNull(), F.array(own)).otherwise(F.array(own, sent)))).drop("part", "onward")
-    rows = rows.select("id", "text", "h", F.col("at.part").alias("part"), F.col("at.own").alias("own"))
+    rows = rows.select("id", "text", F.col("at.part").alias("part"), F.col("at.own").alias("own")).repartition(parts, "part")
+    rows = hashed(rows, F.col("text"), "h")
     window = Window.partitionBy("part").orderBy("own", F.col("id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.withColumn("next", F.lag(F.struct("id", "text", "h")).over(window))
     return rows.where("own = 0").drop("part", "own")
@@ -78,12 +91,13 @@ def clashes(spark: SparkSession, docs: DataFrame, table: DataFrame) -> DataFrame
         small = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
         return docs.join(small.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
 
-    made = of(plain).select("id", "h", canonical(F.col("text")).alias("canon"))
+    made = with_canonical(of(plain), F.col("text"), "canon").select("id", hashes(F.col("canon")).alias("h"), "canon")
     if sides.limit(1).count():
         wanted = sides.select("id").union(sides.select(F.col("next_id").alias("id"))).distinct()
         some = common.stored(spark, of(wanted).select("id", "text"), "texts")
         both = sides.alias("s").join(some.alias("t"), F.col("s.id").eqNullSafe(F.col("t.id"))).join(some.alias("u"), F.col("s.next_id").eqNullSafe(F.col("u.id")))
-        again = both.select("s.id", F.col("s.h").alias("h"), canonical(edited(F.col("t.text"), F.col("u.text"))).alias("canon"))
+        again = both.select("s.id", F.col("s.h").alias("h"), F.col("t.text").alias("text"), F.col("u.text").alias("following"))
+        again = with_canonical(again, edited(F.col("text"), F.col("following")), "canon").select("id", "h", "canon")
         made = made.union(again.where(hashes(F.col("canon")) == F.col("h")))  # with repeated ids, other pairs of texts also meet
     unlike = made.groupBy("h").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least <> most").select("h")
     unlike = common.stored(spark, unlike, "clashes")
@@ -101,9 +115,10 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str, text_col: st
     """Per row: its fingerprint, that of its edited text, and their likeness."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    docs = docs.withColumn("h", hashes(canonical(F.col("text"))))
-    rows = with_next(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("edit", edited(F.col("text"), F.col("next.text")))
-    table = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), "h", hashes(canonical(F.col("edit"))).alias("e"), F.col("next.h").alias("n"), F.col("next.id").alias("next_id"))
+    parts = common.buckets(spark, docs.select("text"), RANGE_BYTES)
+    rows = with_next(docs, parts).withColumn("edit", edited(F.col("text"), F.col("next.text")))
+    rows = hashed(rows, F.col("edit"), "e")
+    table = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), "h", "e", F.col("next.h").alias("n"), F.col("next.id").alias("next_id"))
     table = common.stored(spark, table, "fingerprints")
     unlike = clashes(spark, docs, table)
     shown = {"h": _shown("h"), "e": _shown("e"), "n": _shown("n")}
