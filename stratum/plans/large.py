@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.operators import graphs, matching, product, structure, triangular
+from stratum.operators import dissection, graphs, matching, product, structure, triangular
 from stratum.plans import elimination, estimates, krylov, spectrum, tallqr
 from stratum.plans.relational import _PP, _PS, query
 from stratum.sources import data_source, store, tables
@@ -155,6 +155,19 @@ def rcm_frontiers(spark, d):
     return order.join(graphs.bandwidth(a, order), "mid").select("mid", "i", "p", "bandwidth")
 
 
+@query("nested_dissection", _PP, "SELECT 'PP' AS mid, count(*) AS nodes, count(*) AS places, CAST(0 AS BIGINT) AS crossing FROM R")
+def nested_dissection(spark, d):
+    """Coupled parts by nested dissection: each has a place of its own, and no entry joins two sides of a separator."""
+    a, meta = tables.coupled_parts(spark, d)
+    a, leaf = stored(a), max(60, meta.first()["nrows"] // 4)
+    near, nodes = graphs.neighbours(a), stored(a.select("mid", "i").distinct())
+    parts = dissection.dissected(near, nodes, leaf)
+    order = dissection.ordered(near, parts, leaf)
+    places = order.groupBy("mid").agg(F.countDistinct("p").alias("nodes"), F.countDistinct("i").alias("places"))
+    crossing = dissection.crossing(near, parts).groupBy("mid").agg(F.count("*").alias("crossing"))
+    return places.join(crossing, "mid", "left").select("mid", "nodes", "places", F.coalesce("crossing", F.lit(0).cast("long")).alias("crossing"))
+
+
 @query("tall_qr", _PS, "SELECT 'PS' AS mid, j AS i, CAST(j % 7 + 1 AS DOUBLE) AS x, CAST(nc AS INTEGER) AS rank FROM C, S")
 def tall_qr(spark, d):
     """Least squares of parts by suppliers: a right side within its columns gives their known weights, all columns count."""

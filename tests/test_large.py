@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.kernels import apply, ordering
-from stratum.operators import graphs, matching, numbering, triangular
+from stratum.operators import dissection, graphs, matching, numbering, triangular
 from stratum.plans import elimination, estimates, krylov, spectrum, tallqr
 from stratum.types import BadInput
 
@@ -217,3 +217,40 @@ def test_inverse_norm(spark):
     for m, t in mats.items():
         right = np.linalg.norm(np.linalg.inv(np.eye(len(t)) + t), 1)
         assert right / 3 <= got[m] <= right * (1 + 1e-9)
+
+
+def fill(near, order):
+    """Entries under the diagonal of the factor, by merging each column into its parent."""
+    at = np.argsort(order)
+    columns = [set() for _ in order]
+    for i, j in near:
+        if at[j] > at[i]:
+            columns[at[i]].add(int(at[j]))
+    for k, own in enumerate(columns):
+        if own:
+            parent = min(own)
+            columns[parent] |= own - {parent}
+    return sum(map(len, columns))
+
+
+def test_nested_dissection(spark, monkeypatch):
+    """A grid, a star, a ring and loose nodes at once: whole orders, no edge across a separator, less fill than the grid's natural order."""
+    monkeypatch.setattr(dissection, "COARSE", 60)
+    a = grid(20)
+    star, ring, loose = np.eye(90), np.eye(90) + np.roll(np.eye(90), 1, axis=1), np.eye(90)
+    star[0] = star[:, 0] = 1
+    table = coo(spark, a).union(coo(spark, star, "S")).union(coo(spark, ring, "R")).union(coo(spark, loose, "L"))
+    near = graphs.neighbours(table)
+    nodes = dissection.stored(table.select("mid", "i").distinct())
+    parts = dissection.dissected(near, nodes, 40)
+    assert dissection.crossing(near, parts).count() == 0
+    inside = parts.where("not endswith(part, '2')").groupBy("mid", "part").count()
+    assert inside.agg(F.max("count")).first()[0] <= 40
+    found = {}
+    for r in dissection.ordered(near, parts, 40).collect():
+        found.setdefault(r["mid"], {})[r["i"]] = r["p"]
+    for m, n in (("A", 400), ("S", 90), ("R", 90), ("L", 90)):
+        assert sorted(found[m]) == sorted(found[m].values()) == list(range(n))
+    edges = [(r["i"], r["j"]) for r in near.where("mid = 'A'").collect()]
+    assert fill(edges, [found["A"][k] for k in range(400)]) < 0.75 * fill(edges, list(range(400)))
+    assert dissection.nested_dissection(table.where("false")).count() == 0
