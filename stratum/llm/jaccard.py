@@ -14,8 +14,8 @@ Equal sets are one class, of which the least id stands for all. The sets that sh
 rounds. First each signature's least member (its hub) is held against the others: candidates whose sizes, or whose
 counts of shingles in cells of the domain, already differ by more than linked sets can are left out, and the rest are
 verified on their whole sets. Then the members of a hub that the links found so far leave in different components
-are settled together: a set more than a quarter of whose shingles no other such set has can have no link and leaves,
-and the sets that stay of one hub meet in a task, which counts the shingles that a set outside the hub's largest
+are settled together: one that by sizes and sketches can be linked with no member of another component leaves, as does
+a set more than a quarter of whose shingles no other such set has, and the sets that stay of one hub meet in a task, which counts the shingles that a set outside the hub's largest
 component shares with each other one and gives a link for each pair of components it joins. Pairs are never rows
 there, and a large hub is cut into blocks of bounded size of which every two that need it meet. No bucket is capped.
 
@@ -43,6 +43,9 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 500_000
 HELD = 1 << 20
 #: Bytes of text whose signatures meet in a bucket; shingles whose counts meet in one; shingles of a block of a hub.
 BUCKET_TEXT, BUCKET_SHINGLES, BLOCK_SHINGLES = 8 << 20, 2 << 20, 1 << 20
+#: Members of a hub in a class of sizes whose sketches are compared with each other, and the bytes of these sketches;
+#: with more of them all members stay. Bytes of sketches that meet in a bucket.
+MET, MET_BYTES, BUCKET_SKETCHES = 2_048, 2 << 20, 8 << 20
 #: Holders of shingles that are looked at in one step.
 AT_ONCE = 1 << 20
 #: Ids of documents to fetch that are broadcast; more are joined by a shuffle.
@@ -402,6 +405,69 @@ def mostly_shared(spark: SparkSession, sets: DataFrame) -> DataFrame:
     return sizes.where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * PERCENT).select("row")
 
 
+def salted(seats: DataFrame) -> DataFrame:
+    """``seats`` with a salt, by which a hub of very many members is dealt over tasks."""
+    return seats.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(common.SALTS)).cast("int"))
+
+
+def mixed_keys(seats: DataFrame, *keys: str) -> DataFrame:
+    """(keys, salt, members, bytes) of the keys whose members (salted) are of several groups."""
+    members, size = F.col("members"), F.col("bytes")
+    parts = seats.groupBy(*keys, "salt").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("members"), F.sum(F.length("sketch")).alias("bytes"))
+    whole = parts.groupBy(*keys).agg(F.min("g").alias("g"), F.max("h").alias("h"), F.sum(members).alias("members"), F.sum(size).alias("bytes"), F.collect_list("salt").alias("salts"))
+    return whole.where("g <> h").select(*keys, F.explode("salts").alias("salt"), "members", "bytes")
+
+
+def partners(groups: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Which sets can, by their sizes and sketches, be linked with one of another group."""
+    few = min(len(s) for s in sketches)
+    cells = [np.frombuffer(s, np.uint8) for s in sketches]
+    full = np.array([c.max() == 255 for c in cells])  # a full cell counts no further
+    table = np.stack([c.reshape(few, -1).sum(axis=1, dtype=np.int32) for c in cells])
+    stay = np.zeros(len(groups), bool)
+    for k in range(len(groups)):
+        if not stay[k]:
+            both = sizes + sizes[k]
+            near = (groups != groups[k]) & (np.minimum(sizes, sizes[k]) * 100 >= np.maximum(sizes, sizes[k]) * PERCENT)
+            at = np.flatnonzero(near)
+            far = np.abs(table[at] - table[k]).sum(axis=1)
+            at = at[full[at] | full[k] | (far * (100 + PERCENT) <= both[at] * (100 - PERCENT))]
+            stay[at] = True
+            stay[k] = len(at) > 0
+    return stay
+
+
+def comparable(spark: SparkSession, seats: DataFrame, known: DataFrame) -> DataFrame:
+    """The seats (hub, doc, group) that by sizes and sketches can be linked with one of another group of their hub.
+
+    Linked sets lie in one class of sizes or in two neighbouring ones, so the members of a hub meet by class. Where they
+    are too many to meet in a task all of them stay. ``known`` is (id, n, sketch).
+    """
+    sized = common.stored(spark, salted(seats).join(known.withColumnRenamed("id", "doc"), "doc"), "sized")
+    buckets = common.buckets(spark, sized.select("sketch"), BUCKET_SKETCHES // 2)
+    size = F.floor(F.log(1.34, F.col("n").cast("double"))).cast("int")  # a ratio over 4 / 3, which two linked sets keep
+    rows = sized.withColumn("class", F.explode(F.array(size, size + 1)))
+    rows = rows.join(mixed_keys(rows, "hub", "class"), ["hub", "class", "salt"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        hub, kind, doc, group, n = (np.asarray(table.column(c)) for c in ("hub", "class", "doc", "group", "n"))
+        order = np.lexsort((doc, kind, hub))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([np.diff(c[order]) != 0 for c in (hub, kind)], axis=0)
+        sketches, stay = table.column("sketch").to_pylist(), np.zeros(len(order), bool)
+        for own in np.split(order, np.flatnonzero(new)[1:]):
+            stay[own] = partners(group[own], n[own], [sketches[k] for k in own])
+        common.trim()
+        return table.select(["hub", "doc", "group"]).filter(pa.array(stay))
+
+    few = (F.col("members") <= MET) & (F.col("bytes") <= MET_BYTES)
+    sent = rows.where(few).select(F.pmod(F.xxhash64("hub", "class"), F.lit(buckets)).alias("bucket"), "hub", "class", "doc", "group", "n", "sketch")
+    kept = sent.groupBy("bucket").applyInArrow(meet, "hub long, doc long, group long")
+    kept = common.stored(spark, kept.union(rows.where(~few).select("hub", "doc", "group")).distinct(), "comparable")
+    common.release(spark, sized)
+    return kept
+
+
 def joining(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join all groups which links between the sets join."""
     out: list[tuple[int, int]] = []
@@ -445,24 +511,23 @@ def joining(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> list
     return out
 
 
-def settled(spark: SparkSession, docs: DataFrame, seats: DataFrame, words: int) -> DataFrame:
-    """Links (a, b) between members of a hub; ``seats`` is (hub, doc, group), with the hubs' own."""
-
-    def open_(seats: DataFrame) -> DataFrame:
-        mixed = seats.groupBy("hub").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("hub")
-        return common.stored(spark, seats.join(mixed, "hub", "left_semi"), "seats")
-
-    seats = open_(seats)
+def settled(spark: SparkSession, docs: DataFrame, seats: DataFrame, known: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between members of a hub; ``seats`` is (hub, doc, group), with the hubs' own, ``known`` as for ``possible``."""
+    seats = comparable(spark, seats, known)
     sets = shingle_sets(spark, docs, seats.select(F.col("doc").alias("id")).distinct(), words)
     stay = common.stored(spark, sets.select("row", F.col("id").alias("doc"), (F.length("elements") / 8).alias("n")).join(mostly_shared(spark, sets), "row"), "mostly-shared")
-    left = open_(seats.join(stay, "doc"))
+    left = salted(seats.join(stay, "doc"))
+    salts = left.groupBy("hub", "salt").agg(F.min("group").alias("g"), F.max("group").alias("h"))
+    salts = salts.groupBy("hub").agg(F.min("g").alias("g"), F.max("h").alias("h"), F.collect_list("salt").alias("salts")).where("g <> h")
+    salts = common.stored(spark, salts.select("hub", F.explode("salts").alias("salt")), "open")
+    left = common.stored(spark, left.join(salts, ["hub", "salt"], "left_semi"), "seats")
     # A hub's largest group needs no links in itself. Blocks of it and of the others, by their numbers of shingles.
     sizes = left.groupBy("hub", "group").agg(F.sum("n").alias("n"))
     sizes = sizes.groupBy("hub").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES)).cast("int")
     whole = F.col("all") <= 2 * BLOCK_SHINGLES
     sizes = sizes.select("hub", "largest", F.when(whole, 0).otherwise(blocks(F.col("all") - F.col("most"))).alias("p"), blocks(F.col("most")).alias("q"))
-    at = left.join(sizes, "hub")
+    at = left.join(sizes.join(salts, "hub"), ["hub", "salt"])
     block = F.pmod(F.xxhash64("row"), F.when(F.col("group") == F.col("largest"), F.col("q")).otherwise(F.greatest("p", F.lit(1)))).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     large = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(i.alias("i"), (F.col("p") + F.col("block")).alias("j")))
@@ -487,7 +552,7 @@ def settled(spark: SparkSession, docs: DataFrame, seats: DataFrame, words: int)
     own = sets.select("row", "elements").join(F.broadcast(stay.select("row")) if few else stay.select("row"), "row", "left_semi")
     met = at.join(own, "row").select("bucket", "hub", "i", "j", "doc", "group", "elements")
     links = common.stored(spark, met.groupBy("bucket").applyInArrow(meet, "a long, b long"), "links")
-    common.release(spark, seats, sets, stay, left)
+    common.release(spark, seats, sets, stay, salts, left)
     return links
 
 
@@ -518,7 +583,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     # Second round: members of a hub that are still in different components.
     seats = stars.where("most > 2").select("hub", "doc")
     seats = seats.union(seats.select("hub", F.col("hub").alias("doc")).distinct()).join(groups.withColumnRenamed("id", "doc"), "doc", "left")
-    more = settled(spark, docs, seats.select("hub", "doc", F.coalesce("component", "doc").alias("group")), words)
+    more = settled(spark, docs, seats.select("hub", "doc", F.coalesce("component", "doc").alias("group")), known, words)
     common.release(spark, stars, near)
     if more.limit(1).count():
         groups = common.components(spark, groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

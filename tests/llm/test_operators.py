@@ -349,9 +349,12 @@ def test_joining_against_all_pairs(seed):
     assert set(map(tuple, map(sorted, found))) <= set(linked) and joined(found) == joined(linked)
 
 
-def test_jaccard_of_a_large_hub_in_blocks(spark, monkeypatch):
-    """Near copies of one text and texts that share a long passage with it, with blocks of a few sets."""
+@pytest.mark.parametrize("met", [2_048, 2])
+def test_jaccard_of_a_large_hub_in_blocks(spark, monkeypatch, met):
+    """Near copies of one text and texts that share a long passage with it, with blocks of a few sets, and where the
+    members of a hub are too many to compare their sketches."""
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard, "MET", met)
     rng, base, rows = np.random.default_rng(2), passage(60, 900), []
     for k in range(150):
         words = list(base)
@@ -363,6 +366,26 @@ def test_jaccard_of_a_large_hub_in_blocks(spark, monkeypatch):
     assert found == brute_components(rows) and len(set(found.values())) > 3
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_partners_keep_every_linked_set(seed):
+    """Sets of very different sizes, one of more shingles in a cell than a byte counts, against all pairs."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    bases, sets = [draw(n) for n in (1, 4, 30, 300, 700)], []
+    for _ in range(60):
+        base = bases[int(rng.integers(0, 5))]
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, len(base) // 4 + 1)) :], draw(int(rng.integers(0, len(base) // 4 + 1)))])))
+    crowd = np.unique(rng.integers(0, 1 << 40, 3_000).astype(np.uint64))
+    sets += [draw(120), crowd, crowd[200:]]
+    groups, sizes = rng.integers(0, 6, len(sets)), np.array([len(s) for s in sets])
+    groups[-2:] = 7, 8
+    stay = jaccard.partners(groups, sizes, [jaccard.sketch(s) for s in sets])
+    linked = [any(g != h and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)) for h, y in zip(groups, sets)) for g, x in zip(groups, sets)]
+    assert all(stay[linked]) and any(linked) and stay[-2:].all() and not stay[-3]
+    alone = jaccard.partners(np.zeros(len(sets), int), sizes, [jaccard.sketch(s) for s in sets])
+    assert not alone.any()
+
+
 def test_jaccard_of_the_least_id_and_null_ids(spark):
     least, text = -(1 << 63), " ".join(passage(30, 77))
     table = spark.createDataFrame([(least, text), (4, text), (None, text), (None, None), (5, None)], "doc_id long, text string")
