@@ -254,3 +254,24 @@ def test_nested_dissection(spark, monkeypatch):
     edges = [(r["i"], r["j"]) for r in near.where("mid = 'A'").collect()]
     assert fill(edges, [found["A"][k] for k in range(400)]) < 0.75 * fill(edges, list(range(400)))
     assert dissection.nested_dissection(table.where("false")).count() == 0
+
+
+def test_products_of_runs_and_of_heavy_inner_indices(spark, monkeypatch):
+    """Runs of a few inner indices, rows at a time, and an index with too many products for a task, give the same sums."""
+    from stratum.operators import product
+
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((30, 40)) < 0.2, rng.integers(1, 9, (30, 40)), 0).astype(float)
+    dense[:, 7] = 1.0
+    other = np.where(rng.random((40, 25)) < 0.2, rng.integers(-4, 5, (40, 25)), 0).astype(float)
+    other[7] = 2.0
+    table = lambda m: spark.createDataFrame([("A", int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "mid string, i long, j long, v double")
+    monkeypatch.setattr(product, "BLOCK", 300)
+    monkeypatch.setattr(product, "CHUNK", 40)
+    got = np.zeros((30, 25))
+    found = product.matmul(table(dense), table(other)).collect()
+    for row in found:
+        got[row["i"], row["j"]] = row["v"]
+    assert len(found) == np.count_nonzero((dense != 0).astype(int) @ (other != 0).astype(int))
+    assert (got == dense @ other).all()
+    assert len(list(product._products(table(dense).toPandas().rename(columns={"j": "k"}), table(other).toPandas().rename(columns={"i": "k"})))) > 1
