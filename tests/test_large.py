@@ -109,6 +109,25 @@ def test_auction(spark, is_complex):
     assert np.log(abs(a[i, j])).sum() >= np.log(abs(a[np.arange(n), best])).sum() - n * epsilon - 1e-9
 
 
+def test_auction_in_many_tasks(spark, monkeypatch):
+    """Two parts without a common column are one round's work, however many bids they take; tasks that share columns, and rows
+    that no task takes, agree in the end."""
+    draw = np.random.default_rng(4)
+    a = np.zeros((24, 24))
+    a[:12, :12], a[12:, 12:] = draw.integers(1, 4, (2, 12, 12))
+    written = []
+    for entries, whole in ((144, 200), (30, 40), (30, 5)):
+        monkeypatch.setattr(matching, "ENTRIES", entries)
+        monkeypatch.setattr(matching, "WHOLE", whole)
+        monkeypatch.setattr(matching, "drop", lambda *t: written.append(entries))
+        rows = matching.auction(coo(spark, a), (0.02,)).collect()
+        i, j, s, t = (np.array([r[c] for r in rows]) for c in ("i", "j", "s", "t"))
+        assert sorted(i.tolist()) == sorted(j.tolist()) == list(range(24))
+        scaled = s[:, None] * a[i][:, j] * t
+        assert scaled.max() <= 1 + 1e-9 and np.diag(scaled).min() >= np.exp(-0.02) - 1e-9
+    assert written.count(144) == 2
+
+
 def test_auction_of_a_singular_matrix(spark):
     """Two rows with one column: one of them stays without."""
     a = np.array([[1.0, 0, 0], [5.0, 0, 0], [0, 1.0, 2.0]])
