@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from stratum.sources.matrix_market import by_name
 from stratum.operators.numbering import running
 from stratum.sources.matrix_market import Header, parsed
 from stratum.types import BadInput
@@ -49,7 +50,7 @@ def _files(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
     found = store.get_file_info(at)
     if found.type == fs.FileType.Directory:
         found = [f for f in store.get_file_info(fs.FileSelector(at)) if f.is_file and not f.base_name.startswith((".", "_"))]
-        return store, sorted(found, key=lambda f: f.base_name)
+        return store, sorted(found, key=lambda f: by_name(f.base_name))
     if found.type != fs.FileType.File:
         raise BadInput(f"no file at {path}")
     return store, [found]

@@ -6,6 +6,7 @@ The header is parsed on the driver (a few lines); entries are read and parsed by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,9 +29,14 @@ class Header:
     lines: int
 
 
+def by_name(path: str) -> list[str | int]:
+    """Sorts files by name, the numbers in it by value: a writer's part c1000 comes after its c999."""
+    return [int(word) if word.isdecimal() else word for word in re.split(r"([0-9]+)", path)]
+
+
 def _first_lines(spark: SparkSession, path: str) -> Iterator[str]:
     """The lines of the parts in the order of their names, some at a time."""
-    for file in sorted(spark.read.text(path).inputFiles()):
+    for file in sorted(spark.read.text(path).inputFiles(), key=by_name):
         reach, seen = 64, 0
         while True:
             head = spark.read.text(file).limit(reach).collect()
@@ -80,7 +86,7 @@ def _entries(spark: SparkSession, path: str, head: Header) -> DataFrame:
     lines = lines.where((F.col("value") != "") & ~F.col("value").startswith("%"))
     splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.max("at").alias("most")).collect()
     ahead, shifts = -1, []
-    for row in sorted(splits, key=lambda r: (r["file"], r["block"])):
+    for row in sorted(splits, key=lambda r: (by_name(r["file"]), r["block"])):
         if row["most"] - row["least"] >> 33:
             raise BadInput("a split lies in two partitions")
         shifts.append((row["file"], row["block"], ahead))
