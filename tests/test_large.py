@@ -294,3 +294,22 @@ def test_products_of_runs_and_of_heavy_inner_indices(spark, monkeypatch):
     assert len(found) == np.count_nonzero((dense != 0).astype(int) @ (other != 0).astype(int))
     assert (got == dense @ other).all()
     assert len(list(product._products(table(dense).toPandas().rename(columns={"j": "k"}), table(other).toPandas().rename(columns={"i": "k"})))) > 1
+
+
+def test_vector_of_over_a_thousand_files(spark, tmp_path):
+    """A writer's files c1000 and on come after its c999."""
+    from stratum.sources import matrix_market
+
+    x = spark.range(0, 1030, 1, 1).select(F.col("id").alias("i"), F.col("id").cast("double").alias("x"))
+    matrix_market.write_vector(x, f"{tmp_path}/v", per_file=1)
+    assert [r["x"] for r in matrix_market.read_vector(spark, f"{tmp_path}/v", "P").orderBy("i").collect()] == list(range(1030))
+
+
+def test_deferred_places_without_entries(spark):
+    """Row 1 is empty: it is deferred, or has no place."""
+    from stratum.operators import structure
+
+    placed, meta = coo(spark, np.diag([1.0, 0, 3, 4])), spark.createDataFrame([("A", 4, 4)], "mid string, nrows long, ncols long")
+    found = lambda **k: [(r["i"], r["p"]) for r in structure.defer_tiny(placed, meta, 3, 1e-3, **k).orderBy("i").collect()]
+    assert found() == [(0, 0), (1, 2), (2, 1), (3, 3)]
+    assert found(empty=False) == [(0, 0), (1, 2), (3, 3)]
