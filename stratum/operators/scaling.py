@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators.product import scale
 from stratum.operators.structure import indices
+from stratum.sources.store import stored
 
 
 def _reciprocal(coo: DataFrame, every: DataFrame, axis: str, root: bool = False) -> DataFrame:
@@ -28,6 +29,7 @@ def extreme(coo: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def iterative(coo: DataFrame, meta: DataFrame, sweeps: int = 5, rest: float = 1e-10, symmetric: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows and columns scaled at once by 1 over the root of their largest magnitude, at most ``sweeps`` times."""
+    coo = stored(coo)  # each sweep reads it a few times
     s, t = unit(meta), unit(meta.select("mid", F.col("ncols").alias("nrows")))
     by = lambda x, f: x.join(f.withColumnRenamed("x", "f"), ["mid", "i"]).select("mid", "i", (F.col("x") * F.col("f")).alias("x"))
     for _ in range(sweeps):
@@ -36,7 +38,8 @@ def iterative(coo: DataFrame, meta: DataFrame, sweeps: int = 5, rest: float = 1e
         if symmetric:
             both = r.join(c.withColumnRenamed("x", "y"), ["mid", "i"]).select("mid", "i", F.sqrt(F.col("x") * F.col("y")).alias("x"))
             r = c = both
-        s, t = by(s, r).checkpoint(), by(t, c).checkpoint()  # each sweep reads the last one's factors
+        r, c = stored(r), stored(c)
+        s, t = stored(by(s, r)), stored(by(t, c))  # each sweep reads the last one's factors
         far = r.union(c).agg(F.max(F.abs(1 - F.col("x") * F.col("x")))).first()[0]
         if far is None or far <= rest:
             break

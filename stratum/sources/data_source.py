@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from stratum.sources.matrix_market import by_name
 from stratum.operators.numbering import running
-from stratum.sources.matrix_market import Header, parsed
+from stratum.sources.matrix_market import Header, by_name, parsed
 from stratum.types import BadInput
 
 #: Bytes of a range, and of what a task parses at once.

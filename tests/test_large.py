@@ -313,3 +313,20 @@ def test_deferred_places_without_entries(spark):
     found = lambda **k: [(r["i"], r["p"]) for r in structure.defer_tiny(placed, meta, 3, 1e-3, **k).orderBy("i").collect()]
     assert found() == [(0, 0), (1, 2), (2, 1), (3, 3)]
     assert found(empty=False) == [(0, 0), (1, 2), (3, 3)]
+
+
+def test_sweeps_evaluate_the_matrix_once(spark):
+    """The entries' plan, which may be a costly join, runs once for all sweeps."""
+    from stratum.operators import scaling
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for frame in batches:
+            seen.add(len(frame))
+            yield frame
+
+    a = coo(spark, np.array([[1.0, 8, 0], [2, 4, 3], [0, 5, 100]]))
+    meta = spark.createDataFrame([("A", 3, 3)], "mid string, nrows long, ncols long")
+    s, t = scaling.iterative(a.mapInPandas(rows, a.schema), meta)
+    assert s.count() == t.count() == 3 and seen.value == a.count()
