@@ -330,3 +330,15 @@ def test_sweeps_evaluate_the_matrix_once(spark):
     meta = spark.createDataFrame([("A", 3, 3)], "mid string, nrows long, ncols long")
     s, t = scaling.iterative(a.mapInPandas(rows, a.schema), meta)
     assert s.count() == t.count() == 3 and seen.value == a.count()
+
+
+def test_least_squares_of_parts(spark):
+    """More columns than a triangle may have, in parts without a common row: all of them are solved for."""
+    draw = np.random.default_rng(6)
+    a = np.zeros((30, 11))
+    a[:14, :5], a[14:29, 5:] = draw.standard_normal((14, 5)), draw.standard_normal((15, 6))
+    b = draw.standard_normal(30)
+    rows = tallqr.least_squares(coo(spark, a), vec(spark, b), columns=6).orderBy("i").collect()
+    want = np.linalg.lstsq(a, b, rcond=None)[0]
+    assert np.allclose([r["x"] for r in rows], want) and {r["rank"] for r in rows} == {11}
+    assert np.allclose([r["rest"] for r in rows], np.linalg.norm(b - a @ want))
