@@ -275,6 +275,27 @@ def test_nested_dissection(spark, monkeypatch):
     assert dissection.nested_dissection(table.where("false")).count() == 0
 
 
+def test_components_are_packed_on_two_sides(spark, monkeypatch):
+    """Components that balance are not cut; of others only the largest is, between the rest. Loose nodes are halved, not peeled off."""
+    import pandas as pd
+
+    def sides(sizes):
+        first = np.cumsum([0, *sizes[:-1]])
+        path = [(a + k, a + k + 1) for a, n in zip(first, sizes) for k in range(n - 1)]
+        edges = pd.DataFrame(path + [(j, i) for i, j in path], columns=["i", "j"]).assign(w=1.0)
+        nodes = pd.DataFrame({"mid": "A", "part": "", "i": range(sum(sizes)), "p": 1.0})
+        return [dissection._fiedler(nodes, edges)["x"].to_numpy()[a : a + n] for a, n in zip(first, sizes)]
+
+    found = sides([10, 9, 3, 2, 1, 1])
+    assert all(len(set(x)) == 1 for x in found) and sum(len(x) * x[0] for x in found) == 0
+    large, *others = sides([20, 3, 2, 1])
+    assert (abs(large) <= 0.5).all() and (large > 0).sum() == 10 and len({x[0] for x in others}) == 2
+    monkeypatch.setattr(dissection, "COARSE", 60)
+    nodes = spark.range(130).select(F.lit("L").alias("mid"), F.col("id").alias("i"))
+    parts = dissection.dissected(coo(spark, np.eye(2)).select("mid", "i", "j").where("i <> j"), dissection.stored(nodes), 40)
+    assert parts.count() == 130 and parts.agg(F.max(F.length("part"))).first()[0] <= 3
+
+
 def test_products_of_runs_and_of_heavy_inner_indices(spark, monkeypatch):
     """Runs of a few inner indices, rows at a time, and an index with too many products for a task, give the same sums."""
     from stratum.operators import product
