@@ -10,10 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of ``lineitem`` that a task deals with at once where it counts their places or pairs.
+LINES = 250_000
+
+
+def dealt(lines: DataFrame, by: str) -> DataFrame:
+    """``lines`` in tasks by ``by``, more of them for more lines, so that what one of them counts does not grow."""
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // LINES))
+    return lines.repartition(tasks, by)
+
+
 def part_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts by suppliers, quantities summed (whole numbers)."""
-    lines = table(spark, sf_dir, "lineitem")
-    coo = lines.groupBy(F.lit("PS").alias("mid"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    coo = dealt(lines, "l_partkey").groupBy(F.lit("PS").alias("mid"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
     rows = table(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("nrows"))
     cols = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("ncols"))
     return coo, rows.crossJoin(cols).select(F.lit("PS").alias("mid"), "nrows", "ncols")  # one row each
@@ -24,7 +34,7 @@ def sharing(spark: SparkSession, sf_dir: str, first: str | None = None, end: str
     lines = table(spark, sf_dir, "lineitem")
     if first is not None:
         lines = lines.where((F.col("l_shipdate") >= F.lit(first).cast("timestamp")) & (F.col("l_shipdate") < F.lit(end).cast("timestamp")))
-    once = lines.select(F.col("l_orderkey").alias("o"), F.col(key).alias("i")).distinct()
+    once = dealt(lines.select(F.col("l_orderkey").alias("o"), F.col(key).alias("i")), "o").distinct()
     both = once.join(once.select("o", F.col("i").alias("j")), "o").where("i <> j")
     return both.groupBy(F.lit(mid).alias("mid"), "i", "j").agg(F.count("*").cast("double").alias("v"))
 

@@ -227,6 +227,19 @@ def test_spectrum(spark):
     assert np.allclose(found["A"], right[np.argsort(-abs(right))][:3], rtol=1e-8)
 
 
+@pytest.mark.parametrize("read", [lambda s, d, t: t.part_supplier(s, d)[0], lambda s, d, t: t.sharing(s, d)])
+def test_tasks_of_lines_do_not_grow(spark, monkeypatch, read):
+    """More lines are dealt over more tasks, with the same entries."""
+    from conftest import SMALL
+    from stratum.sources import tables
+
+    right = {(r["i"], r["j"]): r["v"] for r in read(spark, SMALL, tables).collect()}
+    monkeypatch.setattr(tables, "LINES", 200)
+    lines = tables.table(spark, SMALL, "lineitem")
+    assert tables.dealt(lines, "l_orderkey").rdd.getNumPartitions() >= lines.count() / 200
+    assert {(r["i"], r["j"]): r["v"] for r in read(spark, SMALL, tables).collect()} == right
+
+
 def test_inverse_norm(spark):
     draw = np.random.default_rng(9)
     mats = {"A": np.tril(draw.standard_normal((20, 20)), -1), "B": -np.tril(np.ones((8, 8)), -1), "C": np.zeros((3, 3))}
