@@ -2,7 +2,7 @@
 
 The basis is a table, each step one product with the matrix and two sweeps of orthogonalisation against all of it; only
 the tridiagonal matrix lies on the driver. From one starting vector each eigenvalue is found once, however often it
-occurs.
+occurs: its vector is then the starting vector's part in the eigenspace.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratum.operators import product
 from stratum.operators.structure import indices
 from stratum.plans.krylov import STEP, combined, norms, scaled, weights
-from stratum.sources.store import Table, stored
+from stratum.sources.store import Table, drop, stored
 
 
 def as_real(cooz: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,15 +28,16 @@ def as_real(cooz: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
     return double, meta.select("mid", (2 * F.col("nrows")).alias("nrows"), (2 * F.col("ncols")).alias("ncols"))
 
 
-def largest(coo: DataFrame, meta: DataFrame, many: int = 10, tol: float = 1e-9, most: int = 300, vectors: bool = False) -> tuple[dict[str, list[float]], DataFrame | None]:
+def largest(coo: DataFrame, meta: DataFrame, many: int = 10, tol: float = 1e-9, most: int = 300, vectors: bool = False, start: DataFrame | None = None) -> tuple[dict[str, list[float]], DataFrame | None]:
     """The ``many`` eigenvalues of largest magnitude for each matrix, from the largest on, and their unit vectors (mid, k, i, x).
 
     Steps are taken until the residuals of all of them are under ``tol`` times the largest magnitude, the space is used
-    up, or there are ``most``.
+    up, or there are ``most``. The starting vector is ``start`` (mid, i, x), or else pseudo-random.
     """
     spark = coo.sparkSession
     coo = stored(coo.select("mid", "i", "j", F.col("v").cast("double").alias("v")))
-    start = indices(meta).select("mid", "i", (F.xxhash64("i", F.lit(1)) / F.lit(2.0**63)).alias("x"))
+    if start is None:
+        start = indices(meta).select("mid", "i", (F.xxhash64("i", F.lit(1)) / F.lit(2.0**63)).alias("x"))
     start = stored(start)
     size = norms(start)
     basis = Table(spark, STEP)
@@ -55,7 +56,8 @@ def largest(coo: DataFrame, meta: DataFrame, many: int = 10, tol: float = 1e-9,
             for m in active:
                 alpha[m] += [found[m][k]] if not sweep else []
                 alpha[m][k] += found[m][k] if sweep else 0.0
-            w = combined(w, basis.read(), weights(spark, found), -1)
+            full, w = w, combined(w, basis.read(), weights(spark, found), -1)
+            drop(full)
         after = norms(w)
         for m in sorted(active):
             beta[m].append(after[m] if after[m] > 1e-12 * before[m] else 0.0)

@@ -227,6 +227,14 @@ def test_spectrum(spark):
     assert np.allclose(found["A"], right[np.argsort(-abs(right))][:3], rtol=1e-8)
 
 
+def test_spectrum_of_equal_blocks(spark):
+    """From ones on, blocks of one eigenvalue have equal parts in its vector, as the power method's."""
+    a = np.kron(np.eye(2), np.ones((3, 3)) - np.eye(3))
+    meta = spark.createDataFrame([("A", 6, 6)], "mid string, nrows long, ncols long")
+    values, vectors = spectrum.largest(coo(spark, a), meta, 1, vectors=True, start=vec(spark, np.ones(6)))
+    assert np.allclose(values["A"], [2.0]) and np.allclose(back(vectors, 6), back(vectors, 6)[0]) and abs(np.linalg.norm(back(vectors, 6)) - 1) < 1e-12
+
+
 @pytest.mark.parametrize("read", [lambda s, d, t: t.part_supplier(s, d)[0], lambda s, d, t: t.sharing(s, d)])
 def test_tasks_of_lines_do_not_grow(spark, monkeypatch, read):
     """More lines are dealt over more tasks, with the same entries."""
