@@ -179,8 +179,8 @@ def find_sorted(coo: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def defer_tiny(placed: DataFrame, meta: DataFrame, m0: int, eps: float, empty: bool = True) -> DataFrame:
-    """(mid, i, p): within the first m0 positions, those of tiny diagonals moved to their end, order kept.
+def defer_tiny(placed: DataFrame, meta: DataFrame, m0: int | None, eps: float, empty: bool = True) -> DataFrame:
+    """(mid, i, p): within the first m0 positions (all: None), those of tiny diagonals moved to their end, order kept.
 
     Without ``empty``, positions whose row or column has no entry are left out of the first m0, and the others move up.
     """
@@ -189,6 +189,7 @@ def defer_tiny(placed: DataFrame, meta: DataFrame, m0: int, eps: float, empty: b
     cols = placed.groupBy("mid", F.col("j").alias("i")).agg(F.max(F.abs("v")).alias("c"))
     found = diagonal(placed, meta).join(rows, ["mid", "i"], how).join(cols, ["mid", "i"], how)
     most = F.greatest(F.coalesce("r", F.lit(0.0)), F.coalesce("c", F.lit(0.0)))
-    found = found.where(F.col("i") < m0).withColumn("tiny", (F.abs("x") <= F.lit(eps) * most).cast("int"))
+    found = found if m0 is None else found.where(F.col("i") < m0)
+    found = found.withColumn("tiny", (F.abs("x") <= F.lit(eps) * most).cast("int"))
     moved = running(found.select("mid", "tiny", F.col("i").alias("p")), ["tiny", "p"]).select("mid", F.col("at").alias("i"), "p")
-    return moved.union(indices(meta).where(F.col("i") >= m0).select("mid", "i", F.col("i").alias("p")))
+    return moved if m0 is None else moved.union(indices(meta).where(F.col("i") >= m0).select("mid", "i", F.col("i").alias("p")))

@@ -9,6 +9,8 @@ from stratum.operators import dissection, graphs, matching, numbering, triangula
 from stratum.plans import elimination, estimates, krylov, spectrum, tallqr
 from stratum.types import BadInput
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def coo(spark, a, mid="A"):
     i, j = np.nonzero(a)
@@ -384,3 +386,16 @@ def test_least_squares_of_parts(spark):
     want = np.linalg.lstsq(a, b, rcond=None)[0]
     assert np.allclose([r["x"] for r in rows], want) and {r["rank"] for r in rows} == {11}
     assert np.allclose([r["rest"] for r in rows], np.linalg.norm(b - a @ want))
+
+
+def test_deferral_looks_at_all_positions(spark):
+    """The query's positions are all there, and no tiny diagonal lies before another one, from 60 on too."""
+    from stratum.plans import relational
+
+    placed, meta = relational._placed(spark, SMALL)
+    n, found = meta.first()["nrows"], {r["i"]: r["p"] for r in relational.QUERIES["defer_tiny_diags"](spark, SMALL).collect()}
+    a = np.zeros((n, n))
+    for r in placed.collect():
+        a[r["i"], r["j"]] = abs(r["v"])
+    tiny = np.diag(a) <= 1e-3 * np.maximum(a.max(axis=0), a.max(axis=1))
+    assert n > 60 and [found[k] for k in range(n)] == sorted(range(n), key=lambda p: (tiny[p], p))
