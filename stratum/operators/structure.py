@@ -70,11 +70,14 @@ def col_nnz(coo: DataFrame, meta: DataFrame) -> DataFrame:
 def validity(coo: DataFrame, meta: DataFrame) -> DataFrame:
     """Per matrix: no repeated place, all places within bounds, all values finite."""
     places = coo.groupBy("mid", "i", "j").agg(F.count("*").alias("n"), F.min(~F.isnan("v") & (F.abs("v") < float("inf"))).alias("finite"))
-    inside = (F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < F.col("nrows")) & (F.col("j") < F.col("ncols"))
-    found = meta.join(places, "mid", "left")
-    return found.groupBy("mid").agg(
-        F.coalesce(F.max("n") <= 1, F.lit(True)).alias("unique_places"), F.coalesce(F.min(inside), F.lit(True)).alias("in_bounds"),
-        F.coalesce(F.min("finite"), F.lit(True)).alias("finite"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("nnz"),
+    # Matrices are few and large: their sizes meet a row of each, not its places.
+    each = places.groupBy("mid").agg(
+        F.max("n").alias("most"), F.least(F.min("i"), F.min("j")).alias("low"), F.max("i").alias("i"), F.max("j").alias("j"), F.min("finite").alias("finite"), F.sum("n").alias("nnz"),
+    )
+    inside = (F.col("low") >= 0) & (F.col("i") < F.col("nrows")) & (F.col("j") < F.col("ncols"))
+    return meta.join(each, "mid", "left").select(
+        "mid", F.coalesce(F.col("most") <= 1, F.lit(True)).alias("unique_places"), F.coalesce(inside, F.lit(True)).alias("in_bounds"),
+        F.coalesce("finite", F.lit(True)).alias("finite"), F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
     )
 
 

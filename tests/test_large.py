@@ -399,3 +399,15 @@ def test_deferral_looks_at_all_positions(spark):
         a[r["i"], r["j"]] = abs(r["v"])
     tiny = np.diag(a) <= 1e-3 * np.maximum(a.max(axis=0), a.max(axis=1))
     assert n > 60 and [found[k] for k in range(n)] == sorted(range(n), key=lambda p: (tiny[p], p))
+
+
+def test_validity_joins_no_places(spark):
+    """What meets the sizes is a row of each matrix: with few matrices a join by matrix would put all places into few tasks."""
+    from stratum.operators import structure
+
+    a = spark.createDataFrame([("A", 0, 0, 1.0), ("A", 0, 0, 2.0), ("B", 0, 2, 1.0), ("C", -1, 0, 1.0), ("D", 1, 1, float("inf")), ("E", 1, 1, 1.0)], "mid string, i long, j long, v double")
+    meta = spark.createDataFrame([(m, 2, 2) for m in "ABCDEF"], "mid string, nrows long, ncols long")
+    found = structure.validity(a, meta)
+    rows = {r["mid"]: tuple(r)[1:] for r in found.collect()}
+    assert rows == {"A": (False, True, True, 2), "B": (True, False, True, 1), "C": (True, False, True, 1), "D": (True, True, False, 1), "E": (True, True, True, 1), "F": (True, True, True, 0)}
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
