@@ -411,3 +411,21 @@ def test_validity_joins_no_places(spark):
     rows = {r["mid"]: tuple(r)[1:] for r in found.collect()}
     assert rows == {"A": (False, True, True, 2), "B": (True, False, True, 1), "C": (True, False, True, 1), "D": (True, True, False, 1), "E": (True, True, True, 1), "F": (True, True, True, 0)}
     assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+@pytest.mark.parametrize("kind", ["full", "dependent", "near"])
+def test_least_squares_of_one_wide_part(spark, kind):
+    """More columns than a triangle may have, all of one part: none is left out, but those that depend on others."""
+    draw = np.random.default_rng(9)
+    a = (draw.random((60, 14)) < 0.5) * draw.standard_normal((60, 14))
+    if kind == "dependent":
+        a[:, [4, 12]] = a[:, [0, 1]] + a[:, [2, 3]]
+    if kind == "near":
+        a[:, 7] = a[:, 2] + 1e-6 * draw.standard_normal(60)
+    b = draw.standard_normal(60) if kind != "near" else a @ np.ones(14)
+    rows = tallqr.least_squares(coo(spark, a), vec(spark, b), columns=6).orderBy("i").collect()
+    x, want = np.array([r["x"] for r in rows]), np.linalg.lstsq(a, b, rcond=1e-10)[0]
+    assert len(x) == 14 and {r["rank"] for r in rows} == {12 if kind == "dependent" else 14}
+    rest = np.linalg.norm(b - a @ want)
+    assert abs(np.linalg.norm(b - a @ x) - rest) < 1e-9 and all(abs(r["rest"] - rest) < 1e-9 for r in rows)
+    assert kind == "dependent" or np.allclose(x, want, atol=1e-7)
