@@ -431,6 +431,16 @@ def test_least_squares_of_one_wide_part(spark, kind):
     assert kind == "dependent" or np.allclose(x, want, atol=1e-7)
 
 
+def test_portions_are_bounded(spark, monkeypatch):
+    """Blocks of a large triangle hold what a task may hold, not a share of the triangle."""
+    monkeypatch.setattr(triangular, "ENTRIES", 50)
+    strict = coo(spark, np.tril(np.ones((40, 40)), -1))
+    assert triangular.portion(strict, 8) == 50 and triangular.portion(strict.where("i < 12"), 3) == 22
+    y = np.arange(40.0)
+    found = back(triangular.solve(strict, vec(spark, y), triangular.portion(strict, 8)), 40)
+    assert np.allclose(found, np.linalg.solve(np.tril(np.ones((40, 40))), y))
+
+
 def test_products_are_held_in_bounded_chunks():
     """A task's products at once: a row of each chunk, or CHUNK of them."""
     import pandas as pd
